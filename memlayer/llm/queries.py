@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from memlayer.llm.common import table
 from memlayer.llm.packing import pack_sequences
 from memlayer.llm.simhash import simhash_near_dedup
+from memlayer.llm.substrings import digest, remove_repeats
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,10 +22,15 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_simhash": op3_simhash,
         "op8_packing": op8_packing,
+        "op10_substrings": op10_substrings,
     }
 
 

@@ -19,7 +19,6 @@ group grows with the input.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -153,10 +152,10 @@ def _repeats(suffixes: list[tuple[bytes, int]], left: list[int], starts: list[in
     return out
 
 
-def _later(rolling: Rolling, group: np.ndarray, contexts: list[bytes], length: int) -> list[tuple[int, int, int]]:
-    """(context, start, end) ranges that repeat an earlier context of their group.
+def _later(rolling: Rolling, group: np.ndarray, contexts: list[bytes], place: list[tuple[int, int]], length: int) -> list[tuple[int, int, int]]:
+    """(context, start, end) ranges that repeat an earlier place of their group.
 
-    ``contexts`` are in order of occurrence within each group. Strings are first classed by a 64-bit
+    ``place`` is each context's document and start in it; contexts may overlap. Strings are first classed by a 64-bit
     hash with the group; classes of one, and classes whose members all have the same byte to the
     left, hold no maximal repeat's start and never enter the suffix array.
     """
@@ -185,10 +184,11 @@ def _later(rolling: Rolling, group: np.ndarray, contexts: list[bytes], length: i
         s, o = start[part].tolist(), of[part]
         ends = base[o + 1].tolist()
         ext = [int(text[a - 1]) if a != b else -1 for a, b in zip(s, base[o].tolist(), strict=True)]
-        place = dict(zip(s, o.tolist(), strict=True))
+        context = dict(zip(s, o.tolist(), strict=True))
+        where = {a: (place[c][0], place[c][1] + a - int(base[c])) for a, c in context.items()}
         for n, at in _repeats([(data[a:e], i) for i, (a, e) in enumerate(zip(s, ends, strict=True))], ext, s, length):
-            first = min(at, key=lambda a: a)  # contexts lie in order of occurrence
-            out.extend((place[a], int(a - base[place[a]]), int(a - base[place[a]] + n)) for a in at if a != first)
+            first = min(where[a] for a in at)
+            out.extend((c := context[a], a - int(base[c]), a - int(base[c]) + n) for a in at if where[a] != first)
     return out
 
 
@@ -293,7 +293,8 @@ def _compare(contexts: DataFrame, length: int) -> DataFrame:
                 d.append(doc_[done])
                 s.append(start_[done].astype(np.int64))
                 e.append(end.take(pa.array(done)).to_numpy(zero_copy_only=False).astype(np.int64))
-                found = _later(rolling, group[keep].astype(_U), part.field("bytes").take(pa.array(keep)).to_pylist(), length) if len(keep) else []
+                place = list(zip(doc_[keep].tolist(), start_[keep].tolist(), strict=True))
+                found = _later(rolling, group[keep].astype(_U), part.field("bytes").take(pa.array(keep)).to_pylist(), place, length) if len(keep) else []
                 if found:
                     i, a, b = (np.array(x) for x in zip(*found, strict=True))
                     i = keep[i]
@@ -348,8 +349,8 @@ def _packed(docs: DataFrame) -> DataFrame:
     return docs.select("doc", "doc_id", F.col("text").cast("binary")).mapInArrow(run, "doc long, doc_id long, packed binary")
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(doc, doc_id, text)`` with ``doc`` a unique key in document order.
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``(doc, doc_id, text)`` with ``doc`` a key in document order, and the same with each key once.
 
     That is the id itself where it is unique and never null. Otherwise the distinct pairs of id and
     text are sorted and numbered (null ids first).
@@ -357,11 +358,13 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     odd = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
     if not odd:
-        return docs.withColumn("doc", F.col("doc_id"))
+        docs = docs.withColumn("doc", F.col("doc_id"))
+        return docs, docs
     docs = docs.withColumn("hash", F.sha2(F.coalesce("text", F.lit("")), 256))
     keys = docs.select("doc_id", "hash").distinct().orderBy("doc_id", "hash").withColumn("doc", F.monotonically_increasing_id())
     keys = materialize(keys, "keys").withColumnsRenamed({"doc_id": "_id", "hash": "_hash"})
-    return docs.join(keys, docs.doc_id.eqNullSafe(F.col("_id")) & (docs.hash == keys._hash)).select("doc", "doc_id", "text")
+    docs = docs.join(keys, docs.doc_id.eqNullSafe(F.col("_id")) & (docs.hash == keys._hash)).select("doc", "doc_id", "text")
+    return docs, docs.dropDuplicates(["doc"])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
@@ -372,18 +375,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     their text, and rows that repeat both id and text are one document, returned as often as it
     came. Strings never cross documents and are judged on the input. An empty table gives an empty result.
     """
-    keyed = _keyed(docs, id_col, text_col)
-    scanned = _scan(keyed, length, anchor)
+    keyed, once = _keyed(docs, id_col, text_col)
+    scanned = _scan(once, length, anchor)
     by_key = Window.partitionBy("key")
     spread = scanned.withColumn("n", F.count(F.lit(1)).over(by_key)).where("n > 1 or dup")
     order = by_key.orderBy("context", "doc", "start")
     marked = spread.withColumn("again", F.coalesce(F.lag("context").over(order) == F.col("context"), F.lit(False)))
     marked = marked.withColumn("n", F.sum((~F.col("again")).cast("long")).over(by_key))
-    # a repeated document row meets itself: same key, context, document and start
     marked = materialize(marked.where("dup or again or n > 1").select("key", "doc", "start", "end", F.expr("dup or again").alias("done"), "n"), "anchors")
     packed = _packed(keyed)
+    packed_once = packed if once is keyed else _packed(once)
     reps = marked.where("not done").groupBy("doc").agg(F.collect_list(F.struct("key", "start", "end", "n")).alias("reps"))
-    contexts = _contexts(packed.dropDuplicates(["doc"]).join(reps, "doc").select("doc", "packed", "reps"), length, hot)
+    contexts = _contexts(packed_once.join(reps, "doc").select("doc", "packed", "reps"), length, hot)
     found = materialize(_compare(contexts, length), "ranges")
     ranges = marked.where("done").select("doc", "start", "end").union(found)
     ranges = ranges.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))

@@ -47,7 +47,7 @@ def test_packing_round_trip(spark):
             assert offset == at
             at += length
         assert at <= 512
-    assert len(by) <= -(-sum(x.length for x in out) // 512) + 1
+    assert len(by) <= -(-sum(x.length for x in out) // 512) + 5  # parts of 40 pieces may each leave one
     assert packing.pack_sequences(df.limit(0), PATH).count() == 0
 
 
