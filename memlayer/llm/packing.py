@@ -7,10 +7,11 @@ bins that are not full meet again in ever fewer parts until one is left. Only le
 
 from __future__ import annotations
 
-import re
+import json
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,41 +27,53 @@ END_ID = 0
 PART_PIECES = 60_000
 #: Times that bins which are not full may meet again.
 ROUNDS = 4
-#: Words whose ids a Python worker remembers.
-MEMO_WORDS = 400_000
+#: Characters from which on a text is encoded by the slower library, which has no limit on a run.
+LONG = 1_000_000
 
 
-class WordIds:
-    """Ids of whole texts by a byte-level BPE, remembered by word.
+class TextIds:
+    """Ids of whole texts by a byte-level BPE file of the ``tokenizers`` library.
 
-    The pre-tokeniser always breaks before a space unless white space stands on both sides of it, so
-    a text is the sequence of its words with the space before them. Texts with such runs of white
-    space are encoded whole.
+    Where the file is plain byte-level BPE, its vocabulary in id order is the merge order, and tiktoken
+    gives the same ids several times faster. Other files, and texts of over ``LONG`` characters, go through
+    ``tokenizers`` itself.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
-        self.run = re.compile(r"\s \s")
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        words = [None if self.run.search(t) else (" " + w for w in t.split(" ")) for t in texts]
-        split = [None if w is None else list(w) for w in words]
-        for w, t in zip(split, texts, strict=True):
-            if w:
-                w[0] = t[: len(w[0]) - 1]
-        if len(self.memo) > MEMO_WORDS:
-            self.memo = {}
-        missing = list({x for w in split if w for x in w if x not in self.memo})
-        self.memo.update(zip(missing, self._encode(missing), strict=True))
-        get = self.memo.__getitem__
-        return [self._encode([t])[0] if w is None else b"".join(map(get, w)) for w, t in zip(split, texts, strict=True)]
+        self.fast = self._fast(json.loads(self.tokenizer.to_str()))
+
+    @staticmethod
+    def _fast(model: dict):
+        import public_tokenizers
+        import tiktoken
+
+        split, bpe = model.get("pre_tokenizer") or {}, model["model"]
+        plain = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and not model.get("normalizer")
+        if not plain or bpe.get("type") != "BPE" or bpe.get("dropout") or bpe.get("ignore_merges"):
+            return None
+        # printable bytes stand for themselves in such a vocabulary, the others for code points from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+        special = {t["content"]: t["id"] for t in model["added_tokens"]}
+        ranks = {bytes(byte[c] for c in word): i for word, i in bpe["vocab"].items() if word not in special}
+        if [ranks.get(bytes(byte[c] for c in "".join(m))) for m in bpe["merges"]] != sorted(ranks.values())[256:]:
+            return None
+        return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+    def __call__(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        if self.fast is None or len(text) > LONG:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.fast.encode_to_numpy(text, allowed_special="all", disallowed_special=()).astype("<u4", copy=False).tobytes()
+
+
+@lru_cache(maxsize=2)
+def text_ids(path: str) -> TextIds:
+    """One encoder a Python worker, kept over its tasks."""
+    return TextIds(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -68,16 +81,13 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        encode = WordIds(tokenizer)
+        encode = text_ids(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):  # ids of a few hundred texts at a time
+            for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 256)
                 out = []
-                for doc_id, ids in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    ids += end
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    ids = encode(text or "") + end
                     n = len(ids) // 4
                     start, length = 0, (n - 1) % capacity + 1
                     for piece in range(-(-n // capacity)):

@@ -13,13 +13,15 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD = ["", " ", "  a  b ", "x\n y", "x \ny", "a \n \n b", "a\t b", "don't  stop 's 'll", "é ü  z", "a   b", "<|endoftext|> a", "１２３ ４ ²³ ñ.,!", "\x1c a", "end \n", "\n\n  start", "日本語 の テキスト", "a   b    c"]
 
 
-def test_words_give_the_ids_of_the_whole_text():
+def test_fast_ids_equal_the_library():
     r = random.Random(5)
     alphabet = ["a", "B", "é", "'", "s", " ", " ", "\n", "\t", "1", ".", " ", " ", "東"]
-    texts = ODD + ["".join(r.choices(alphabet, k=r.randrange(40))) for _ in range(3000)]
+    texts = [*ODD, "a" * 70000, " " * 3000, "z\n" * 3000] + ["".join(r.choices(alphabet, k=r.randrange(40))) for _ in range(3000)]
     whole = Tokenizer.from_file(PATH)
     want = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
-    got = packing.WordIds(PATH)(texts)
+    texts_ids = packing.text_ids(PATH)
+    assert texts_ids.fast is not None
+    got = [texts_ids(t) for t in texts]
     assert [list(struct.unpack(f"<{len(b) // 4}I", b)) for b in got] == want
 
 
