@@ -27,6 +27,8 @@ END_ID = 0
 PART_PIECES = 60_000
 #: Times that bins which are not full may meet again.
 ROUNDS = 4
+#: Texts that are encoded before their pieces are passed on.
+STEP = 1024
 #: Characters from which on a text is encoded by the slower library, which has no limit on a run.
 LONG = 1_000_000
 
@@ -83,8 +85,8 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = text_ids(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, STEP):
+                part = batch.slice(at, STEP)
                 out = []
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     ids = encode(text or "") + end

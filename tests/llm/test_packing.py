@@ -64,3 +64,9 @@ def test_local_search_raises_the_squared_fill():
         square = lambda bins: sum(int(n[b].sum()) ** 2 for b in bins)
         assert sorted(i for b in better for i in b) == list(range(200))
         assert max(int(n[b].sum()) for b in better) <= 100 and square(better) >= square(worse) and len(better) < len(worse)
+
+
+def test_large_batches_lose_no_document(spark):
+    n = 3 * packing.STEP + 7
+    out = packing.pieces(spark.range(0, n, 1, 1).selectExpr("id as doc_id", "'a b' as text"), PATH)
+    assert out.count() == n == out.select("doc_id").distinct().count()
