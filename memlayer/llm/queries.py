@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlayer.llm import language
+from memlayer.llm import language, privacy
 from memlayer.llm.common import table
 from memlayer.llm.packing import pack_sequences
 from memlayer.llm.simhash import simhash_near_dedup
@@ -30,6 +30,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = privacy.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"), privacy.fit(spark))
+    return found.select(
+        "doc_id",
+        *[privacy.count_of("_base", k).alias(f"n_{k}") for k in privacy.KINDS],
+        F.sha2(privacy.listed("_base"), 256).alias("base_sha256"),
+        privacy.listed("_spans").alias("spans"),
+    )
+
+
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(remove_repeats(table(spark, sf_dir, "documents")))
 
@@ -39,6 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": op3_simhash,
         "op5_language": op5_language,
         "op8_packing": op8_packing,
+        "op9_privacy": op9_privacy,
         "op10_substrings": op10_substrings,
     }
 
