@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from memlayer.llm import language, privacy
 from memlayer.llm.common import table
+from memlayer.llm.decontaminate import find_leaks
 from memlayer.llm.packing import pack_sequences
 from memlayer.llm.simhash import simhash_near_dedup
 from memlayer.llm.substrings import digest, remove_repeats
@@ -18,6 +19,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = language.identify(docs.select("doc_id", "text"), language.train(docs))
@@ -47,6 +52,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_simhash": op3_simhash,
+        "op4_decontaminate": op4_decontaminate,
         "op5_language": op5_language,
         "op8_packing": op8_packing,
         "op9_privacy": op9_privacy,
