@@ -67,7 +67,8 @@ def paired_blocks(df: DataFrame, by: list[str], item: str, block: int) -> DataFr
     ``df`` is keyed by ``by``; groups of one row are dropped (they have no pair). A group of up to
     ``block`` rows stays as it is. A larger one is dealt into ``n = ceil(2 * size / block)`` blocks
     by a hash of ``item`` and every block meets every other one, so each pair of rows shares a
-    part (``_i``, ``_j``) of about ``block`` rows. All pairs stay covered; nothing is dropped.
+    part (``_i``, ``_j``) of about ``block`` rows. All pairs stay covered; nothing is dropped. ``_own``
+    is the block a row was dealt to: a pair within one block meets in several parts.
     """
     from pyspark.sql import Window
 
@@ -80,4 +81,4 @@ def paired_blocks(df: DataFrame, by: list[str], item: str, block: int) -> DataFr
     df = df.withColumn("_o", other)
     # with more than one block, the part (b, b) is covered by every part (b, x)
     df = df.where("_b = 1 or _o <> _own")
-    return df.withColumn("_i", F.least("_own", "_o")).withColumn("_j", F.greatest("_own", "_o")).drop("_b", "_own", "_o", "_n")
+    return df.withColumn("_i", F.least("_own", "_o")).withColumn("_j", F.greatest("_own", "_o")).drop("_b", "_o", "_n")

@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 from memlayer.llm import language, privacy
 from memlayer.llm.common import table
 from memlayer.llm.decontaminate import find_leaks
+from memlayer.llm.lattice import lattice_near_dedup
 from memlayer.llm.packing import pack_sequences
 from memlayer.llm.simhash import simhash_near_dedup
 from memlayer.llm.substrings import digest, remove_repeats
 
 
+def op1_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_near_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_dedup(table(spark, sf_dir, "documents"))
 
@@ -51,6 +56,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lattice": op1_lattice,
         "op3_simhash": op3_simhash,
         "op4_decontaminate": op4_decontaminate,
         "op5_language": op5_language,
