@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlayer.llm import language, privacy
-from memlayer.llm.common import table
+from memlayer.llm import language, privacy, quality, url_filter
+from memlayer.llm.common import table, training_row
 from memlayer.llm.decontaminate import find_leaks
+from memlayer.llm.html_text import extract_text
 from memlayer.llm.lattice import lattice_near_dedup
 from memlayer.llm.packing import pack_sequences
 from memlayer.llm.simhash import simhash_near_dedup
@@ -20,6 +21,11 @@ def op1_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_near_dedup(table(spark, sf_dir, "embeddings"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract_text(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_dedup(table(spark, sf_dir, "documents"))
 
@@ -34,6 +40,70 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_held_out").alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", (~training_row("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def url_lists(pages: DataFrame) -> DataFrame:
+    """A dated list made of all pages' hosts and first path segments, as the tables hold none.
+
+    A host with smallest page id m is blocked from day 53m mod 300 of 2024 to 90 days later, and again from day 400 on.
+    The first path segment of a host with smallest page id m is allowed from day 31m mod 250 to 120 days later.
+    The domain of the last two labels is under review for the first 30 days.
+    """
+    url, start = F.col("url"), F.lit("2024-01-01").cast("date")
+    rows = pages.select("page_id", url_filter.host_of(url).alias("host"), F.element_at(F.filter(F.split(url_filter.path_of(url), "/"), lambda p: p != ""), 1).alias("segment")).where("host is not null")
+    day = lambda d: F.date_add(start, d.cast("int"))
+    entry = lambda name, kind, pattern, action, at: F.struct(F.lit(name).alias("list"), F.lit(kind).alias("kind"), pattern.alias("pattern"), F.lit(action).alias("action"), at.alias("at"))
+    hosts = rows.groupBy("host").agg(F.min("page_id").alias("m"))
+    began = F.col("m") * 53 % 300
+    domain = F.concat_ws(".", F.slice(F.split("host", r"\."), -2, 2))
+    of_host = hosts.select(F.explode(F.array(
+        entry("block", "host", F.col("host"), "add", day(began)),
+        entry("block", "host", F.col("host"), "remove", day(began + 90)),
+        entry("block", "host", F.col("host"), "add", day(F.lit(400))),
+        entry("review", "domain", domain, "add", day(F.lit(0))),
+        entry("review", "domain", domain, "remove", day(F.lit(30))),
+    )).alias("e"))
+    first = F.col("m") * 31 % 250
+    prefix = F.concat_ws("/", "host", "segment")
+    of_path = rows.where("segment is not null").groupBy("host", "segment").agg(F.min("page_id").alias("m")).select(F.explode(F.array(entry("allow", "prefix", prefix, "add", day(first)), entry("allow", "prefix", prefix, "remove", day(first + 120)))).alias("e"))
+    return of_host.union(of_path).select("e.*")
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 37 % 500).cast("int")))
+    return url_filter.filter_urls(captures, url_lists(pages))
+
+
+OP7_SQL = """
+with p as (
+  select page_id, url, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') host,
+         list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda x: x <> '') parts,
+         date '2024-01-01' + cast(page_id * 37 % 500 as int) fetched
+  from pages),
+h as (select host, min(page_id) m from p where host is not null group by 1),
+f as (select host, parts[1] segment, min(page_id) m from p where host is not null and len(parts) >= 1 group by 1, 2),
+spans as (
+  select 'block' list, 'host' kind, host pattern, date '2024-01-01' + cast(m * 53 % 300 as int) a, date '2024-01-01' + cast(m * 53 % 300 + 90 as int) b from h
+  union all select 'block', 'host', host, date '2024-01-01' + 400, null from h
+  union all select distinct 'review', 'domain', array_to_string(string_split(host, '.')[-2:], '.'), date '2024-01-01', date '2024-01-01' + 30 from h
+  union all select 'allow', 'prefix', host || '/' || segment, date '2024-01-01' + cast(m * 31 % 250 as int), date '2024-01-01' + cast(m * 31 % 250 + 120 as int) from f),
+u as (select distinct url, fetched, host, parts, string_split(host, '.') labels from p where host is not null),
+asked as (
+  select url, fetched, 'host' kind, host pattern, 100 rank from u
+  union all select url, fetched, 'domain', array_to_string(labels[-k:], '.'), k from u, (select unnest(range(2, 13)) k) where k <= len(labels)
+  union all select url, fetched, 'prefix', host || '/' || array_to_string(parts[1:k], '/'), 200 + k from u, (select unnest(range(1, 9)) k) where k <= len(parts)),
+active as (select asked.*, list, a from asked join spans using (kind, pattern) where fetched >= a and (b is null or fetched < b)),
+best as (select *, count(*) over (partition by url, fetched) n, row_number() over (partition by url, fetched order by rank desc, a desc, list, pattern) r from active)
+select page_id, p.url, p.fetched, coalesce(list, 'allow') verdict, kind, pattern, a active_from, coalesce(n, 0) n_active
+from p left join best on p.url = best.url and p.fetched = best.fetched and r = 1
+"""
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -57,9 +127,12 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lattice": op1_lattice,
+        "op2_html": op2_html,
         "op3_simhash": op3_simhash,
         "op4_decontaminate": op4_decontaminate,
         "op5_language": op5_language,
+        "op6_quality": op6_quality,
+        "op7_url_filter": op7_url_filter,
         "op8_packing": op8_packing,
         "op9_privacy": op9_privacy,
         "op10_substrings": op10_substrings,
@@ -67,4 +140,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_url_filter": OP7_SQL}
