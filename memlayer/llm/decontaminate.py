@@ -1,6 +1,6 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
-Texts are folded (lower case, every run of other than letters and digits one space) and compared as UTF-8 bytes.
+Texts are folded (lower case, every run of ASCII other than letters and digits one space) and compared as UTF-8 bytes.
 A document region within ``e`` edits of an item of ``m`` bytes shares at least ``m - q + 1 - q * e`` of the item's
 q-grams with it, on diagonals (place in document minus place in item) at most ``e`` apart. So shared q-grams are
 counted in diagonal bands of width 2w that overlap by w > e: the alignment's diagonals lie within one band whole.
@@ -15,7 +15,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,14 +24,14 @@ RATE = 0.1
 #: Folded bytes of the items that one scan carries.
 BLOCK_BYTES = 16 << 20
 #: Folded bytes of documents that are looked up together.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
-_OTHER = regex.compile(r"[^\p{L}\p{N}]+")
+_FOLD = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fold(text: str | None) -> bytes:
-    return _OTHER.sub(" ", (text or "").lower()).strip().encode("utf-8", "surrogatepass")
+    return b" ".join((text or "").lower().encode("utf-8", "surrogatepass").translate(_FOLD).split())
 
 
 def grams(data: bytes, q: int = Q) -> np.ndarray:
@@ -54,6 +53,7 @@ class Items:
         self.budget = np.maximum(np.minimum((rate * size).astype(np.int64), (size - 2 * q + 1) // q), 0)
         self.least = np.maximum(size - q + 1 - q * self.budget, 1)
         self.width = int(self.budget.max(initial=0)) + 1
+        self.longest = int(size.max(initial=0))
         all_ = [grams(t, q) for t in self.text]
         key = np.concatenate([*all_, np.zeros(0, np.uint64)])
         of = np.repeat(np.arange(len(all_)), [len(g) for g in all_])
@@ -81,16 +81,20 @@ class Items:
         n = self.count[slot]
         entry = np.repeat(self.first[slot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         item, diagonal = self.of[entry], np.repeat(place, n) - self.at[entry]
-        band = diagonal // self.width
-        # each hit counts in its band and in the one that began before it
-        shift = np.int64(1 << 40)
-        keys = np.concatenate([item * shift + band + 1, item * shift + band]) + (1 << 20)
-        kinds, count = np.unique(keys, return_counts=True)
-        item, band = (kinds - (1 << 20)) // shift, (kinds - (1 << 20)) % shift
-        band = np.where(band > shift // 2, band - shift, band)
-        item = (kinds - (1 << 20) - band) // shift
-        ok = count >= self.least[item]
-        return [(i, (b - 1) * self.width, (b + 1) * self.width - 1) for i, b in zip(item[ok].tolist(), band[ok].tolist(), strict=True)]
+        # counts in steps of a band's half; a band is two neighbouring steps
+        low = int(-(self.longest // self.width) - 1)
+        steps = len(data) // self.width - low + 2
+        key = item * steps + (diagonal // self.width - low)
+        if len(self.ids) * steps <= 4 * len(key) + (1 << 20):
+            count = np.bincount(key, minlength=len(self.ids) * steps + 1)
+            kinds = np.flatnonzero(count)
+            count, after = count[kinds], count[kinds + 1]
+        else:
+            kinds, count = np.unique(key, return_counts=True)
+            after = np.append(np.where(kinds[1:] == kinds[:-1] + 1, count[1:], 0), 0) if len(kinds) else count
+        item, step = kinds // steps, kinds % steps
+        ok = count + after >= self.least[item]
+        return [(i, (s + low) * self.width, (s + low + 2) * self.width - 1) for i, s in zip(item[ok].tolist(), step[ok].tolist(), strict=True)]
 
 
 def align(item: bytes, data: bytes, low: int, high: int, budget: int) -> tuple[int, int, int] | None:
