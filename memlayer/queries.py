@@ -456,3 +456,35 @@ def session_recall(spark: SparkSession, d: str) -> DataFrame:
     turns = table(spark, d, "conversations").where("turn = 0").select(F.col("conv_id").cast("string").alias("case_id"), F.array_join(F.slice(text.words("text"), 1, 6), " ").alias("question"), F.array("text").alias("accepted"))
     chunks = session_text(spark, d).select(F.col("conv_id").alias("id"), "text")
     return run_sessions(turns, chunks).select("case_id", "correct")
+
+
+@query(f"select doc_id, cast(len({fit(WORDS, 'text')}) as bigint) n from documents")
+def word_counts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.size(text.words("text")).cast("long").alias("n"))
+
+
+@query("select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * cast(x as double)))), 6) length from embeddings")
+def vector_norms(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select("vec_id", F.round(vectors.norm("embedding"), 6).alias("length"))
+
+
+@query(f"select doc_id, round(case when length(text) = 0 then 1.0e0 else length(case when len(w) <= 12 then text else array_to_string(w[1:8], ' ') || ' … ' || array_to_string(w[-4:], ' ') end) / cast(length(text) as double) end, 6) ratio from (select doc_id, text, {fit(WORDS, 'text')} w from documents)")
+def compression_ratios(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.round(text.compression_ratio(F.length("text"), F.length(condense.truncate("text", 12, 4))), 6).alias("ratio"))
+
+
+@query("with e as (select conv_id * 1000 + turn id, lead(conv_id * 1000 + turn) over (partition by conv_id order by turn) nxt from conversations), p as (select * from e where nxt is not null) select a.id, b.nxt ancestor from p a join p b on a.nxt = b.id")
+def transitive_violations(spark: SparkSession, d: str) -> DataFrame:
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    turns = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("src"), F.lead(F.col("conv_id") * 1000 + F.col("turn")).over(order).alias("dst"))
+    return checks.not_transitive(turns.where("dst is not null"), "src", "dst")
+
+
+@query("select r_regionkey || '' parent, n_nationkey || '' child from region, nation where n_regionkey = r_regionkey and n_nationkey % 5 = 0")
+def unmatched_links(spark: SparkSession, d: str) -> DataFrame:
+    """Nations whose region does not list them: every fifth is left out of the lists."""
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_regionkey").cast("string").alias("p"))
+    listed = nations.where("cast(id as int) % 5 <> 0").groupBy("p").agg(F.collect_list("id").alias("children"))
+    regions = table(spark, d, "region").select(F.col("r_regionkey").cast("string").alias("p")).join(listed, "p", "left")
+    chunks = regions.select(F.col("p").alias("id"), F.lit(None).cast("string").alias("parent"), "children").union(nations.select("id", "p", F.array().cast("array<string>")))
+    return checks.unmatched_links(chunks).select("parent", "child")
