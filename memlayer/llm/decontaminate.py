@@ -94,7 +94,22 @@ class Items:
             after = np.append(np.where(kinds[1:] == kinds[:-1] + 1, count[1:], 0), 0) if len(kinds) else count
         item, step = kinds // steps, kinds % steps
         ok = count + after >= self.least[item]
-        return [(i, (s + low) * self.width, (s + low + 2) * self.width - 1) for i, s in zip(item[ok].tolist(), step[ok].tolist(), strict=True)]
+        if not ok.any():
+            return []
+        # an item's q-gram counts once in a band, however often the document repeats it
+        bands = kinds[ok]
+        spots, at = np.int64(self.longest + 1), self.at[entry]
+        pairs = np.unique(np.concatenate([np.searchsorted(bands, b[on]) * spots + at[on] for b in (key, key - 1) for on in [np.isin(b, bands)]]))
+        ok = np.bincount(pairs // spots, minlength=len(bands)) >= self.least[bands // steps]
+        item, step = bands[ok] // steps, bands[ok] % steps
+        out: list[tuple[int, int, int]] = []
+        for i, s in zip(item.tolist(), step.tolist(), strict=True):
+            first, last = (s + low) * self.width, (s + low + 2) * self.width - 1
+            if out and out[-1][0] == i and first <= out[-1][2] and last - out[-1][1] < 4 * self.width:
+                out[-1] = (i, out[-1][1], last)  # bands that overlap are aligned as one
+            else:
+                out.append((i, first, last))
+        return out
 
 
 def align(item: bytes, data: bytes, low: int, high: int, budget: int) -> tuple[int, int, int] | None:
@@ -155,8 +170,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     """Every document region within the edit budget of a benchmark item, one row per region.
 
     Returns ``(doc_id, item_id, edits, similarity, region_start, region_end)``; places are bytes of the folded
-    document, ``similarity`` is 1 - edits / item bytes. Of regions of one item that overlap, the one with the fewest edits
-    stays (ties: the first). Null and empty texts have no region; items with a null id or of under ``Q`` folded bytes
+    document, ``similarity`` is 1 - edits / item bytes. Of regions of one item that overlap, or that begin within four of the
+    block's largest edit budgets of each other, the one with the fewest edits stays (ties: the first). Null and empty texts have no region; items with a null id or of under ``Q`` folded bytes
     match nothing. Rows that repeat an id are looked at each for itself. No item, or no document: an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
