@@ -115,20 +115,47 @@ def maximal_repeats(data: bytes, starts: list[int], ends: list[int], length: int
     return _repeats([(data[s:e], i) for i, (s, e) in enumerate(zip(starts, ends, strict=True))], [data[s - 1] if s else -1 for s in starts], starts, length)
 
 
+def _common(ordered: list[bytes]) -> list[int]:
+    """Common-prefix lengths of neighbours in a sorted list: one more than its length, zero at both ends."""
+    out = [0] * (len(ordered) + 1)
+    number = int.from_bytes
+    for x in range(1, len(ordered)):
+        a, b = ordered[x - 1], ordered[x]
+        n = min(len(a), len(b))
+        differ = number(a[:n], "big") ^ number(b[:n], "big")
+        out[x] = n - (differ.bit_length() + 7) // 8
+    return out
+
+
+def earlier_matches(suffixes: list[tuple[bytes, tuple[int, int]]]) -> list[int]:
+    """For each (suffix, place) the length of its longest common prefix with a suffix of an earlier place.
+
+    That is the depth of the deepest common-prefix interval in which the suffix is not the first
+    occurrence. One stack scan over the enhanced suffix array finds, to either side, the nearest suffix with an
+    earlier place and the least common prefix on the way; no occurrence list is built for nested intervals. Places are distinct.
+    """
+    order = sorted(range(len(suffixes)), key=lambda i: suffixes[i][0])
+    lcp = _common([suffixes[i][0] for i in order])
+    out = [0] * len(suffixes)
+    stack: list[list] = []  # [place, index, common prefix with the entry below]
+    for x, i in enumerate(order):
+        place, depth = suffixes[i][1], lcp[x]
+        while stack and stack[-1][0] > place:
+            top = stack.pop()
+            # the entry below is earlier and to its left, this one is earlier and to its right
+            out[top[1]] = max(out[top[1]], top[2], depth)
+            depth = min(depth, top[2])
+        stack.append([place, i, depth if stack else 0])
+    while stack:
+        top = stack.pop()
+        out[top[1]] = max(out[top[1]], top[2])
+    return out
+
+
 def _repeats(suffixes: list[tuple[bytes, int]], left: list[int], starts: list[int], length: int) -> list[tuple[int, list[int]]]:
     suffixes = sorted(suffixes)
     order = [i for _, i in suffixes]
-    lcp = [0] * (len(order) + 1)
-    for x in range(1, len(order)):
-        a, b = suffixes[x - 1][0], suffixes[x][0]
-        n = min(len(a), len(b))
-        if a[:n] != b[:n]:
-            low, high = 0, n  # the longest common prefix by bisection
-            while low < high:
-                mid = (low + high + 1) // 2
-                low, high = (mid, high) if a[:mid] == b[:mid] else (low, mid - 1)
-            n = low
-        lcp[x] = n
+    lcp = _common([x for x, _ in suffixes])
     out: list[tuple[int, list[int]]] = []
     stack: list[list] = []  # [depth, first rank, left extension or None if they differ]
     for x in range(1, len(order) + 1):
@@ -177,21 +204,46 @@ def _later(rolling: Rolling, group: np.ndarray, contexts: list[bytes], place: li
     diverse = (members > 1) & (np.minimum.reduceat(left, new) != np.maximum.reduceat(left, new))
     kept = order[np.repeat(diverse, members)]
     out = []
+    starts, ends = base[:-1].tolist(), base[1:].tolist()
     kept = kept[np.argsort(group[of[kept]], kind="stable")]
     cuts = np.flatnonzero(np.r_[True, group[of[kept]][1:] != group[of[kept]][:-1]]).tolist() + [len(kept)] if len(kept) else []
     for lo, hi in zip(cuts, cuts[1:]):
         part = np.sort(kept[lo:hi])
-        s, o = start[part].tolist(), of[part]
-        ends = base[o + 1].tolist()
-        ext = [int(text[a - 1]) if a != b else -1 for a, b in zip(s, base[o].tolist(), strict=True)]
-        context = dict(zip(s, o.tolist(), strict=True))
-        where = {a: (place[c][0], place[c][1] + a - int(base[c])) for a, c in context.items()}
-        for n, at in _repeats([(data[a:e], i) for i, (a, e) in enumerate(zip(s, ends, strict=True))], ext, s, length):
-            first = min(where[a] for a in at)
-            out.extend((c := context[a], a - int(base[c]), a - int(base[c]) + n) for a in at if where[a] != first)
+        longest: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for a, c in zip(start[part].tolist(), of[part].tolist(), strict=True):  # overlapping contexts hold a place more than once
+            spot, seen = (place[c][0], place[c][1] + a - starts[c]), (ends[c] - a, a, c)
+            if seen > longest.get(spot, (0, 0, 0)):
+                longest[spot] = seen
+        s, o = [a for _, a, _ in longest.values()], [c for _, _, c in longest.values()]
+        suffixes = [(data[a : ends[c]], spot) for spot, (_, a, c) in longest.items()]
+        found: dict[int, list[tuple[int, int]]] = {}
+        for a, c, n in zip(s, o, earlier_matches(suffixes), strict=True):
+            if n >= length:
+                found.setdefault(c, []).append((a - starts[c], a - starts[c] + n))
+        for c, ranges in found.items():  # one row for each maximal run of a context
+            ranges.sort()
+            first, last = ranges[0]
+            for a, b in ranges[1:]:
+                if a > last:
+                    out.append((c, first, last))
+                    first = a
+                last = max(last, b)
+            out.append((c, first, last))
     return out
 
 
+def _small(batches: Iterator[pa.RecordBatch], column: int, size: int, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows and about ``size`` bytes of a binary column."""
+    for batch in batches:
+        ends = np.cumsum([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(column)])
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            to = min(max(at + 1, int(np.searchsorted(ends, before + size, "right"))), at + rows)
+            yield batch.slice(at, to - at)
+            at = to
+
+
 _SCAN = "key long, context long, doc long, start int, end int, dup boolean"
 
 
@@ -200,7 +252,7 @@ def _scan(docs: DataFrame, length: int, anchor: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
-        for batch in batches:
+        for batch in _small(batches, 1, 4 << 20):
             ids, texts = batch.column(0).to_numpy(), batch.column(1)
             parts = []
             for i in range(len(ids)):
@@ -238,7 +290,7 @@ def _contexts(rows: DataFrame, length: int, hot: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling, unpack = Rolling(), zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in _small(batches, 1, 1 << 20):
             out, done = [], []
             hot_rows: dict[tuple[int, int], tuple[int, int, bytes]] = {}
             docs = sorted(zip(*(batch.column(n).to_pylist() for n in ("doc", "packed", "reps")), strict=True), key=lambda r: r[0])
@@ -307,7 +359,7 @@ def _compare(contexts: DataFrame, length: int) -> DataFrame:
     return groups.select("rows").mapInArrow(run, "doc long, start int, end int")
 
 
-def _bounded(offsets: np.ndarray, rows: int = 20_000) -> Iterator[tuple[int, int]]:
+def _bounded(offsets: np.ndarray, rows: int = 6_000) -> Iterator[tuple[int, int]]:
     """Slices of whole groups with about ``rows`` rows each."""
     lo = 0
     while lo < len(offsets) - 1:
@@ -319,7 +371,7 @@ def _bounded(offsets: np.ndarray, rows: int = 20_000) -> Iterator[tuple[int, int
 def _cut(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in _small(batches, 0, 1 << 20):
             out = []
             for packed, ranges in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 text = unpack.decompress(packed)
@@ -341,9 +393,8 @@ def _packed(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+        for part in _small(batches, 2, 4 << 20):
+            if part.num_rows:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([pack.compress(t or b"") for t in part.column(2).to_pylist()], pa.binary())], names=["doc", "doc_id", "packed"])
 
     return docs.select("doc", "doc_id", F.col("text").cast("binary")).mapInArrow(run, "doc long, doc_id long, packed binary")

@@ -76,3 +76,20 @@ def test_maximal_repeats_have_all_occurrences():
     starts = [i for i in range(len(data))]
     got = {(n, tuple(sorted(at))) for n, at in substrings.maximal_repeats(data, starts, [len(data)] * len(starts), 3)}
     assert got == {(4, (1, 8)), (3, (1, 8, 14))}
+
+
+def test_earlier_matches_equal_brute_force():
+    r = random.Random(4)
+    for _ in range(300):
+        n = r.randrange(1, 25)
+        rows = [("".join(r.choices("ab", k=r.randrange(1, 9))).encode(), (r.randrange(3), i)) for i in range(n)]
+        r.shuffle(rows)
+
+        def common(a, b):
+            k = 0
+            while k < min(len(a), len(b)) and a[k] == b[k]:
+                k += 1
+            return k
+
+        want = [max([common(a, b) for b, q in rows if q < p], default=0) for a, p in rows]
+        assert substrings.earlier_matches(rows) == want
