@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlayer.llm.common import training_row
@@ -28,6 +28,10 @@ SAMPLE = 300
 #: Grams that a worker remembers, at most; beyond it starts anew.
 MEMO = 4_000_000
 UNDETERMINED = "und"
+#: A text is foreign to a language if its code is longer than MARGIN times the rate that 99 of 100 held-out texts reach,
+#: and by more than SLACK bits (a token of some 16 unseen bytes).
+MARGIN = 1.5
+SLACK = 128.0
 _LETTER = r"\p{L}"
 
 
@@ -132,9 +136,9 @@ class Scorer:
         return out
 
 
-def sample(docs: DataFrame, per_language: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """At most ``per_language`` labelled documents of each language, by a hash of the id."""
-    rows = docs.where(training_row(id_col) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+def sample(docs: DataFrame, per_language: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: bool = False) -> DataFrame:
+    """At most ``per_language`` labelled documents of each language, by a hash of the id; ``held_out``: of those never learned from."""
+    rows = docs.where((~training_row(id_col) if held_out else training_row(id_col)) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id")
     # ids and languages only are ranked; the texts of the chosen follow
     chosen = rows.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select(F.col("doc_id").alias("_id"))
@@ -149,6 +153,31 @@ def train(docs: DataFrame, per_language: int = SAMPLE, order: int = ORDER, **col
     return {lang: ContextTree(t, order) for lang, t in texts.items()}
 
 
+def limits(docs: DataFrame, model: dict[str, ContextTree], per_language: int = SAMPLE, **columns: str) -> dict[str, float]:
+    """The most bits a byte of each language: MARGIN times the 0.99 quantile over its held-out labelled texts.
+
+    A language without such texts takes the largest limit of the others; without any there is no limit.
+    """
+    scorer, rates = Scorer(model), {}
+    for row in sample(docs, per_language, held_out=True, **columns).toLocalIterator():
+        text = row.text.encode("utf-8", "surrogatepass")
+        if text and row.lang in model:
+            rates.setdefault(row.lang, []).append(scorer([text])[0].min() / len(text))
+    known = {lang: MARGIN * float(np.quantile(r, 0.99)) for lang, r in rates.items()}
+    return {lang: known.get(lang, max(known.values(), default=float("inf"))) for lang in model}
+
+
+def fits(limit: dict[str, float], text_col: str = "text") -> Column:
+    """Whether the predicted language's model explains the text: ``_bits`` within its limit, or over it by SLACK bits at most.
+
+    ``_score`` compares languages only and nears 1 on any longer text, gibberish included, so it does not decide.
+    """
+    of = F.lit(None).cast("double")
+    for lang, most in sorted(limit.items()):
+        of = F.when(F.col("_lang_pred") == lang, F.lit(most)).otherwise(of)
+    return F.coalesce((F.col("_bits") - of) * F.octet_length(F.col(f"`{text_col}`")) <= SLACK, F.lit(False))
+
+
 def identify(docs: DataFrame, model: dict[str, ContextTree], id_col: str = "doc_id", text_col: str = "text", chunk: int = 1 << 21) -> DataFrame:
     """Predict every whole text: all columns of ``docs`` with ``_held_out``, ``_lang_pred``, ``_score``, ``_bits``.
 

@@ -65,3 +65,24 @@ def test_held_out_rows_are_never_learned_from(spark):
     df = spark.range(200).withColumnRenamed("id", "doc_id")
     got = {x.doc_id for x in df.where(training_row("doc_id")).collect()}
     assert got == {i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2}
+
+
+def test_pipeline_rejects_foreign_and_gibberish(spark):
+    import base64
+    import random
+
+    import corpus_pipeline
+
+    r = random.Random(1)
+    bad = [
+        base64.b64encode(r.randbytes(600)).decode(),
+        "".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=600)),
+        "Wczoraj wieczorem poszliśmy do kina, żeby zobaczyć nowy film o podróżach kosmicznych, ale biletów już nie było.",
+        "Вчера вечером мы пошли в кино, чтобы посмотреть новый фильм.",
+        '<div class="nav"><ul><li><a href="/x1">Home</a></li><li><a href="/q?z=3">News</a></li></ul></div>',
+    ]
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    planted = spark.createDataFrame([(10**7 + i, t) for i, t in enumerate(bad)], "doc_id long, text string")
+    got = {x.doc_id for x in corpus_pipeline.keep_languages(spark, docs.select("doc_id", "text").union(planted), d).collect()}
+    assert got == {x.doc_id for x in docs.where("text rlike '\\\\p{L}'").collect()}
