@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 
 #: Days of a time bucket.
 BUCKET = 32
-#: Path segments of the longest prefix pattern, and labels of the longest domain, that are looked up.
-SEGMENTS = 8
-LABELS = 12
 
 
 def host_of(url: Column) -> Column:
@@ -44,23 +41,27 @@ def intervals(entries: DataFrame) -> DataFrame:
     return spans.select(*key, F.col("at").alias("valid_from"), "valid_to")
 
 
-def patterns_of(url: Column) -> Column:
+def lengths(entries: DataFrame) -> tuple[list[int], list[int]]:
+    """The numbers of path segments and of labels that occur among the prefix and domain patterns."""
+    n = F.when(F.col("kind") == "prefix", F.size(F.split("pattern", "/")) - 1).when(F.col("kind") == "domain", F.size(F.split("pattern", r"\.")))
+    found = entries.where("pattern is not null").select("kind", n.alias("n")).where("n >= 1").distinct().collect()
+    return sorted(x.n for x in found if x.kind == "prefix"), sorted(x.n for x in found if x.kind == "domain")
+
+
+def patterns_of(url: Column, segments: list[int], label_counts: list[int]) -> Column:
     """All (kind, pattern, rank) that could cover a URL; a higher rank is more specific.
 
-    Domains are the host's trailing labels (two or more), prefixes are whole path segments.
+    Domains are the host's trailing labels, prefixes whole path segments, as many as ``label_counts`` and ``segments`` list.
     """
     host, labels = host_of(url), F.split(host_of(url), r"\.")
     n = F.size(labels)
-    domains = F.when(
-        n >= 2,
-        F.transform(F.sequence(F.lit(2), F.least(n, F.lit(LABELS))), lambda k: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, n - k + 1, k), ".").alias("pattern"), k.alias("rank"))),
-    )
-    own = F.array(F.struct(F.lit("host").alias("kind"), host.alias("pattern"), F.lit(100).alias("rank")))
+    up_to = lambda counts, most: F.filter(F.array(*map(F.lit, counts)).cast("array<int>"), lambda k: k <= most)
+    domains = F.transform(up_to(label_counts, n), lambda k: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, n - k + 1, k), ".").alias("pattern"), k.alias("rank")))
+    own = F.array(F.struct(F.lit("host").alias("kind"), host.alias("pattern"), F.lit(150).alias("rank")))
     parts = F.filter(F.split(path_of(url), "/"), lambda p: p != "")
-    m = F.least(F.size(parts), F.lit(SEGMENTS))
-    prefixes = F.when(
-        m >= 1,
-        F.transform(F.sequence(F.lit(1), m), lambda k: F.struct(F.lit("prefix").alias("kind"), F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), k), "/")).alias("pattern"), (k + 200).alias("rank"))),
+    prefixes = F.transform(
+        up_to(segments, F.size(parts)),
+        lambda k: F.struct(F.lit("prefix").alias("kind"), F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), k), "/")).alias("pattern"), (k + 200).alias("rank")),
     )
     none = F.array().cast("array<struct<kind:string,pattern:string,rank:int>>")
     return F.when(host.isNotNull(), F.concat(own, F.coalesce(domains, none), F.coalesce(prefixes, none)))
@@ -81,7 +82,7 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id"
     rows = captures.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{time_col}`").cast("date").alias("fetched"))
     # each distinct URL and day is evaluated once
     asked = rows.where("url is not null and fetched is not null").select("url", "fetched").distinct()
-    looked = asked.select("url", "fetched", _bucket(F.col("fetched")).alias("bucket"), F.explode(patterns_of(F.col("url"))).alias("p")).select("url", "fetched", "bucket", "p.*")
+    looked = asked.select("url", "fetched", _bucket(F.col("fetched")).alias("bucket"), F.explode(patterns_of(F.col("url"), *lengths(entries))).alias("p")).select("url", "fetched", "bucket", "p.*")
     last = asked.agg(F.max("fetched").alias("last"))
     spans = intervals(entries).crossJoin(F.broadcast(last)).where("valid_from <= last")
     until = F.least(F.coalesce(F.date_sub("valid_to", 1), F.col("last")), F.col("last"))

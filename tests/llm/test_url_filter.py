@@ -60,3 +60,13 @@ def test_equals_brute_force(spark):
     assert got == brute(captures, entries)
     assert u.filter_urls(c.limit(0), e).count() == 0
     assert {x.verdict for x in u.filter_urls(c, e.limit(0)).collect()} == {"allow"}
+
+
+def test_long_prefix_and_any_domain_length(spark):
+    path = "/".join("abcdefghi")
+    deep = ".".join(["l"] * 13)
+    entries = [("p", "prefix", f"h.net/{path}", "add", DAY), ("one", "domain", "internal", "add", DAY), ("deep", "domain", deep, "add", DAY)]
+    captures = [(1, f"http://h.net/{path}/j", DAY), (2, "http://wiki.internal/", DAY), (3, "http://internal/x", DAY), (4, f"http://www.{deep}/", DAY), (5, "http://h.net/a", DAY)]
+    c = spark.createDataFrame(captures, "page_id long, url string, fetched date")
+    e = spark.createDataFrame(entries, "list string, kind string, pattern string, action string, at date")
+    assert {x.page_id: x.verdict for x in u.filter_urls(c, e).collect()} == {1: "p", 2: "one", 3: "one", 4: "deep", 5: "allow"}
