@@ -8,9 +8,10 @@ neighbours, chosen by content alone, so all occurrences of the string hold it at
    its context (all bytes of the strings that hold it) is shuffled, once per batch and context.
 2. A context that occurs earlier is removed whole. First occurrences of an anchor's differing
    contexts are cut from the documents and meet by anchor: there the suffixes that can repeat are put
-   into an enhanced suffix array, a stack scan over the common-prefix lengths gives the interval
-   tree, and intervals with differing left extensions are the maximal repeats. All occurrences of a
-   repeat but its first are removed.
+   into an enhanced suffix array, and a stack scan over the common-prefix lengths gives each suffix its
+   longest match with an earlier place, which is removed. Groups of maximal repeats with all occurrences
+   (the interval tree with differing left extensions, ``maximal_repeats``) are not built here; only the tests
+   use them.
 3. The removed ranges meet their document by id.
 
 Anchors with more than ``hot`` contexts send their strings by content instead of by anchor, so no
