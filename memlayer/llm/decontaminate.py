@@ -4,9 +4,11 @@ Texts are folded (lower case, every run of ASCII other than letters and digits o
 A document region within ``e`` edits of an item of ``m`` bytes shares at least ``m - q + 1 - q * e`` of the item's
 q-grams with it, on diagonals (place in document minus place in item) at most ``e`` apart. So shared q-grams are
 counted in diagonal bands of width 2w that overlap by w > e: the alignment's diagonals lie within one band whole.
-Bands that reach the bound are aligned; those within the budget are leaks.
+Bands that reach the bound are aligned; all regions within the budget are leaks. ``w`` is each item's own budget and one, so
+what is found for an item does not depend on the items beside it.
 
-The items go to the executors in blocks of bounded bytes, whatever their number.
+The items pass through the driver and go to the executors in blocks of ``BLOCK_BYTES``, one scan of the documents for each
+block. That bounds memory whatever their number; it suits lists up to some GB, not a second corpus.
 """
 
 from __future__ import annotations
@@ -52,7 +54,8 @@ class Items:
         # as many edits as leave at least q shared q-grams to count, and none in a very short item
         self.budget = np.maximum(np.minimum((rate * size).astype(np.int64), (size - 2 * q + 1) // q), 0)
         self.least = np.maximum(size - q + 1 - q * self.budget, 1)
-        self.width = int(self.budget.max(initial=0)) + 1
+        self.width = self.budget + 1
+        self.low = -(size // self.width) - 1
         self.longest = int(size.max(initial=0))
         all_ = [grams(t, q) for t in self.text]
         key = np.concatenate([*all_, np.zeros(0, np.uint64)])
@@ -81,48 +84,52 @@ class Items:
         n = self.count[slot]
         entry = np.repeat(self.first[slot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         item, diagonal = self.of[entry], np.repeat(place, n) - self.at[entry]
-        # counts in steps of a band's half; a band is two neighbouring steps
-        low = int(-(self.longest // self.width) - 1)
-        steps = len(data) // self.width - low + 2
-        key = item * steps + (diagonal // self.width - low)
-        if len(self.ids) * steps <= 4 * len(key) + (1 << 20):
-            count = np.bincount(key, minlength=len(self.ids) * steps + 1)
+        # counts in steps of a band's half; a band is two neighbouring steps, the last step of an item is never reached
+        steps = len(data) // self.width - self.low + 2
+        first = np.cumsum(steps) - steps
+        key = first[item] + diagonal // self.width[item] - self.low[item]
+        if first[-1] + steps[-1] <= 4 * len(key) + (1 << 20):
+            count = np.bincount(key, minlength=int(first[-1] + steps[-1]) + 1)
             kinds = np.flatnonzero(count)
             count, after = count[kinds], count[kinds + 1]
         else:
             kinds, count = np.unique(key, return_counts=True)
             after = np.append(np.where(kinds[1:] == kinds[:-1] + 1, count[1:], 0), 0) if len(kinds) else count
-        item, step = kinds // steps, kinds % steps
-        ok = count + after >= self.least[item]
+        of = np.searchsorted(first, kinds, "right") - 1
+        ok = count + after >= self.least[of]
         if not ok.any():
             return []
         # an item's q-gram counts once in a band, however often the document repeats it
-        bands = kinds[ok]
+        bands, of = kinds[ok], of[ok]
         spots, at = np.int64(self.longest + 1), self.at[entry]
         pairs = np.unique(np.concatenate([np.searchsorted(bands, b[on]) * spots + at[on] for b in (key, key - 1) for on in [np.isin(b, bands)]]))
-        ok = np.bincount(pairs // spots, minlength=len(bands)) >= self.least[bands // steps]
-        item, step = bands[ok] // steps, bands[ok] % steps
+        ok = np.bincount(pairs // spots, minlength=len(bands)) >= self.least[of]
         out: list[tuple[int, int, int]] = []
-        for i, s in zip(item.tolist(), step.tolist(), strict=True):
-            first, last = (s + low) * self.width, (s + low + 2) * self.width - 1
-            if out and out[-1][0] == i and first <= out[-1][2] and last - out[-1][1] < 4 * self.width:
+        for i, s in zip(of[ok].tolist(), (bands[ok] - first[of[ok]]).tolist(), strict=True):
+            width = int(self.width[i])
+            lowest = (s + int(self.low[i])) * width
+            last = lowest + 2 * width - 1
+            if out and out[-1][0] == i and lowest <= out[-1][2] and last - out[-1][1] < 4 * width:
                 out[-1] = (i, out[-1][1], last)  # bands that overlap are aligned as one
             else:
-                out.append((i, first, last))
+                out.append((i, lowest, last))
         return out
 
 
-def align(item: bytes, data: bytes, low: int, high: int, budget: int) -> tuple[int, int, int] | None:
-    """(edits, start, end) of the best match of the whole item in ``data`` with diagonals near [low, high].
+def align(item: bytes, data: bytes, low: int, high: int, budget: int) -> list[tuple[int, int, int]]:
+    """(edits, start, end) of every match of the whole item in ``data`` that ends on a diagonal in [low, high].
 
-    Banded dynamic programming: cell (i, d) is item prefix i against data up to i + d; any start is free. Of equal
-    edits the earliest end wins. None if over the budget.
+    Banded dynamic programming: cell (i, d) is item prefix i against data up to i + d; any start is free. Alignments
+    within the budget stay within ``budget`` diagonals of their end, so what is found does not depend on the band. Where the
+    item stands unchanged, only unchanged places are listed: every other match there overlaps one.
     """
-    low, high = low - budget, high + budget
-    exact = data.find(item, max(0, low), max(0, high + len(item)))
-    if exact >= 0:
-        return 0, exact, exact + len(item)
-    d = np.arange(low, high + 1)
+    exact, at = [], data.find(item, max(0, low))
+    while 0 <= at <= high:
+        exact.append((0, at, at + len(item)))
+        at = data.find(item, at + 1)
+    if exact:
+        return exact
+    d = np.arange(low - budget, high + budget + 1)
     far = len(item) + len(data) + 1
     text = np.frombuffer(data, np.uint8)
     inside = (d >= 0) & (d <= len(data))
@@ -146,9 +153,9 @@ def align(item: bytes, data: bytes, low: int, high: int, budget: int) -> tuple[i
         at = np.maximum.accumulate(np.where(slope == least, steps, 0))
         cost, start = np.minimum(least + steps, far), origin[at]
         if cost.min() > budget:
-            return None
-    end = int(cost.argmin())
-    return (int(cost[end]), max(0, int(start[end])), int(len(item) + d[end])) if cost[end] <= budget else None
+            return []
+    good = np.flatnonzero((cost <= budget) & (d >= low) & (d <= high))
+    return [(int(cost[k]), max(0, int(start[k])), int(len(item) + d[k])) for k in good]
 
 
 def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, bytes]]]:
@@ -170,8 +177,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     """Every document region within the edit budget of a benchmark item, one row per region.
 
     Returns ``(doc_id, item_id, edits, similarity, region_start, region_end)``; places are bytes of the folded
-    document, ``similarity`` is 1 - edits / item bytes. Of regions of one item that overlap, or that begin within four of the
-    block's largest edit budgets of each other, the one with the fewest edits stays (ties: the first). Null and empty texts have no region; items with a null id or of under ``Q`` folded bytes
+    document, ``similarity`` is 1 - edits / item bytes. Of regions of one item that overlap the one with the fewest edits
+    stays (ties: the first). Null and empty texts have no region; items with a null id or of under ``Q`` folded bytes
     match nothing. Rows that repeat an id are looked at each for itself. No item, or no document: an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -214,8 +221,8 @@ def _matches(index: Items, docs: list[tuple[int, bytes]]) -> list[tuple]:
         hi = int(np.searchsorted(ends, max(0, high + len(text) + budget), "right"))
         for k in range(lo, min(hi + 1, len(docs))):
             base = int(starts[k])
-            if hit := align(text, docs[k][1], low - base, high - base, budget):
-                best.setdefault((k, item), []).append(hit)
+            if hits := align(text, docs[k][1], low - base, high - base, budget):
+                best.setdefault((k, item), []).extend(hits)
     out = []
     for (k, item), hits in sorted(best.items()):
         kept: list[tuple[int, int, int]] = []

@@ -56,3 +56,38 @@ def test_blocks_and_empty(spark, monkeypatch):
     monkeypatch.setattr(d, "BLOCK_BYTES", 10)
     assert sorted((x.doc_id, x.item_id, x.edits) for x in d.find_leaks(docs, items).collect() if x.edits == 0) == [(1, 5, 0), (2, 6, 0)]
     assert d.find_leaks(docs, items.limit(0)).count() == 0 and d.find_leaks(docs.limit(0), items).count() == 0
+
+
+def ends(item, data, budget):
+    """Every (edits, end) within the budget by the plain table."""
+    row = [0] * (len(data) + 1)
+    for i, c in enumerate(item, 1):
+        new = [i]
+        for j, x in enumerate(data, 1):
+            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (c != x)))
+        row = new
+    return [(e, j) for j, e in enumerate(row) if e <= budget]
+
+
+def test_regions_do_not_depend_on_other_items(spark):
+    r = random.Random(5)
+    item, long_item = words(r, 16), words(r, 1000)
+    places = [edited(r, item, k) for k in (0, 1, 3, 5, 0, 2, 4, 0)]
+    docs = spark.createDataFrame([(1, " ".join(places)), (2, (item + " ") * 8), (3, " zz ".join(places[1:4]))], "doc_id long, text string")
+    alone = spark.createDataFrame([(1, item)], "item_id long, text string")
+    both = spark.createDataFrame([(1, item), (2, long_item)], "item_id long, text string")
+    one, two = (sorted(map(tuple, d.find_leaks(docs, x).collect())) for x in (alone, both))
+    assert one == two
+    text, budget = d.fold(item), int(d.Items([(1, d.fold(item))]).budget[0])
+    for x in docs.collect():
+        mine = [g for g in one if g[0] == x.doc_id]
+        found = ends(text, d.fold(x.text), budget)
+        # each place within the budget is one region, with the fewest edits among the ends near it
+        groups, last = [], -(10**9)
+        for e, j in found:
+            if j - last > len(text) // 2:
+                groups.append([])
+                last = j
+            groups[-1].append(e)
+        assert [g[2] for g in sorted(mine, key=lambda g: g[4])] == [min(g) for g in groups]
+        assert len(mine) == {1: 8, 2: 8, 3: 3}[x.doc_id]
