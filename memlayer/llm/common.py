@@ -17,7 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Where the session leaves it unset (tests, one machine) a temporary folder of this machine is set.
+    Where the session leaves it unset a temporary folder is set on a local master (tests, one machine); on a cluster that is
+    an error, as no executor would see the others' files.
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc._conf.get("spark.checkpoint.dir")
@@ -26,8 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
     known = sc._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
-    own = tempfile.mkdtemp(prefix="memlayer-")
-    sc.setCheckpointDir(own)
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="memlayer-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -61,24 +63,29 @@ def training_row(doc_id: Column | str) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % 4 != 2
 
 
+#: Large groups that are named in a broadcast, at most (a key and a number each); with more of them they are joined.
+LISTED_GROUPS = 100_000
+
+
 def paired_blocks(df: DataFrame, by: list[str], item: str, block: int) -> DataFrame:
     """Split large groups into pairs of blocks, so that no task holds a whole group.
 
-    ``df`` is keyed by ``by``; groups of one row are dropped (they have no pair). A group of up to
-    ``block`` rows stays as it is. A larger one is dealt into ``n = ceil(2 * size / block)`` blocks
-    by a hash of ``item`` and every block meets every other one, so each pair of rows shares a
-    part (``_i``, ``_j``) of about ``block`` rows. All pairs stay covered; nothing is dropped. ``_own``
-    is the block a row was dealt to: a pair within one block meets in several parts.
+    ``df`` is keyed by ``by`` (never null) and read twice. A group of up to ``block`` rows stays as it is (part 0, 0). A larger
+    one is dealt into ``n = ceil(2 * size / block)`` blocks by a hash of ``item`` and every block meets every other one, so each
+    pair of rows shares a part (``_i``, ``_j``) of about ``block`` rows. All pairs stay covered; nothing is dropped. ``_own``
+    is the block a row was dealt to: a pair within one block meets in several parts. Sizes are counted by partial
+    aggregation, so a hot group never passes one task whole.
     """
-    from pyspark.sql import Window
-
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    df = df.withColumn("_n", n).where("_n > 1")
-    blocks = F.when(F.col("_n") <= block, F.lit(1)).otherwise(F.ceil(2 * F.col("_n") / block)).cast("int")
+    large = materialize(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block), "large-groups")
+    known = large.limit(LISTED_GROUPS + 1).count()
+    if not known:
+        zero = F.lit(0)
+        return df.select("*", zero.alias("_own"), zero.alias("_i"), zero.alias("_j"))
+    df = df.join(F.broadcast(large) if known <= LISTED_GROUPS else large, by, "left")
+    blocks = F.coalesce(F.ceil(2 * F.col("_n") / block), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64(item, F.lit(7)), F.col("_b")).cast("int")
     df = df.withColumn("_b", blocks).withColumn("_own", own)
     other = F.explode(F.when(F.col("_b") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_b") - 1)))
-    df = df.withColumn("_o", other)
     # with more than one block, the part (b, b) is covered by every part (b, x)
-    df = df.where("_b = 1 or _o <> _own")
+    df = df.withColumn("_o", other).where("_b = 1 or _o <> _own")
     return df.withColumn("_i", F.least("_own", "_o")).withColumn("_j", F.greatest("_own", "_o")).drop("_b", "_o", "_n")

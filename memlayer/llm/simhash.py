@@ -86,7 +86,7 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Da
     """``nodes(node, fp)`` with distinct fp -> ``(a, b)``, links that connect what the full graph connects."""
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(covering_masks(radius))]))
     dealt = paired_blocks(nodes.select("node", "fp", keys.alias("k")).select("node", "fp", "k.t", "k.key"), ["t", "key"], "fp", block)
-    groups = dealt.groupBy("t", "key", "_i", "_j").agg(F.collect_list("node").alias("nodes"), F.collect_list("fp").alias("fps"))
+    groups = dealt.groupBy("t", "key", "_i", "_j").agg(F.collect_list("node").alias("nodes"), F.collect_list("fp").alias("fps")).where(F.size("nodes") > 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
