@@ -25,6 +25,8 @@ from memlayer.llm.common import training_row
 ORDER = 3
 #: Documents of each language that a model is trained on, at most.
 SAMPLE = 300
+#: Bytes of the longest text that a model is trained on; with SAMPLE it bounds what passes the driver.
+LONGEST = 1 << 20
 #: Grams that a worker remembers, at most; beyond it starts anew.
 MEMO = 4_000_000
 UNDETERMINED = "und"
@@ -137,12 +139,18 @@ class Scorer:
 
 
 def sample(docs: DataFrame, per_language: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: bool = False) -> DataFrame:
-    """At most ``per_language`` labelled documents of each language, by a hash of the id; ``held_out``: of those never learned from."""
-    rows = docs.where((~training_row(id_col) if held_out else training_row(id_col)) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id")
-    # ids and languages only are ranked; the texts of the chosen follow
-    chosen = rows.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select(F.col("doc_id").alias("_id"))
-    return rows.join(F.broadcast(chosen), rows[id_col] == F.col("_id")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    """``(lang, text)``: at most ``per_language`` labelled documents of each language, by a hash of the id; ``held_out``: of those never learned from.
+
+    Rows that repeat id, text and language count once; texts of over ``LONGEST`` bytes are not taken.
+    """
+    of = F.col(f"`{id_col}`"), F.col(f"`{lang_col}`"), F.col(f"`{text_col}`")
+    learnable = training_row(of[0])
+    rows = docs.where((~learnable if held_out else learnable) & of[1].isNotNull() & (F.octet_length(of[2]) <= LONGEST))
+    rows = rows.select(of[0].alias("id"), of[1].alias("lang"), of[2].alias("text"), F.xxhash64(of[2]).alias("h"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit(5)), "id", "h")
+    # keys and languages only are ranked; the texts of the chosen follow
+    chosen = rows.select("id", "lang", "h").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("id", "lang", "h").distinct()
+    return rows.join(F.broadcast(chosen), ["id", "lang", "h"]).dropDuplicates(["id", "lang", "h"]).select("lang", "text")
 
 
 def train(docs: DataFrame, per_language: int = SAMPLE, order: int = ORDER, **columns: str) -> dict[str, ContextTree]:

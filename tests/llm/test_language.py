@@ -86,3 +86,8 @@ def test_pipeline_rejects_foreign_and_gibberish(spark):
     planted = spark.createDataFrame([(10**7 + i, t) for i, t in enumerate(bad)], "doc_id long, text string")
     got = {x.doc_id for x in corpus_pipeline.keep_languages(spark, docs.select("doc_id", "text").union(planted), d).collect()}
     assert got == {x.doc_id for x in docs.where("text rlike '\\\\p{L}'").collect()}
+
+
+def test_repeated_ids_are_sampled_once(spark):
+    df = spark.createDataFrame([(1, f"text {k % 2}", "aa") for k in range(300)] + [(3, "other", "aa")], "doc_id long, text string, lang string")
+    assert language.sample(df, 300).count() <= 3
