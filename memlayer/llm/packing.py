@@ -1,8 +1,9 @@
 """Packing tokenised documents into fixed-length sequences by swap-based local search.
 
 Documents become pieces of at most ``capacity`` tokens. Pieces are dealt into parts of bounded size
-by a hash, each part is packed on its own (best fit over decreasing lengths, then local search), and
-bins that are not full meet again in ever fewer parts until one is left. Only lengths and ids travel.
+by a hash, each part is packed on its own, and bins that are not full meet again in ever fewer parts until one is left. Only
+lengths and ids travel. A part starts from best fit in arrival order, which leaves one or two of a hundred bins too many;
+the search then moves and exchanges documents until bins empty.
 """
 
 from __future__ import annotations
@@ -102,12 +103,11 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
-    """Best fit over decreasing lengths; a bit set of the free rooms finds the tightest bin."""
+    """Each piece in order into the fullest bin that takes it; a bit set of the free rooms finds it."""
     bins: list[list[int]] = []
     rooms: list[list[int]] = [[] for _ in range(capacity + 1)]
     free = 0
-    for i in np.argsort(-lengths, kind="stable").tolist():
-        n = int(lengths[i])
+    for i, n in enumerate(lengths.tolist()):
         if fits := free >> n:
             room = n + (fits & -fits).bit_length() - 1
             k = rooms[room].pop()
@@ -124,76 +124,147 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
+class Search:
+    """Bins under exchange. ``rooms[r]`` lists bins with r free tokens; ``offers[v]`` what bins could give back so that a unit of
+    up to ``v`` tokens fits.
+
+    A bin with room r that gives back u tokens (one document, or two) is offered at r + u, so the tightest exchange for a unit
+    of w tokens is the first offer from w on that gives back fewer. Entries of bins that changed since are passed over.
+    """
+
+    #: Offers looked at for one unit, and documents of a bin beyond which it offers no pairs.
+    LOOKS, FEW = 48, 12
+
+    def __init__(self, bins: list[list[int]], size: list[int], capacity: int) -> None:
+        self.size, self.capacity = size, capacity
+        self.bins = bins
+        self.fill = [sum(size[i] for i in b) for b in bins]
+        self.version = [0] * len(bins)
+        self.rooms: list[list] = [[] for _ in range(capacity + 1)]
+        self.offers: list[list] = [[] for _ in range(capacity + 1)]
+        self.free = self.some = 0
+        for k in range(len(bins)):
+            self.offer(k)
+
+    def units(self, k: int) -> dict[int, tuple[int, ...]]:
+        """Tokens -> one or two documents of a bin that hold so many, single documents first."""
+        b, size = self.bins[k], self.size
+        one = {size[i]: (i,) for i in b}
+        if len(b) > self.FEW:
+            return one
+        two = {size[i] + size[j]: (i, j) for x, i in enumerate(b) for j in b[:x]}
+        return two | one
+
+    def offer(self, k: int) -> None:
+        room, now = self.capacity - self.fill[k], self.version[k]
+        if not room or not self.bins[k]:
+            return
+        self.rooms[room].append((k, now, 0, ()))
+        self.free |= 1 << room
+        for u, docs in self.units(k).items():
+            self.offers[room + u].append((k, now, u, docs))
+            self.some |= 1 << (room + u)
+
+    def _first(self, table: str, lists: list[list], giver: int, w: int, pair: bool, end: int, looks: int):
+        """The first live entry from ``w`` to before ``end``: (place, entry)."""
+        least, v, mask = self.fill[giver], w, getattr(self, table) >> w
+        while mask and looks > 0:
+            step = (mask & -mask).bit_length() - 1
+            v += step
+            if v >= end:
+                return None
+            stack = lists[v]
+            while stack and stack[-1][1] != self.version[stack[-1][0]]:
+                stack.pop()
+            if not stack:
+                setattr(self, table, getattr(self, table) ^ 1 << v)
+            for entry in stack[: -looks - 1 : -1]:
+                looks -= 1
+                k, now, u, docs = entry
+                if now == self.version[k] and u < w and k != giver and self.fill[k] >= least and not (pair and len(docs) == 2):
+                    return v, entry
+            mask >>= step + 1
+            v += 1
+        return None
+
+    def tightest(self, giver: int, w: int, pair: bool) -> tuple[int, int, tuple[int, ...]] | None:
+        """(bin, tokens back, documents back) of the tightest move or exchange for ``w`` tokens of a bin at most as full."""
+        move = self._first("free", self.rooms, giver, w, False, self.capacity + 1, 1 << 30)
+        swap = None if move and move[0] == w else self._first("some", self.offers, giver, w, pair, move[0] if move else self.capacity + 1, self.LOOKS)
+        found = swap or move
+        return (found[1][0], *found[1][2:]) if found else None
+
+    def exchange(self, giver: int) -> bool:
+        """One move or exchange that brings the giver nearer to empty."""
+        for w, docs in sorted(self.units(giver).items(), reverse=True):
+            if not (found := self.tightest(giver, w, len(docs) == 2)):
+                continue
+            to, u, back = found
+            self.bins[giver] = [i for i in self.bins[giver] if i not in docs] + list(back)
+            self.bins[to] = [i for i in self.bins[to] if i not in back] + list(docs)
+            self.fill[giver] += u - w
+            self.fill[to] += w - u
+            self.version[giver] += 1
+            self.version[to] += 1
+            self.offer(to)
+            return True
+        return False
+
+
 def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, passes: int = 8) -> list[list[int]]:
     """Move or exchange documents between underfull bins while the sum of squared fills grows.
 
     From the emptiest bin on, each bin gives one or two documents to a bin at least as full and takes
     back none, one or two that are shorter in sum (not two for two), where the fuller bin stays within
     capacity. The tightest exchange is taken. Every step raises the sum of squares, so the search
-    ends; bins that lose all documents are dropped. Bins already full are left alone.
+    ends; bins that lose all documents are dropped. Full bins are left alone; the search stops at the fewest bins that the tokens
+    allow.
     """
     size = lengths.tolist()
     full = [b for b in bins if sum(size[i] for i in b) == capacity]
-    open_ = [list(b) for b in bins if sum(size[i] for i in b) < capacity]
-    total = sum(size[i] for b in open_ for i in b)
-    fill = [sum(size[i] for i in b) for b in open_]
-
-    def units(k: int) -> list[tuple[int, tuple[int, ...]]]:
-        b = open_[k]
-        few = b if len(b) <= 24 else sorted(b, key=lambda i: -size[i])[:24]  # pairs among the longest
-        return [(size[i], (i,)) for i in b] + [(size[i] + size[j], (i, j)) for x, i in enumerate(few) for j in few[:x]]
-
+    search = Search([list(b) for b in bins if sum(size[i] for i in b) < capacity], size, capacity)
+    fewest = -(-sum(search.fill) // capacity)
     for _ in range(passes):
-        alive = [k for k in range(len(open_)) if open_[k]]
-        if len(alive) <= -(-total // capacity):
-            break
-        changed = False
-        # the table of what a bin could give back: nothing, one or two documents
-        table: dict[int, list[tuple[int, tuple[int, ...]]]] = {k: [(0, ()), *units(k)] for k in alive}
-        owner = np.array([k for k in alive for _ in table[k]])
-        took = np.array([u[0] for k in alive for u in table[k]])
-        pair = np.array([len(u[1]) for k in alive for u in table[k]])
-        which = [u[1] for k in alive for u in table[k]]
-        fills = np.array(fill)
-        stale = np.zeros(len(open_), bool)
-        for k in sorted(alive, key=lambda k: fill[k]):
-            if stale[k]:
-                continue
-            moved = True
-            while moved and open_[k]:
-                moved = False
-                for want, items in sorted(units(k), reverse=True):
-                    room = capacity - fills[owner]
-                    gain = want - took
-                    ok = (gain > 0) & (gain <= room) & (owner != k) & ~stale[owner] & (fills[owner] >= fills[k]) & (pair + len(items) <= 3)
-                    if not ok.any():
-                        continue
-                    at = int(np.flatnonzero(ok)[np.argmin((room - gain)[ok])])
-                    to = int(owner[at])
-                    open_[k] = [i for i in open_[k] if i not in items] + list(which[at])
-                    open_[to] = [i for i in open_[to] if i not in which[at]] + list(items)
-                    d = int(gain[at])
-                    fill[k] -= d
-                    fill[to] += d
-                    fills[k], fills[to] = fill[k], fill[to]
-                    stale[to] = stale[k] = True  # their table entries hold no longer in this pass
-                    moved = changed = True
-                    break
-        if not changed:
+        alive = [k for k, b in enumerate(search.bins) if b]
+        left, changed = len(alive), False
+        for k in sorted(alive, key=lambda k: search.fill[k]):
+            if left <= fewest:
+                break
+            while search.bins[k] and search.exchange(k):
+                changed = True
+            left -= not search.bins[k]
+            search.offer(k)
+        if not changed or left <= fewest:
             break
-    return full + [b for b in open_ if b]
+    return full + [b for b in search.bins if b]
 
 
 def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
-    """Indices of ``lengths`` by bin."""
-    return local_search(best_fit(lengths, capacity), lengths, capacity)
+    """Indices of ``lengths`` by bin: the search from best fit in arrival order; where it misses the fewest bins that the
+    tokens allow, also from its own underfull bins emptied and filled anew, and from best fit in decreasing order. The fewest bins
+    stay."""
+    fewest = -(-int(lengths.sum()) // capacity)
+
+    def searched(some: np.ndarray) -> list[list[int]]:
+        return [some[b].tolist() for b in local_search(best_fit(lengths[some], capacity), lengths[some], capacity)]
+
+    every = np.arange(len(lengths))
+    bins = searched(every)
+    if len(bins) > fewest:
+        room = [capacity - int(lengths[b].sum()) for b in bins]
+        loose = np.array([i for b, r in zip(bins, room, strict=True) if r for i in b])
+        anew = [b for b, r in zip(bins, room, strict=True) if not r] + searched(loose[np.argsort(-lengths[loose], kind="stable")])
+        bins = min(bins, anew, key=len)
+    if len(bins) > fewest:
+        bins = min(bins, searched(np.argsort(-lengths, kind="stable")), key=len)
+    return bins
 
 
 def _packed(pieces_: DataFrame, part: str, capacity: int) -> DataFrame:
     """One round: pack each part; ``bin`` counts within the part, ``fill`` is the bin's tokens."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "piece"], kind="stable").reset_index(drop=True)
+        frame = frame.sort_values("pid", kind="stable").reset_index(drop=True)
         lengths = frame["length"].to_numpy()
         bin_, offset, fill = (np.zeros(len(frame), np.int64) for _ in range(3))
         for k, b in enumerate(pack(lengths, capacity)):
@@ -201,8 +272,9 @@ def _packed(pieces_: DataFrame, part: str, capacity: int) -> DataFrame:
             bin_[b], offset[b], fill[b] = k, ends - lengths[b], ends[-1]
         return frame.assign(bin=bin_, offset=offset, fill=fill)
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, bin long, offset long, fill long"
-    return pieces_.select("doc_id", "piece", "start", "length", "ids_crc32", F.expr(part).cast("long").alias("part")).groupBy("part").applyInPandas(run, schema)
+    # ids stay out of pandas, where a null would turn the others into floating-point numbers
+    rows = pieces_.select("pid", "length", F.expr(part).cast("long").alias("part"))
+    return rows.groupBy("part").applyInPandas(run, "pid long, length long, part long, bin long, offset long, fill long")
 
 
 def pack_sequences(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, part_pieces: int = PART_PIECES) -> DataFrame:
@@ -211,28 +283,26 @@ def pack_sequences(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     Returns one row per piece: ``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)``.
     A null or empty text is its end id alone, one token. Only documents of more than ``capacity``
     tokens are cut; all their pieces but the first are whole sequences. Rows that repeat a doc_id are
-    packed each for itself (ties may change places); a null doc_id stays null. An empty table gives an
-    empty result.
+    packed each for itself; a null doc_id stays null. Sequence ids are numbers made of round, part and bin, so no two sequences
+    share one. An empty table gives an empty result.
     """
-    cut = materialize(pieces(docs, tokenizer, id_col, text_col, capacity, end_id), "pieces")
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    whole = cut.where(F.col("length") == capacity)
+    cut = materialize(pieces(docs, tokenizer, id_col, text_col, capacity, end_id).withColumn("pid", F.monotonically_increasing_id()), "pieces")
     rest = cut.where(F.col("length") < capacity)
-    salt = "xxhash64(coalesce(doc_id, ids_crc32), piece)"
     parts = max(1, -(-rest.count() // part_pieces))
-    done = [whole.select(*columns, F.concat_ws("-", F.lit("w"), F.xxhash64("doc_id", "piece"), F.monotonically_increasing_id()).alias("sequence"), F.lit(0).cast("long").alias("offset"))]
-    now = materialize(_packed(rest, f"pmod({salt}, {parts})", capacity), "packed")
+    now = materialize(_packed(rest, f"pmod(xxhash64(pid), {parts})", capacity), "packed")
+    done = None
     for level in range(ROUNDS):
-        name = F.concat_ws("-", F.lit(f"r{level}"), "part", "bin")
-        if parts == 1 or level == ROUNDS - 1:
-            done.append(now.select(*columns, name.alias("sequence"), "offset"))
+        last = parts == 1 or level == ROUNDS - 1
+        # bins of a part are fewer than 2^20, rounds than 7
+        number = (F.shiftleft("part", 20) + F.col("bin")) * 8 + level
+        ready = (now if last else now.where(F.col("fill") == capacity)).select("pid", number.alias("sequence_id"), "offset")
+        done = ready if done is None else done.union(ready)
+        if last:
             break
-        done.append(now.where(F.col("fill") == capacity).select(*columns, name.alias("sequence"), "offset"))
         # the bins that are not full, in as many parts as keep each within a task
         left = now.where(F.col("fill") < capacity)
         parts = max(1, -(-left.count() // part_pieces))
         now = materialize(_packed(left, f"pmod(xxhash64(part, bin), {parts})", capacity), "packed")
-    out = done[0]
-    for d in done[1:]:
-        out = out.union(d)
-    return out.select(*columns, F.xxhash64("sequence").alias("sequence_id"), "offset")
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    whole = cut.where(F.col("length") == capacity).select(*columns, (F.col("pid") * 8 + 7).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return rest.join(done, "pid").select(*columns, "sequence_id", "offset").union(whole)

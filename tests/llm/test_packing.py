@@ -49,7 +49,7 @@ def test_packing_round_trip(spark):
             assert offset == at
             at += length
         assert at <= 512
-    assert len(by) <= -(-sum(x.length for x in out) // 512) + 5  # parts of 40 pieces may each leave one
+    assert len(by) <= -(-sum(x.length for x in out) // 512) + 8  # parts of 40 pieces may each leave one
     assert packing.pack_sequences(df.limit(0), PATH).count() == 0
 
 
@@ -70,3 +70,57 @@ def test_large_batches_lose_no_document(spark):
     n = 3 * packing.STEP + 7
     out = packing.pieces(spark.range(0, n, 1, 1).selectExpr("id as doc_id", "'a b' as text"), PATH)
     assert out.count() == n == out.select("doc_id").distinct().count()
+
+
+def fewest_bins(lengths, capacity):
+    """The least number of bins, by trying all assignments."""
+    best = len(lengths)
+
+    def place(k, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if k == len(lengths):
+            best = len(bins)
+            return
+        for i in range(len(bins)):
+            if bins[i] + lengths[k] <= capacity:
+                bins[i] += lengths[k]
+                place(k + 1, bins)
+                bins[i] -= lengths[k]
+        bins.append(lengths[k])
+        place(k + 1, bins)
+        bins.pop()
+
+    place(0, [])
+    return best
+
+
+def test_near_the_fewest_bins():
+    r = np.random.default_rng(3)
+    over = 0
+    for _ in range(60):
+        n = r.integers(2, 60, 9)
+        over += len(packing.pack(n, 100)) - fewest_bins(sorted(n.tolist(), reverse=True), 100)
+    assert 0 <= over <= 6
+
+
+def test_the_search_packs_what_the_start_leaves():
+    """Lengths of the documents' shape: the exchanges empty the bins that best fit in arrival order has too many."""
+    r = np.random.default_rng(1)
+    n = np.minimum(np.maximum(r.lognormal(5.6, 1.1, 8000).astype(int), 1), 2047)
+    start = packing.best_fit(n, 2048)
+    fewest = -(-int(n.sum()) // 2048)
+    searched, packed = packing.local_search([list(b) for b in start], n, 2048), packing.pack(n, 2048)
+    assert len(start) > len(searched) + 2 and len(searched) <= fewest * 1.003 and len(packed) <= fewest + 1
+    assert sorted(i for b in packed for i in b) == list(range(len(n)))
+
+
+def test_null_ids_leave_large_ids_alone_and_long_texts_take_the_library(spark, monkeypatch):
+    rows = [((1 << 60) + 1, "a b c"), (None, "d e"), ((1 << 60) + 3, "f")]
+    out = packing.pack_sequences(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()
+    assert {x.doc_id for x in out} == {i for i, _ in rows} and len({x.sequence_id for x in out}) == 1
+    texts = packing.TextIds(PATH)
+    fast = [texts(t) for t in ODD]
+    monkeypatch.setattr(packing, "LONG", 2)
+    assert [texts(t) for t in ODD] == fast
