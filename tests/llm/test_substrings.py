@@ -78,18 +78,68 @@ def test_maximal_repeats_have_all_occurrences():
     assert got == {(4, (1, 8)), (3, (1, 8, 14))}
 
 
-def test_earlier_matches_equal_brute_force():
+def test_interval_groups_equal_brute_force():
+    """All maximal repeats of random texts by trying every substring; the removed bytes by every pair of places."""
     r = random.Random(4)
-    for _ in range(300):
-        n = r.randrange(1, 25)
-        rows = [("".join(r.choices("ab", k=r.randrange(1, 9))).encode(), (r.randrange(3), i)) for i in range(n)]
-        r.shuffle(rows)
-
-        def common(a, b):
-            k = 0
-            while k < min(len(a), len(b)) and a[k] == b[k]:
-                k += 1
-            return k
-
-        want = [max([common(a, b) for b, q in rows if q < p], default=0) for a, p in rows]
-        assert substrings.earlier_matches(rows) == want
+    for _ in range(150):
+        data = "".join(r.choices("ab", k=r.randrange(4, 22))).encode()
+        least, starts = 2, list(range(len(data)))
+        want = {}
+        for n in range(least, len(data)):
+            for a in range(len(data) - n + 1):
+                at = tuple(i for i in range(len(data) - n + 1) if data[i : i + n] == data[a : a + n])
+                before, after = ({data[i + d] if 0 <= i + d < len(data) else -i - 1 for i in at} for d in (-1, n))
+                if len(at) > 1 and len(before) > 1 and len(after) > 1:
+                    want[n, at] = True
+        got = {(n, tuple(sorted(at))) for n, at in substrings.maximal_repeats(data, starts, [len(data)] * len(data), least)}
+        assert got == set(want)
+        _, groups = substrings.interval_groups([(data[i:], (i,)) for i in starts], [data[i - 1] if i else -1 for i in starts], least)
+        gone = {k for depth, _, _, _, rest in groups for i in rest for k in range(i, i + depth)}
+        assert gone == {k for i in starts for k in range(i, i + least) if i + least <= len(data) and data.find(data[i : i + least]) < i}
+
+
+def test_common_anchors_equal_brute_force(spark):
+    """One line in all documents among different neighbours, common in the sample."""
+    line = "This very common line stands in every document of the table, with other words before and after it. " * 2
+    r = random.Random(6)
+    word = lambda: "".join(r.choices("abcdef ", k=r.randrange(80, 300)))
+    rows = [(i, word() + line + word()) for i in range(150)] + [(500 + i, rows_) for i, rows_ in enumerate([line * 30, word() * 20])]
+    assert result(spark, rows, sampled=1) == brute(rows, 100)
+    assert result(spark, rows, sampled=1, hot=1) == brute(rows, 100)
+
+
+def test_equal_hashes_remove_nothing(spark, monkeypatch):
+    """A rolling hash of a few bits: groups mix different strings, and the bytes decide."""
+    real = substrings.Rolling.of
+    rows = corpus(5, n=25)
+    monkeypatch.setattr(substrings.Rolling, "of", lambda self, *a: real(self, *a) & substrings._U(7))
+    rolling = substrings.Rolling()
+    contexts = [t.encode()[:300] for _, t in rows if t and len(t.encode()) >= 100]
+    place = [(i, 0) for i in range(len(contexts))]
+    gone = {}
+    for c, a, b in substrings._later(rolling, substrings.np.zeros(len(contexts), substrings._U), contexts, place, 100):
+        gone.setdefault(c, set()).update(range(a, b))
+    seen = set()
+    for c, text in enumerate(contexts):
+        want = set()
+        for i in range(len(text) - 99):
+            if text[i : i + 100] in seen:
+                want |= set(range(i, i + 100))
+            seen.add(text[i : i + 100])
+        assert gone.get(c, set()) == want
+
+
+def test_groups_of_a_table(spark):
+    body = "".join(random.Random(3).choices("abcdefgh", k=130))
+    rows = [(1, "x" + body + "1"), (2, "yy" + body + "2"), (3, "z" + body[:110])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(x.length, tuple(sorted(tuple(o) for o in x.occurrences))) for x in substrings.repeat_groups(df).collect()}
+    assert (130, ((1, 1), (2, 2))) in got and (110, ((1, 1), (2, 2), (3, 1))) in got
+
+
+def test_windows_find_the_anchors_of_the_whole_text(monkeypatch):
+    text = substrings.np.frombuffer("".join(random.Random(7).choices("abcd", k=5000)).encode(), substrings.np.uint8)
+    whole = substrings.anchors(substrings.Rolling(), text, 100, 40)
+    monkeypatch.setattr(substrings, "WINDOW", 97)
+    parts = substrings.anchors(substrings.Rolling(), text, 100, 40)
+    assert len(whole[0]) > 50 and all((a == b).all() for a, b in zip(whole, parts, strict=True))
