@@ -1,9 +1,13 @@
 """Main text of web pages by site template removal.
 
-Each page is read once into element subtrees. Subtrees of block elements are hashed with their host and counted in
-Spark by the number of different articles they come with, so copies of one page count once. Subtrees that recur
-on many pages of a host are its template and are deleted, together with the elements whose tag, role or class says what
-they are. Where a page marks its article, the text is the article's.
+Each page is read once into element subtrees. Subtrees of block elements are hashed with their host in two ways: by their
+bytes, and by their shape (path of tags and classes from the root, tags and classes below, share of link text), which stays the same
+where a menu, advert or footer changes its words from page to page. Spark counts both by the number of different articles they
+come with, so copies of one page count once. Subtrees whose bytes recur on several pages of a host, or whose shape recurs on
+half of them, are its template and are deleted.
+
+What templates cannot know is settled after that: on hosts of few pages by tag, role and class, and where a page marks its article
+the text is the article's.
 """
 
 from __future__ import annotations
@@ -18,13 +22,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlayer.llm.common import materialize
+from memlayer.llm.common import discard, materialize
 
-#: Different articles of a host that a subtree must come with to be template, at least, and as a share of its pages.
+#: Different articles of a host that a subtree must come with to be template, at least; for a shape also as a share of its articles.
 LEAST_PAGES = 5
-SHARE = 0.01
-#: Characters of a recurring subtree within an article that may be deleted, at most: longer ones are content.
-INNER = 500
+SHARE = 0.5
 #: Template hashes that are broadcast (8 bytes each); above it they are joined.
 BROADCAST = 1_000_000
 
@@ -43,6 +45,8 @@ CLASSES = frozenset(
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 OUTER = frozenset("html body main article".split())
 MAIN = frozenset("main article".split())
+#: Elements without text of the page, whatever a host's template.
+MARKUP = frozenset("script style noscript template iframe svg head title canvas audio video object".split())
 HASHED = frozenset("aside details div dl figure footer form h1 h2 h3 h4 h5 h6 header li nav ol p section table ul".split())
 HASHED_WITHIN = frozenset("aside details div dl figure footer form header nav ol section table ul".split())
 
@@ -57,13 +61,18 @@ _WORD = re.compile(r"[^a-z0-9]+")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])|</{t}\Z", re.I) for t in RAW}
 
 
-def _boiler(tag: str, attributes: str, within: bool) -> bool:
+def _attributes(source: str) -> dict[str, str]:
+    if not source or source.isspace():
+        return {}
+    return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(source)}
+
+
+def _boiler(tag: str, found: dict[str, str], within: bool) -> bool:
     """Whether an element is no content by its tag, role, class, id or visibility."""
     if tag in BOILER or (tag == "header" and not within):
         return True
-    if not attributes or attributes.isspace():
+    if not found:
         return False
-    found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(attributes)}
     words = set(_WORD.split(found.get("class", "") + " " + found.get("id", "")))
     if tag == "article":
         return bool(words & {"comment", "comments"})
@@ -72,15 +81,43 @@ def _boiler(tag: str, attributes: str, within: bool) -> bool:
     return bool(words & CLASSES) or (not within and "header" in words) or found.get("role") in ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
 
 
+class Frame:
+    """An open element: what it holds so far. ``shapes``: (shape, all links) of its block and link children in order."""
+
+    __slots__ = ("tag", "start", "parts", "boiler", "within", "link", "label", "path", "shapes", "text", "linked", "main")
+
+    def __init__(self, tag: str, start: int, boiler: bool, within: bool, link: bool, label: str, path: int) -> None:
+        self.tag, self.start, self.boiler, self.within, self.link, self.label, self.path = tag, start, boiler, within, link, label, path
+        self.parts: list = []
+        self.shapes: list[tuple[int, bool]] = []
+        self.text = self.linked = 0
+        self.main = False
+
+    def shape(self) -> int:
+        """A hash of the element's structure; neighbours that are links only and alike count as one."""
+        below, last = [], None
+        for child in self.shapes:
+            if child != last or not child[1]:
+                below.append(child[0])
+            last = child
+        return _mix(f"{self.label} {4 * self.linked // max(self.text, 1)} {below}", 5)
+
+
+def _mix(text: str, seed: int) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed)
+
+
 class Page:
-    """One pass over a page. ``hashes``: template keys of its block subtrees; ``text``: what remains without ``templates``."""
+    """One pass over a page. ``hashes`` and ``shapes``: template keys of its block subtrees; ``text``: what remains without ``templates``.
+
+    ``rules``: also delete by tag, role and class; ``bound``: where an article is marked, its text only.
+    """
 
-    def __init__(self, source: str, host: str, templates=None) -> None:
+    def __init__(self, source: str, host: str, templates=None, rules: bool = True, bound: bool = True) -> None:
         self.hashes: list[int] = []
-        self.templates, self.source, self.prefix = templates, source, host.encode() + b"\0"
-        # a frame: tag, start, parts, boiler, within an article
-        self.stack: list[tuple] = [("", 0, [], False, False)]
-        self.mains = 0
+        self.shapes: list[int] = []
+        self.templates, self.source, self.prefix, self.rules, self.bound = templates, source, host.encode() + b"\0", rules, bound
+        self.stack = [Frame("", 0, False, False, False, "", _mix(host, 4))]
         at = 0
         while True:
             m = _TOKEN.search(source, at)
@@ -96,18 +133,23 @@ class Page:
             if m[1] or m[4]:
                 self._end(tag, m.start(), at)
                 continue
-            attributes = m[3] or m[6] or ""
-            self._start(tag, attributes, m.start())
+            self._start(tag, m[3] or m[6] or "", m.start())
             if tag in RAW:
                 end = _RAW_END[tag].search(source, at)
                 at = end.start() if end else len(source)
         while len(self.stack) > 1:
             self._close(len(source))
-        self.text = self._join(self.stack[0][2])
+        self.text = self._join(self.stack[0])
 
     def _text(self, s: str) -> None:
-        if s and not self.stack[-1][3]:
-            self.stack[-1][2].append(html.unescape(s) if "&" in s else s)
+        top = self.stack[-1]
+        if s and not top.boiler:
+            s = html.unescape(s) if "&" in s else s
+            top.parts.append(s)
+            n = len(s.strip())
+            top.text += n
+            if top.link:
+                top.linked += n
 
     def _start(self, tag: str, attributes: str, at: int) -> None:
         if tag in CLOSES_P:
@@ -116,14 +158,20 @@ class Page:
             self._close_implied("li", at, ("ul", "ol", "menu"))
         top = self.stack[-1]
         if tag in BLOCK or tag == "br":
-            top[2].append(" ")
+            top.parts.append(" ")
         if tag in VOID:
             return
-        self.stack.append((tag, at, [], top[3] or _boiler(tag, attributes, top[4]), top[4] or tag in MAIN))
+        found = _attributes(attributes)
+        boiler = top.boiler or (_boiler(tag, found, top.within) if self.rules else tag in MARKUP)
+        label, path = tag, top.path
+        if tag in BLOCK:
+            label = " ".join([tag, *sorted(found.get("class", "").split()), found.get("role", "")])
+            path = _mix(f"{top.path} {label}", 4)
+        self.stack.append(Frame(tag, at, boiler, top.within or tag in MAIN, top.link or tag == "a", label, path))
 
     def _close_implied(self, tag: str, at: int, scope: tuple = ()) -> None:
         for k in range(len(self.stack) - 1, 0, -1):
-            name = self.stack[k][0]
+            name = self.stack[k].tag
             if name == tag:
                 while len(self.stack) > k:
                     self._close(at)
@@ -134,7 +182,7 @@ class Page:
     def _end(self, tag: str, start: int, end: int) -> None:
         block = tag in BLOCK
         for k in range(len(self.stack) - 1, 0, -1):
-            name = self.stack[k][0]
+            name = self.stack[k].tag
             if name == tag:
                 while len(self.stack) > k + 1:
                     self._close(start)
@@ -144,28 +192,48 @@ class Page:
                 return
 
     def _close(self, at: int) -> None:
-        tag, start, parts, boiler, within = self.stack.pop()
-        top = self.stack[-1]
+        frame = self.stack.pop()
+        top, tag = self.stack[-1], frame.tag
         if tag in BLOCK:
-            top[2].append(" ")
-        inner = within and tag not in MAIN
-        if not top[3] and tag in (HASHED_WITHIN if inner else HASHED):
-            key = xxhash.xxh64_intdigest(self.prefix + self.source[start:at].encode("utf-8", "surrogatepass"), 9)
+            top.parts.append(" ")
+            shape = frame.shape()
+            top.shapes.append((shape, frame.text == frame.linked > 0))
+        elif tag == "a":
+            top.shapes.append((1, True))
+        else:
+            top.shapes += frame.shapes
+        inner, main = frame.within and tag not in MAIN, frame.main or tag in MAIN
+        top.main |= main
+        loose: list | Loose = frame.parts
+        if not top.boiler and tag in (HASHED_WITHIN if inner else HASHED):
+            key = xxhash.xxh64_intdigest(self.prefix + self.source[frame.start : at].encode("utf-8", "surrogatepass"), 9)
             self.hashes.append(key)
-            if self.templates is not None and key in self.templates and not (inner and len(self._join(parts)) > INNER):
+            if self.templates is not None and key in self.templates:
                 return
-        if boiler:
+            # an article's own paragraphs and containers may look alike on all pages: within it only links tell a template
+            if tag in HASHED_WITHIN and not main and (not inner or 2 * frame.linked >= frame.text > 0):
+                key = _mix(f"{frame.path} {shape}", 6)
+                self.shapes.append(key)
+                if self.templates is not None and key in self.templates:
+                    if inner:
+                        return
+                    loose = Loose(frame)
+        top.text += frame.text
+        top.linked += frame.linked
+        if frame.boiler:
             return
-        if tag in MAIN and not top[4]:
-            self.mains += 1
-            top[2].append((parts,))
+        if tag in MAIN and not top.within and self.bound:
+            top.parts.append((frame.parts,))
         else:
-            top[2].append(parts)
+            top.parts.append(loose)
 
-    def _join(self, parts: list) -> str:
-        """The parts in page order; only the articles' where there are any at the outer level."""
+    def _join(self, root: Frame) -> str:
+        """The parts in page order; only the articles' where there are any at the outer level.
+
+        A subtree of template shape that holds over half of the page's text is its content and stays.
+        """
         out, articles = [], []
-        queue: list[tuple] = [(parts, False)]
+        queue: list[tuple] = [(root.parts, False)]
         while queue:
             part, inside = queue.pop()
             if isinstance(part, str):
@@ -173,57 +241,75 @@ class Page:
             elif isinstance(part, tuple):
                 queue.append((part[0], True))
                 articles.append(" ")
+            elif isinstance(part, Loose):
+                if 2 * part.text > root.text:
+                    queue.append((part.parts, inside))
             else:
                 queue.extend((p, inside) for p in reversed(part))
         return " ".join("".join(articles or out).split())
 
 
+class Loose:
+    """A subtree of a template's shape, to be deleted unless it is the page's main text."""
+
+    __slots__ = ("parts", "text")
+
+    def __init__(self, frame: Frame) -> None:
+        self.parts, self.text = frame.parts, frame.text
+
+
 def _host(url: str | None) -> str:
     m = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", url or "")
     return m[1].lower() if m else ""
 
 
-def subtrees(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(page, host, article, key)``: a row for each block subtree, and one with a null key for each page."""
+def subtrees(pages: DataFrame, url_col: str = "url", html_col: str = "html", **how: bool) -> DataFrame:
+    """``(page, host, article, key, shape)``: a row for each block subtree and each of their shapes, and one with a null key for each page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            page, host, article, key = [], [], [], []
+            page, host, article, key, shape = [], [], [], [], []
             for url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 name = _host(url)
-                parsed = Page(source or "", name)
-                keys = [None, *dict.fromkeys(parsed.hashes)]
+                parsed = Page(source or "", name, **how)
+                keys = [(None, False), *((k, False) for k in dict.fromkeys(parsed.hashes)), *((k, True) for k in dict.fromkeys(parsed.shapes))]
                 page += [xxhash.xxh64_intdigest(name.encode() + b"\0" + (source or "").encode("utf-8", "surrogatepass"), 3)] * len(keys)
                 host += [xxhash.xxh64_intdigest(name.encode())] * len(keys)
                 article += [xxhash.xxh64_intdigest(parsed.text.encode("utf-8", "surrogatepass"))] * len(keys)
-                key += keys
+                key += [k for k, _ in keys]
+                shape += [x for _, x in keys]
             columns = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in (page, host, article)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([None if k is None else k - (1 << 64) if k >> 63 else k for k in key], pa.int64())], names=["page", "host", "article", "key"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([None if k is None else k - (1 << 64) if k >> 63 else k for k in key], pa.int64()), pa.array(shape, pa.bool_())], names=["page", "host", "article", "key", "shape"])
 
-    return pages.select(F.col(f"`{url_col}`"), F.col(f"`{html_col}`")).mapInArrow(run, "page long, host long, article long, key long")
+    return pages.select(F.col(f"`{url_col}`"), F.col(f"`{html_col}`")).mapInArrow(run, "page long, host long, article long, key long, shape boolean")
 
 
 def templates(found: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
-    """``(key, n)``: subtrees that come with enough different articles of their host."""
-    each = found.groupBy("host", "key", "article").agg(F.first("page").alias("page"))
-    counted = each.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
+    """``(key, n)``: subtrees that come with enough different articles of their host, shapes also with a share of them."""
+    each = found.groupBy("host", "key", "shape", "article").agg(F.first("page").alias("page"))
+    counted = each.groupBy("host", "key", "shape").agg(F.count(F.lit(1)).alias("n"))
     whole = counted.where("key is null").select("host", F.col("n").alias("pages"))
-    return counted.where(F.col("key").isNotNull() & (F.col("n") >= least_pages)).join(whole, "host").where(F.col("n") >= share * F.col("pages")).select("key", "n")
+    frequent = counted.where(F.col("key").isNotNull() & (F.col("n") >= least_pages)).join(whole, "host")
+    return frequent.where(~F.col("shape") | (F.col("n") >= share * F.col("pages"))).select("key", "n")
 
 
-def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
+def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, share: float = SHARE, rules: bool = True, bound: bool = True) -> DataFrame:
     """``(page_id, url, text)``, one row per input row.
 
     Null and empty pages have an empty text; null urls share one host without a name. Character references are
     decoded, each run of white space in the text becomes one space, blocks are joined by one space. Rows that repeat an
-    id are read each for itself. An empty table gives an empty result.
+    id are read each for itself. A recurring subtree within an article is deleted whatever its length, its headings, paragraphs and
+    list items never for themselves. ``rules`` and ``bound`` switch off what follows the templates: deletion by tag, role and
+    class, and the article's bound. An empty table gives an empty result.
     """
+    how = {"rules": rules, "bound": bound}
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))
-    found = materialize(subtrees(rows), "subtrees")
+    found = materialize(subtrees(rows, **how), "subtrees")
     known = materialize(templates(found, least_pages, share), "templates")
     shared = None
     if known.count() <= BROADCAST:
         shared = rows.sparkSession.sparkContext.broadcast(frozenset(x.key % (1 << 64) for x in known.select("key").toLocalIterator()))
+        discard(found)
         rows = rows.withColumn("keys", F.array().cast("array<long>"))
     else:
         hits = found.join(known, "key").groupBy("page").agg(F.collect_set("key").alias("keys"))
@@ -234,7 +320,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
             out = []
             for url, source, keys in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 known = shared.value if shared is not None else {k % (1 << 64) for k in keys or ()}
-                out.append(Page(source or "", _host(url), known).text)
+                out.append(Page(source or "", _host(url), known, **how).text)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
     kind = rows.schema["page_id"].dataType.simpleString()

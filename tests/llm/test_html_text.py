@@ -1,3 +1,5 @@
+import re
+
 from memlayer.llm import html_text as h
 
 SCHEMA = "page_id long, url string, html string, text string, keys string"
@@ -47,3 +49,54 @@ def test_recurring_subtrees_are_deleted_by_host(spark, monkeypatch):
         out = [(x.page_id, x.text) for x in h.extract_text(site(spark)).collect()]
         want = [(i, f"own words {i}") for i in range(12)] + [(100 + i, "same page") for i in range(30)] + [(200 + i, f"lead {i} a licence line") for i in range(8)] + [(300, "no url"), (None, "y"), (5, "")]
         assert sorted(out, key=str) == sorted(want, key=str)
+
+
+def varied(i, words="alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()):
+    """A page whose menu, advert and footer differ in their words on every page, and whose article holds a long notice."""
+    import random
+
+    r = random.Random(i)
+    pick = lambda k: " ".join(r.choices(words, k=k))
+    menu = "".join(f"<li><a href='/{w}'>{w}{i}</a></li>" for w in r.choices(words, k=r.randrange(4, 9)))
+    own = [pick(r.randrange(5, 60)) for _ in range(r.randrange(1, 6))]
+    notice = "<div class='x9'><p>" + "All rights are with the makers of this site and its readers. " * 12 + "</p></div>"
+    article = f"<h1>{pick(4)} {i}</h1>" + "".join(f"<p>{p}</p>" for p in own[:1]) + notice + "".join(f"<p>{p}</p>" for p in own[1:])
+    html = f"<html><head><title>t</title><style>p{{}}</style></head><body><div class='top'><ul>{menu}</ul></div><div class='q7'>{pick(9)}</div><div class='story'>{article}</div><div class='end'>(c) {pick(5)}</div></body></html>"
+    return html, " ".join([re.search("<h1>(.*?)</h1>", html)[1], *own])
+
+
+def test_templates_alone_find_what_differs_in_words(spark):
+    """No tag, class or article mark helps here: shapes and bytes counted by host carry the result."""
+    pages = [(i, "https://v.example/p", *varied(i)) for i in range(40)]
+    df = spark.createDataFrame([(i, u, s) for i, u, s, _ in pages], "page_id long, url string, html string").repartition(3)
+    for how in ({"rules": False, "bound": False}, {}):
+        out = {x.page_id: x.text for x in h.extract_text(df, **how).collect()}
+        assert all(out[i] == want for i, _, _, want in pages)
+
+
+def test_counts_equal_brute_force(spark):
+    """Templates by plain dictionaries over every page of a table, then each page without them."""
+    from collections import defaultdict
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html").collect()
+    rows += [(10**6 + i, "https://v.example/p", varied(i)[0]) for i in range(8)] + [(10**6 + 50 + i, "https://v.example/p", varied(1)[0]) for i in range(9)]
+    come, whole, shapes = defaultdict(set), defaultdict(set), set()
+    for _, url, source in rows:
+        page = h.Page(source or "", h._host(url), rules=False, bound=False)
+        whole[h._host(url)].add(page.text)
+        shapes |= set(page.shapes)
+        for key in page.hashes + page.shapes:
+            come[h._host(url), key].add(page.text)
+    known = {key for (host, key), texts in come.items() if len(texts) >= 5 and (key not in shapes or 2 * len(texts) >= len(whole[host]))}
+    df = spark.createDataFrame([tuple(x) for x in rows], "page_id long, url string, html string").repartition(4)
+    found = h.templates(h.subtrees(df, rules=False, bound=False))
+    assert {x.key % (1 << 64) for x in found.collect()} == known
+    got = {x.page_id: x.text for x in h.extract_text(df, rules=False, bound=False).collect()}
+    assert all(got[i] == h.Page(source or "", h._host(url), known, rules=False, bound=False).text for i, url, source in rows)
+
+
+def test_the_main_text_of_a_like_page_stays(spark):
+    """Pages of one shape throughout: what holds most of the text is no template."""
+    rows = [(i, "https://w.example/p", f"<body><div class='m'><a href='/'>home {i}</a></div><div class='c'><p>some text {i} of this page that is long</p></div></body>") for i in range(20)]
+    out = h.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string"), rules=False).collect()
+    assert all(x.text == f"some text {x.page_id} of this page that is long" for x in out)
