@@ -111,12 +111,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = privacy.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"), privacy.fit(spark))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = privacy.find_personal_data(docs, privacy.fit(spark, docs.where(training_row("doc_id"))))
     return found.select(
-        "doc_id",
-        *[privacy.count_of("_base", k).alias(f"n_{k}") for k in privacy.KINDS],
-        F.sha2(privacy.listed("_base"), 256).alias("base_sha256"),
-        privacy.listed("_spans").alias("spans"),
+        "row.doc_id",
+        *[privacy.count_of("base", k).alias(f"n_{k}") for k in privacy.KINDS],
+        F.sha2(privacy.listed("base"), 256).alias("base_sha256"),
+        privacy.listed("spans").alias("spans"),
     )
 
 

@@ -57,7 +57,7 @@ def test_additions_redaction_and_odd_rows(spark):
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string, kind string")
     model = privacy.fit(spark)
-    found = privacy.find_personal_data(df, model).select("doc_id", "kind", privacy.listed("_spans").alias("spans"), privacy.redacted("text").alias("text"), privacy.count_of("_base", "ip").alias("n"))
+    found = privacy.find_personal_data(df, model).select("row.doc_id", "row.kind", privacy.listed("spans").alias("spans"), privacy.redacted(F.col("row.text")).alias("text"), privacy.count_of("base", "ip").alias("n"))
     out = {x.doc_id: x for x in found.collect()}
     assert found.count() == 7 and out[None].n == 2 and out[None].spans == "ip:0:7,ip:12:19"
     assert out[None].text == "[IP] and [IP]" and out[3].text is None and out[4].text == "" and out[5].text == rows[5][1]
@@ -66,9 +66,37 @@ def test_additions_redaction_and_odd_rows(spark):
     assert privacy.find_personal_data(df.limit(0), model).count() == 0
 
 
-def test_the_trees_fit_their_examples(spark):
-    model = privacy.fit(spark)
-    assert set(model) == {0, 1, 2, 3} and all(m[1] < float("inf") for m in model.values())
+def test_clashing_names_and_many_spans(spark):
+    text = "a@b.de 1.2.3.4 " * 3000 + "mail jo at example dot com " * 500
+    df = spark.createDataFrame([(1, text, 7, "q", [1])], "doc_id long, text string, _t int, _spans string, _base array<int>")
+    x = privacy.find_personal_data(df, privacy.fit(spark)).first()
+    assert (x.row._t, x.row._spans, x.row._base, len(x.base)) == (7, "q", [1], 6000) and len(x.spans) == 6500
+
+
+def test_wide_needs_are_implied_by_the_patterns():
+    r = random.Random(2)
+    for kind, name in enumerate(privacy.KINDS):
+        wide, needs = (re.compile(p.replace("}+", "}")) for p in (privacy.WIDE[name], privacy.WIDE_NEEDS[name]))
+        hits = 0
+        for _ in range(2000):
+            hit = {0: "jane.doe@example.co.uk", 1: "10.0.0.255", 2: "4111111111111111", 3: "+1 974 555 3436"}[kind]
+            text = r.choice(["", "contact ", "x ", "\n"]) + r.choice([privacy.respelt(r, kind, hit), privacy.look_alike(r, kind)]) + r.choice(["", " now", ","])
+            if wide.search(text):
+                hits += 1
+                assert needs.search(text), text
+        assert hits > 1500
+
+
+def test_the_trees_fit_their_examples_and_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for given in (None, docs):
+        rows = privacy.learn(spark, given)
+        model = privacy.fit(spark, given)
+        assert all(m[1] < float("inf") for m in model.values())
+        for n in range(4):
+            mine = [(y, sum(privacy._walk(t, x) for t in model[n][0]) >= model[n][1]) for k, y, part, x in rows if k == n and part == 1]
+            right = [a for a, chosen in mine if chosen]
+            assert sum(right) / len(right) >= 0.97 and sum(right) / sum(y for y, _ in mine) > 0.8
 
 
 def test_query_on_the_documents(spark):
