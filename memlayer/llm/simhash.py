@@ -39,10 +39,20 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
     for at in range(0, count, 1 << 16):
         to = min(count, at + (1 << 16))
         h = np.fromiter((digest(join(parts[i : i + words]), seed) for i in range(at, to)), np.uint64, to - at)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += _ones(h)
     return int(np.packbits(2 * ones > count, bitorder="little").view(np.uint64)[0])
 
 
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def bits_of(hashes: np.ndarray) -> int:
+    """The fingerprint of a set of 64-bit hashes."""
+    ones = sum((_ones(hashes[at : at + (1 << 16)]) for at in range(0, len(hashes), 1 << 16)), np.zeros(64, np.int64))
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """``(doc_id, fp)``, one row per input row; fp is the fingerprint as a signed long."""
 
