@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -127,40 +128,35 @@ def parse_names(text: str) -> list[str]:
     return [p.strip() for p in text.split(",") if p.strip()]
 
 
-def _next_boundary(data: bytes, at: int) -> int:
-    at += 1
-    while at < len(data) and data[at] & 0xC0 == 0x80:
-        at += 1
-    return at
+def byte_tail(text: Column | str, n: int) -> Column:
+    """The longest end of a text that has at most ``n`` bytes, in whole characters (TOK8)."""
+    text = column(text)
+    sizes = F.filter(F.sequence(F.lit(0), F.lit(n)), lambda k: F.octet_length(F.right(text, k)) <= n)
+    return F.right(text, F.array_max(sizes))
 
 
-def tail_of(text: str, n: int) -> str:
-    """At most the last ``n`` bytes, from a character's start on (TOK8)."""
-    data = text.encode()
-    start = max(0, len(data) - n)
-    while start < len(data) and data[start] & 0xC0 == 0x80:
-        start += 1
-    return data[start:].decode()
+#: Marks that no chunk ends right after. Fixed values.
+NO_CUT_AFTER = ".!?\n"
 
 
 def cut_chunks(text: str, target: int) -> list[str]:
     """Chunks of at least ``target`` bytes, none ending right after a sentence mark or line end (TOK7).
 
-    A chunk closes before the first character from which on it holds the target and whose predecessor is
-    no such mark; the chunks concatenate to the text.
+    Each cut is the first allowed place from the target on, found among the places after any other character by their byte
+    offsets; the chunks concatenate to the text.
     """
-    data = text.encode()
-    out, last, at, before = [], 0, 0, ""
-    while at < len(data):
-        after = _next_boundary(data, at)
-        if at > last and at - last >= target and before not in (".", "!", "?", "\n"):
-            out.append(data[last:at].decode())
-            last = at
-        before = data[at:after].decode()
-        at = after
-    if last < len(data):
-        out.append(data[last:].decode())
-    return out
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not len(points):
+        return []
+    ends = np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))
+    allowed = np.flatnonzero(~np.isin(points, [ord(c) for c in NO_CUT_AFTER]))
+    # a cut behind the last character would leave an empty chunk; no chunk is empty even for a target of 0
+    allowed = allowed[allowed < len(points) - 1]
+    places, cuts, at = ends[allowed], [0], 0
+    while (k := int(np.searchsorted(places, at + max(target, 1)))) < len(places):
+        cuts.append(int(allowed[k]) + 1)
+        at = int(places[k])
+    return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)])]
 
 
 def chunk_documents(df: DataFrame, target: int, id_col: str, text_col: str) -> DataFrame:

@@ -39,11 +39,10 @@ def normalized(a: Column | str) -> Column:
 
 
 def softmax(a: Column | str) -> Column:
-    """Probabilities, stabilised by the maximum (AGG11)."""
-    a = column(a)
-    top = F.array_max(a)
-    parts = F.transform(a, lambda x: F.exp(x - top))
-    return F.transform(parts, lambda x: x / F.aggregate(parts, F.lit(0.0), lambda s, y: s + y))
+    """Probabilities, stabilised by the maximum (AGG11); maximum and sum are taken once."""
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    parts = once(F.array_max(column(a)), lambda top: F.transform(column(a), lambda x: F.exp(x - top)))
+    return once(parts, lambda p: once(F.aggregate(p, F.lit(0.0), lambda s, y: s + y), lambda total: F.transform(p, lambda x: x / total)))
 
 
 def mean_pooled(rows: Column, mask: Column) -> Column:

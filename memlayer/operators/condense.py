@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlayer.functions.text import column, sentences, whitespace_tokens, words
-from memlayer.operators.retrieval import bm25_weight
+from memlayer.operators.retrieval import K1, B
 
 #: Summary methods. Fixed values.
 METHODS = ("None", "ExtractiveBM25", "DistilBart", "LlmFull", "LlmLazy", "UserManual")
@@ -24,66 +30,86 @@ def truncate(text: Column | str, budget: int, tail: int) -> Column:
     return F.when(F.size(w) <= budget, text).otherwise(cut)
 
 
+def sentence_scores(tokens: list) -> np.ndarray:
+    """BM25 self-information of each sentence (its tokens) among the sentences of one text (AGG7)."""
+    sizes = np.array([len(t) for t in tokens], float)
+    df = Counter(term for t in tokens for term in set(t))
+    n, mean = len(tokens), max(sizes.mean(), 1.0) if len(tokens) else 1.0
+    out = np.zeros(n)
+    for k, t in enumerate(tokens):
+        room = K1 * (1 - B + B * sizes[k] / mean)
+        out[k] = sum(math.log((n - df[term] + 0.5) / (df[term] + 0.5) + 1) * tf * (K1 + 1) / (tf + room) for term, tf in Counter(t).items())
+    return out
+
+
+def best_sentences(tokens: list, most: int) -> list[int]:
+    """Places of the best sentences in order (WIN3); scores are compared to nine decimals, ties by place."""
+    scores = sentence_scores(tokens).round(9)
+    return sorted(sorted(range(len(tokens)), key=lambda k: (-scores[k], k))[:most])
+
+
+def selected_sentences(tokens: list, budget: int, tail: int) -> list[int]:
+    """Places kept of a text over budget: the tail from the end (WIN6), then of the rest the best that fit (WIN7), in order (SET3)."""
+    costs, kept, used, back = [len(t) for t in tokens], [], 0, 0
+    for k in range(len(costs) - 1, -1, -1):
+        back += costs[k]
+        if back > tail:
+            break
+        if costs[k]:
+            kept.append(k)
+            used += costs[k]
+    forced, taken, room = set(kept), 0, max(budget - used, 0)
+    scores = sentence_scores(tokens).round(9)
+    for k in sorted((k for k in range(len(costs)) if k not in forced), key=lambda k: (-scores[k], k)):
+        if taken + costs[k] <= room:
+            kept.append(k)
+            taken += costs[k]
+            if taken >= room:
+                break
+    return sorted(kept)
+
+
+def _by_text(df: DataFrame, id_col: str, text_col: str, name: str, kind: str, one) -> DataFrame:
+    """``(id, s, t, <name>)``: each text's sentences, their tokens and ``one(tokens)``; a row stays a row, nothing is shuffled."""
+
+    @F.pandas_udf(kind)
+    def run(tokens: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else one([list(x) for x in t]) for t in tokens])
+
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), sentences(text_col).alias("s"))
+    rows = rows.withColumn("t", F.transform("s", whitespace_tokens))
+    return rows.withColumn(name, run("t"))
+
+
 def scored_sentences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, pos, sentence, cost, score)``: BM25 self-information of each sentence in its text (AGG7).
 
     ``cost`` is the number of tokens; frequencies and the mean length are of the text's own sentences.
     """
-    parts = df.select(F.col(id_col).alias("id"), F.posexplode(sentences(text_col)).alias("pos", "sentence"))
-    parts = parts.withColumn("tokens", whitespace_tokens("sentence"))
-    sizes = parts.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    terms = parts.select("id", "pos", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("id", "term", "pos").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    terms = terms.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("id", "term")))
-    weights = terms.join(sizes, "id").groupBy("id", "pos").agg(F.sum(bm25_weight(F.col("tf"), F.col("dl"), F.col("df"), F.col("n"), F.col("avgdl"))).alias("score"))
-    return parts.select("id", "pos", "sentence", F.size("tokens").alias("cost")).join(weights, ["id", "pos"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    rows = _by_text(df, id_col, text_col, "z", "array<double>", lambda t: sentence_scores(t).tolist())
+    zipped = F.arrays_zip(F.col("s").alias("sentence"), F.transform("t", lambda t: F.size(t)).alias("cost"), F.col("z").alias("score"))
+    return rows.select("id", F.posexplode(zipped).alias("pos", "x")).select("id", "pos", "x.sentence", "x.cost", "x.score")
 
 
-def _joined(kept: DataFrame) -> DataFrame:
-    rows = kept.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "sentence"))).alias("s"))
-    return rows.select("id", F.array_join(F.transform("s", lambda x: x["sentence"]), " ").alias("out"))
+def _chosen() -> Column:
+    return F.array_join(F.transform("kept", lambda k: F.get(F.col("s"), k)), " ")
 
 
 def extractive_summary(df: DataFrame, id_col: str, text_col: str, max_sentences: int = 3) -> DataFrame:
-    """``(id, summary)``: the best sentences in their order (SUM1, WIN3); at most the limit: all of them.
-
-    Scores are compared to nine decimals, ties by position.
-    """
-    top = Window.partitionBy("id").orderBy(F.desc(F.round("score", 9)), "pos")
-    kept = scored_sentences(df, id_col, text_col).withColumn("r", F.row_number().over(top)).where(F.col("r") <= max(max_sentences, 1))
-    return df.select(F.col(id_col).alias("id")).join(_joined(kept), "id", "left").select("id", F.coalesce("out", F.lit("")).alias("summary"))
+    """``(id, summary)``: the best sentences in their order (SUM1); at most the limit: all of them. A null text has an empty summary."""
+    rows = _by_text(df, id_col, text_col, "kept", "array<int>", lambda t: best_sentences(t, max(max_sentences, 1)))
+    return rows.select("id", F.coalesce(_chosen(), F.lit("")).alias("summary"))
 
 
 def selective_context(df: DataFrame, id_col: str, text_col: str, budget: int, tail: int) -> DataFrame:
     """``(id, compressed)``: keep the last sentences within ``tail`` tokens and the most informative of the rest (CMP2).
 
-    The tail is a running sum from the end (WIN6); sentences without tokens are passed over. The head takes sentences by
-    score, skips those that do not fit and stops when full (WIN7), which is a fold over the sorted sentences of one text.
+    No sentence gives an empty text, a total within the budget the text as it is, and none kept a mark.
     """
-    scored = scored_sentences(df, id_col, text_col)
-    back = Window.partitionBy("id").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
-    scored = scored.withColumn("tail", (F.col("cost") > 0) & (F.sum("cost").over(back) <= tail))
-    order = F.array_sort(F.collect_list(F.when(~F.col("tail"), F.struct((-F.round("score", 9)).alias("k"), F.col("pos"), F.col("cost")))))
-    each = scored.groupBy("id").agg(
-        order.alias("head"),
-        F.array_sort(F.collect_list(F.struct("pos", "sentence", "tail"))).alias("all"),
-        F.sum("cost").alias("total"),
-        F.coalesce(F.sum(F.when(F.col("tail"), F.col("cost"))), F.lit(0)).alias("used"),
-    )
-    room = F.greatest(F.lit(budget) - F.col("used"), F.lit(0))
-
-    def take(state: Column, x: Column) -> Column:
-        fits = ~state["full"] & (state["used"] + x["cost"] <= room)
-        used = F.when(fits, state["used"] + x["cost"]).otherwise(state["used"])
-        return F.struct(used.alias("used"), (state["full"] | (fits & (used >= room))).alias("full"), F.when(fits, F.array_append(state["kept"], x["pos"])).otherwise(state["kept"]).alias("kept"))
-
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(False).alias("full"), F.array().cast("array<int>").alias("kept"))
-    each = each.withColumn("kept", F.aggregate("head", start, take, lambda s: s["kept"]))
-    chosen = F.filter("all", lambda s: s["tail"] | F.array_contains(F.col("kept"), s["pos"]))
-    out = F.when(F.size(chosen) == 0, F.lit("…")).otherwise(F.array_join(F.transform(chosen, lambda s: s["sentence"]), " "))
-    each = each.select("id", "total", out.alias("out"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    whole = df.select(F.col(id_col).alias("id"), text.alias("text")).join(each, "id", "left")
-    return whole.select("id", F.when(F.col("total").isNull(), F.lit("")).when(F.col("total") <= budget, F.col("text")).otherwise(F.col("out")).alias("compressed"))
+    rows = _by_text(df, id_col, text_col, "kept", "array<int>", lambda t: selected_sentences(t, budget, tail))
+    total = F.aggregate("t", F.lit(0), lambda n, t: n + F.size(t))
+    out = F.when(F.size("kept") == 0, F.lit("…")).otherwise(_chosen())
+    return rows.select("id", F.when(F.coalesce(F.size("s"), F.lit(0)) <= 0, F.lit("")).when(total <= budget, F.col("text")).otherwise(out).alias("compressed"))
 
 
 def keep_pieces(pieces: DataFrame, budgets: DataFrame, tail_words: int, min_keep: float = 0.05) -> DataFrame:
@@ -113,6 +139,27 @@ def dispatch(level: Column | str, methods: dict[int, str], default: str | None =
     return F.coalesce(out, F.raise_error(F.lit("no summarizer for this level"))) if default is None else out
 
 
+def method_for(level: int, methods: dict[int, str], default: str | None = None) -> str | None:
+    """The method registered for exactly this level, else the default's (SUM2)."""
+    return methods.get(level, default)
+
+
+def summarize(df: DataFrame, id_col: str, text_col: str, level_col: str, summarizers: dict[int, tuple[str, Callable]], default: tuple[str, Callable] | None = None) -> DataFrame:
+    """``(id, method, summary)``: each text by the summariser of its level (SUM2).
+
+    ``summarizers`` maps a level to a method's name and ``(df, id, text) -> (id, summary)``; a row goes to the greatest level at
+    most its own, levels under 1 counting as 1, else to the default; without one that is an error. Each summariser sees its own
+    rows only.
+    """
+    chosen = dispatch(level_col, {at: str(at) for at in summarizers}, "default" if default else None)
+    rows = df.withColumn("_which", chosen)
+    out = None
+    for which, (method, run) in {**{str(at): s for at, s in summarizers.items()}, **({"default": default} if default else {})}.items():
+        part = run(rows.where(F.col("_which") == which), id_col, text_col).select("id", F.lit(method).alias("method"), "summary")
+        out = part if out is None else out.union(part)
+    return out
+
+
 def protection(locked: Column | str, edited: Column | str, force: Column | bool) -> Column:
     """Whether a new summary applies (SUM3): a lock beats force, an edit yields to it."""
     forced = F.lit(force) if isinstance(force, bool) else force

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from memlayer.functions.text import column, label_class, payload_text, similarity_note
-from memlayer.functions.vectors import cosine, head_argmax
+from memlayer.functions.text import SPACE, column, label_class, payload_text, similarity_note, words
+from memlayer.functions.vectors import cosine, hash_embedding, head_argmax
+from memlayer.sources.steps import materialize
 
 
 def classify_regex(text: Column | str, rules: list[tuple[str, str]], default: str = "Unknown") -> Column:
@@ -38,24 +40,56 @@ def classify_linear(vector: Column | str, head: dict) -> Column:
     return label_class(F.get(names, head_argmax(vector, head["weights"], head["bias"])))
 
 
-def train_head(rows: DataFrame, vector_col: str, label_col: str, labels: list[str], steps: int = 200, rate: float = 0.5) -> dict:
-    """Multinomial logistic regression by full-batch gradient steps, each one aggregation (CLS3)."""
-    first = rows.select(F.size(vector_col)).first()
-    dim = first[0] if first else 0
-    data = rows.select(F.col(vector_col).alias("v"), F.col(label_col).alias("y"))
+def train_head(rows: DataFrame, vector_col: str, label_col: str, labels: list[str], steps: int = 60, rate: float = 0.5) -> dict:
+    """Multinomial logistic regression over all rows by full-batch gradient steps (CLS3); export it with :func:`write_head`.
+
+    A step is one scan: each partition sums its part of the gradient in numpy, and only these sums, a number for each weight,
+    meet. Rows with a null vector or another label, or of another dimension than the first, teach nothing.
+    """
     import numpy as np
+    import pandas as pd
+
+    first = rows.where(F.col(vector_col).isNotNull()).select(F.size(vector_col)).first()
+    dim, k = first[0] if first else 0, len(labels)
+    place = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(label_col)) - 1
+    data = rows.where((F.size(vector_col) == dim) & F.col(label_col).isin(*labels)).select(F.col(vector_col).alias("v"), place.cast("int").alias("y"))
+    data = materialize(data, "head")
+    w = np.zeros((k, dim + 1))
+
+    def gradients(batches):
+        total = np.zeros((k, dim + 2))  # the last column counts rows
+        for batch in batches:
+            if len(batch):
+                x = np.column_stack([np.stack(batch["v"].to_numpy()).astype(float), np.ones(len(batch))])
+                z = x @ w.T
+                p = np.exp(z - z.max(axis=1, keepdims=True))
+                p /= p.sum(axis=1, keepdims=True)
+                p[np.arange(len(batch)), batch["y"]] -= 1
+                total[:, :-1] += p.T @ x
+                total[0, -1] += len(batch)
+        yield pd.DataFrame({"at": range(total.size), "g": total.ravel()})
 
-    w, b = np.zeros((len(labels), dim)), np.zeros(len(labels))
-    sample = data.limit(20_000).collect()  # heads are trained on small labelled sets
-    x = np.array([r.v for r in sample], float).reshape(len(sample), dim)
-    y = np.eye(len(labels))[[labels.index(r.y) for r in sample]]
     for _ in range(steps):
-        z = x @ w.T + b
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        g = p / p.sum(axis=1, keepdims=True) - y
-        w -= rate * g.T @ x / max(len(x), 1)
-        b -= rate * g.mean(axis=0)
-    return {"labels": labels, "embedding_dim": dim, "weights": w.tolist(), "bias": b.tolist()}
+        sums = data.mapInPandas(gradients, "at int, g double").groupBy("at").agg(F.sum("g").alias("g")).collect()
+        total = np.zeros(k * (dim + 2))
+        total[[x.at for x in sums]] = [x.g for x in sums]
+        total = total.reshape(k, dim + 2)
+        w = w - rate * total[:, :-1] / max(total[0, -1], 1)
+    return {"labels": labels, "embedding_dim": dim, "weights": w[:, :-1].tolist(), "bias": w[:, -1].tolist()}
+
+
+def write_head(spark: SparkSession, head: dict, path: str) -> None:
+    """A head as one line of JSON that :func:`read_head` takes, written through Spark."""
+    spark.range(1).select(F.lit(json.dumps(head)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_head_file(spark: SparkSession, path: str) -> dict:
+    return read_head("\n".join(x.value for x in spark.read.text(path).collect()))
+
+
+def classify_texts(df: DataFrame, id_col: str, text_col: str, head: dict, embed=hash_embedding) -> DataFrame:
+    """``(id, class)``: embed each text, then the head (CLS2); ``embed(df, id, text)`` gives ``(id, embedding)``."""
+    return embed(df, id_col, text_col).select("id", classify_linear("embedding", head).alias("class"))
 
 
 def holdout_accuracy(rows: DataFrame, predicted: str, label: str, gate: float = 4 / 6) -> DataFrame:
@@ -83,6 +117,31 @@ def detect_similar(vectors: DataFrame, id_col: str, vector_col: str, references:
     return scored.withColumn("matched", similarity_note("similarity", F.col("score")))
 
 
+#: Passages of one row that a text meets where no word can stand for them.
+PASSAGE_BLOCK = 256
+
+
+def contains_join(texts: DataFrame, id_col: str, text_col: str, passages: DataFrame, passage_id: str, passage_col: str) -> DataFrame:
+    """``(<id>, <passage id>)`` of every passage that a text contains, case folded (FLT7), by an equi-join on a word.
+
+    A contained passage's words but the first and last are words of the text, so its longest inner word is looked up among the
+    texts' words and the few pairs that meet are compared. Passages without an inner word go over all texts in blocks.
+    """
+    doc = texts.select(F.col(id_col).alias("i"), F.lower(text_col).alias("t")).where("t is not null")
+    asked = passages.select(F.col(passage_id).alias("p"), F.lower(passage_col).alias("s")).where("s is not null")
+    inner = F.slice(F.split("s", rf"{SPACE}+"), 2, F.greatest(F.size(F.split("s", rf"{SPACE}+")) - 2, F.lit(0)))
+    asked = asked.withColumn("word", F.array_max(F.transform(F.filter(inner, lambda w: w != ""), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    keyed, short = asked.where("word is not null"), asked.where("word is null").select("p", "s")
+    met = doc.select("i", "t", F.explode(F.array_distinct(words("t"))).alias("word")).join(keyed, "word")
+    found = met.where(F.contains("t", F.col("s"))).select("i", "p")
+    n = short.count()
+    if n:
+        blocks = short.groupBy(F.pmod(F.xxhash64("p"), F.lit(-(-n // PASSAGE_BLOCK))).alias("b")).agg(F.collect_list(F.struct("p", "s")).alias("ps"))
+        more = doc.crossJoin(blocks).select("i", "t", F.explode("ps").alias("x")).where(F.contains("t", F.col("x.s"))).select("i", "x.p")
+        found = found.union(more)
+    return found.select(F.col("i").alias(id_col), F.col("p").alias(passage_id))
+
+
 def cascade(stages: list[DataFrame]) -> DataFrame:
     """Events of the first stage that has any for an id (DET4, WIN10); each stage is ``(id, label, matched)``."""
     rows = None
@@ -93,7 +152,7 @@ def cascade(stages: list[DataFrame]) -> DataFrame:
     return rows.withColumn("_first", first).where("stage = _first").drop("_first")
 
 
-def cascade_lazily(df: DataFrame, id_col: str, stages: list) -> DataFrame:
+def cascade_lazily(df: DataFrame, id_col: str, stages: list[Callable[[DataFrame], DataFrame]]) -> DataFrame:
     """As :func:`cascade`, where a stage ``df -> (id, label, matched)`` sees only rows without events so far."""
     out, rest = None, df
     for n, stage in enumerate(stages):

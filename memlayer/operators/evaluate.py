@@ -56,6 +56,14 @@ def regressions(baseline: DataFrame, current: DataFrame) -> DataFrame:
     return passed(baseline).exceptAll(passed(current))
 
 
+def snapshot_delta(baseline: DataFrame, current: DataFrame) -> DataFrame:
+    """``(ablation, before, now, delta)``: passing cases of two snapshots (AGG12); a configuration in one of them only counts 0 in the other."""
+    passed = lambda df, name: df.groupBy("ablation").agg(F.count_if("correct").alias(name))
+    both = passed(baseline, "before").join(passed(current, "now"), "ablation", "full")
+    both = both.select("ablation", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("before", "now")])
+    return both.withColumn("delta", F.col("now") - F.col("before"))
+
+
 def ablation_matrix(cases: DataFrame, ablations: tuple[str, ...] = ABLATIONS) -> DataFrame:
     """Every case under every configuration (EVL4)."""
     return cases.withColumn("ablation", F.explode(F.array(*[F.lit(a) for a in ablations])))

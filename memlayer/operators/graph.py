@@ -5,47 +5,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memlayer.sources.steps import discard, materialize
 
-def closure(edges: DataFrame, src: str, dst: str, max_depth: int = 1000) -> DataFrame:
+
+def closure(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """All ``(id, ancestor, depth)`` along edges, each pair once at its least depth (JN7-9).
 
-    Paths double in each round, so a chain of n edges takes log2(n) joins; pairs already known are dropped, so a cycle ends
-    (its members are their own ancestors).
+    Paths double in each round, so a chain of n edges takes log2(n) joins; the loop ends when a round adds no pair, so there is
+    no limit on depth and a cycle ends (its members are their own ancestors). A round's pairs are written to the shared folder.
+    The closure of a chain of n edges holds n (n + 1) / 2 pairs: that is its size, use :func:`chain` for given starts.
     """
-    known = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.col(src).alias("id"), F.col(dst).alias("ancestor")).distinct().withColumn("depth", F.lit(1))
-    known = known.checkpoint() if _shared(known) else known
-    size, reach = known.count(), 1
-    while size and reach < max_depth:
+    once = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.col(src).alias("id"), F.col(dst).alias("ancestor")).distinct()
+    known = materialize(once.withColumn("depth", F.lit(1)), "closure")
+    size = known.count()
+    while size:
         far = known.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("to"), F.col("depth").alias("more"))
         longer = known.join(far, "ancestor").select("id", F.col("to").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
-        following = known.union(longer).groupBy("id", "ancestor").agg(F.min("depth").alias("depth"))
-        following = following.checkpoint() if _shared(following) else following
-        count, reach = following.count(), 2 * reach
+        following = materialize(known.union(longer).groupBy("id", "ancestor").agg(F.min("depth").alias("depth")), "closure")
+        count = following.count()
+        discard(known)
+        known = following
         if count == size:
-            break
-        known, size = following, count
+            return known
+        size = count
     return known
 
 
-def _shared(df: DataFrame) -> bool:
-    return df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-
-
-def chain(nodes: DataFrame, id_col: str, parent_col: str, start: DataFrame, max_depth: int = 100) -> DataFrame:
+def chain(nodes: DataFrame, id_col: str, parent_col: str, start: DataFrame) -> DataFrame:
     """``(start, id, depth)`` from each start upwards, the start at depth 0, stopping at a missing node (CTX2).
 
-    A join per level while a level has rows; a node met again ends its chain.
+    Jumps double as in :func:`closure`: each round every node learns the ancestor twice as far up, and each reached node takes its
+    jump, so a path of n levels takes log2(n) rounds. A node met again ends its chain: it is listed at its least depth.
     """
-    known = nodes.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent"))
-    level = start.select(F.col(start.columns[0]).alias("start")).distinct().join(known, F.col("start") == F.col("id")).select("start", "id", "parent", F.array("id").alias("seen"))
-    out = level.select("start", "id", F.lit(0).alias("depth"))
-    for depth in range(1, max_depth + 1):
-        up = level.select("start", F.col("parent").alias("id"), "seen").where("id is not null and not array_contains(seen, id)").join(known, "id")
-        level = up.select("start", "id", "parent", F.concat("seen", F.array("id")).alias("seen"))
-        if level.isEmpty():
+    one = nodes.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent"))
+    jump = materialize(one.join(one.select(F.col("id").alias("parent")), "parent").select("id", F.col("parent").alias("up")), "jump")
+    begun = start.select(F.col(start.columns[0]).alias("start")).distinct()
+    known = materialize(begun.join(one, F.col("start") == F.col("id")).select("start", "id", F.lit(0).cast("long").alias("depth")), "chain")
+    size, step = known.count(), 1
+    while size:
+        further = known.join(jump, "id").select("start", F.col("up").alias("id"), (F.col("depth") + step).alias("depth"))
+        following = materialize(known.union(further).groupBy("start", "id").agg(F.min("depth").alias("depth")), "chain")
+        count = following.count()
+        discard(known)
+        known = following
+        if count == size:
             break
-        out = out.union(level.select("start", "id", F.lit(depth).alias("depth")))
-    return out
+        size, step = count, 2 * step
+        twice = materialize(jump.join(jump.select(F.col("id").alias("up"), F.col("up").alias("next")), "up").select("id", F.col("next").alias("up")), "jump")
+        discard(jump)
+        jump = twice
+    return known.select("start", "id", F.col("depth").cast("int").alias("depth"))
 
 
 def chain_fixed(nodes: DataFrame, id_col: str, parent_col: str, start: DataFrame, levels: int) -> DataFrame:

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memlayer.functions.text import fill, words
+
 MAX_TOKENS = 512
 
 
@@ -34,16 +36,44 @@ def onnx_session(model_path: str, tokenizer_path: str) -> Callable[[], tuple]:
     return make
 
 
-def _mapped(df: DataFrame, id_col: str, columns: list[str], make: Callable, one: Callable, schema: str) -> DataFrame:
+#: Texts of one forward pass.
+BATCH = 32
+
+
+def _mapped(df: DataFrame, id_col: str, columns: list[str], make: Callable, many: Callable, schema: str) -> DataFrame:
+    """``many(model, rows)`` gives an output for each row of a batch."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make()
         for batch in batches:
-            yield pd.DataFrame([(row[0], one(model, *row[1:])) for row in batch.itertuples(index=False, name=None)], columns=["id", "out"])
+            rows = list(zip(*(batch[c] for c in batch.columns[1:]), strict=True))
+            yield pd.DataFrame({"id": batch["id"], "out": pd.Series(many(model, rows), dtype=object, index=batch.index)})
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col).alias("id"), *columns).mapInPandas(run, f"id {kind}, out {schema}")
 
 
+def _each(one: Callable) -> Callable:
+    return lambda model, rows: [one(model, *row) for row in rows]
+
+
+def forwarded(forward: Callable, encodings: list, names: tuple[str, ...] = ("input_ids", "attention_mask")) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(place, output, mask) of each encoding: those of like length go through the model together, padded with zeros."""
+    get = {"input_ids": "ids", "attention_mask": "attention_mask", "token_type_ids": "type_ids"}
+    order = sorted(range(len(encodings)), key=lambda k: len(encodings[k].ids))
+    for at in range(0, len(order), BATCH):
+        some = order[at : at + BATCH]
+        width = min(max(len(encodings[k].ids) for k in some), MAX_TOKENS)
+        arrays = {n: np.zeros((len(some), width), np.int64) for n in names}
+        for row, k in enumerate(some):
+            for n in names:
+                values = getattr(encodings[k], get[n])[:width]
+                arrays[n][row, : len(values)] = values
+        out = forward(arrays)
+        for row, k in enumerate(some):
+            yield k, out[row], arrays["attention_mask"][row]
+
+
 def pooled(states: np.ndarray, mask: np.ndarray, dim: int) -> list[float]:
     """Mean over unmasked tokens, norm 1."""
     mean = (states * mask[:, None]).sum(axis=0) / max(mask.sum(), 1e-9)
@@ -54,21 +84,26 @@ def pooled(states: np.ndarray, mask: np.ndarray, dim: int) -> list[float]:
 
 
 def encode(df: DataFrame, id_col: str, text_col: str, make: Callable, dim: int, prefix: str = "") -> DataFrame:
-    """``(id, embedding)`` by an encoder (EMB3, EMB4): prefix, truncate, forward, pool, normalise."""
+    """``(id, embedding)`` by an encoder (EMB3, EMB4): prefix, truncate, forward in batches, pool, normalise."""
 
-    def one(model: tuple, text: str | None) -> list[float]:
+    def many(model: tuple, rows: list) -> list:
         tokenizer, forward = model
-        e = tokenizer.encode(prefix + (text or ""))
-        ids, mask = (np.array([x[:MAX_TOKENS]], np.int64) for x in (e.ids, e.attention_mask))
-        return pooled(forward({"input_ids": ids, "attention_mask": mask})[0], mask[0], dim)
+        out: list = [None] * len(rows)
+        for k, states, mask in forwarded(forward, [tokenizer.encode(prefix + (text or "")) for (text,) in rows]):
+            out[k] = pooled(states, mask, dim)
+        return out
 
-    return _mapped(df, id_col, [text_col], make, one, "array<double>").withColumnRenamed("out", "embedding")
+    return _mapped(df, id_col, [text_col], make, many, "array<double>").withColumnRenamed("out", "embedding")
 
 
-def embeddings(df: DataFrame, id_col: str, text_col: str, provider: str = "hash", dim: int = 64, make: Callable | None = None) -> DataFrame:
-    """The configured provider (EMB6): ``hash``, or ``onnx`` with a factory."""
+def embeddings(df: DataFrame, id_col: str, text_col: str, provider: str | None = None, dim: int = 64, make: Callable | None = None) -> DataFrame:
+    """``(id, embedding)`` by the provider that is named, or that the session's key ``memlayer.embedding.provider`` names (EMB6):
+    ``hash`` (the default), or ``onnx`` with a factory."""
+    provider = provider or df.sparkSession.conf.get("memlayer.embedding.provider", "hash")
     if provider == "onnx" and make is not None:
         return encode(df, id_col, text_col, make, dim)
+    if provider != "hash":
+        raise ValueError(f"no embedding provider {provider}")
     from memlayer.functions.vectors import hash_embedding
 
     return hash_embedding(df, id_col, text_col, dim)
@@ -79,23 +114,29 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return p / p.sum(axis=-1, keepdims=True)
 
 
-def entailments(df: DataFrame, id_col: str, premise: str, labels: list[str], template: str, make: Callable, entail: int, least: float = 0.5) -> DataFrame:
-    """``(id, label, score, matched)`` of labels whose hypothesis the text entails (DET3); no labels load no model."""
+def entailments(df: DataFrame, id_col: str, text_col: str, labels: list[str], template: str, make: Callable, entail: int, least: float = 0.5, premise: str = "{text}", turn_col: str | None = None) -> DataFrame:
+    """``(id, label, score, matched)`` of labels whose hypothesis the text entails (DET3); no labels load no model.
+
+    ``premise`` and ``template`` may name ``{text}``, ``{new_turn}`` (the turn's payload) and ``{label}``. Premises are cut from
+    the end, so a long one may lose its hypothesis.
+    """
     if not labels:
         return df.sparkSession.createDataFrame([], f"id {df.schema[id_col].dataType.simpleString()}, label string, score double, matched string")
+    values = {"text": F.coalesce(F.col(text_col), F.lit("")), "new_turn": F.coalesce(F.col(turn_col), F.lit("")) if turn_col else F.lit("")}
+    pairs = df.select(F.col(id_col).alias("id"), F.explode(F.array(*[F.lit(x) for x in labels])).alias("label"), *[v.alias(n) for n, v in values.items()])
+    named = {n: F.col(n) for n in (*values, "label")}
+    pairs = pairs.select(F.struct("id", "label").alias("key"), fill(premise, **named).alias("premise"), fill(template, **named).alias("hypothesis"))
 
-    def one(model: tuple, text: str | None) -> list[float]:
+    def many(model: tuple, rows: list) -> list:
         tokenizer, forward = model
-        out = []
-        for label in labels:
-            e = tokenizer.encode(text or "", template.replace("{label}", label))
-            ids, mask, kinds = (np.array([x[:MAX_TOKENS]], np.int64) for x in (e.ids, e.attention_mask, e.type_ids))
-            out.append(float(softmax(forward({"input_ids": ids, "attention_mask": mask, "token_type_ids": kinds})[0])[entail]))
+        out: list = [None] * len(rows)
+        for k, logits, _ in forwarded(forward, [tokenizer.encode(a, b) for a, b in rows], ("input_ids", "attention_mask", "token_type_ids")):
+            out[k] = float(softmax(logits)[entail])
         return out
 
-    scored = _mapped(df, id_col, [premise], make, one, "array<double>")
-    rows = scored.select("id", F.explode(F.arrays_zip(F.array(*[F.lit(x) for x in labels]).alias("label"), F.col("out").alias("score"))).alias("x")).select("id", "x.*")
-    return rows.where(F.col("score") >= least).withColumn("matched", F.format_string("entailment=%.3f", "score"))
+    scored = _mapped(pairs, "key", ["premise", "hypothesis"], make, many, "double")
+    found = scored.select("id.id", "id.label", F.col("out").alias("score")).where(F.col("score") >= least)
+    return found.withColumn("matched", F.format_string("entailment=%.3f", "score"))
 
 
 def keep_probabilities(ids: list[int], special: list[bool], forward: Callable, keep: int, window: int = MAX_TOKENS, first: int = 101, last: int = 102) -> np.ndarray:
@@ -119,10 +160,26 @@ def token_probabilities(df: DataFrame, id_col: str, text_col: str, make: Callabl
         p = keep_probabilities(e.ids, special, forward, keep)
         return [(i, e.tokens[i], float(p[i])) for i in range(len(e.ids)) if not special[i]]
 
-    rows = _mapped(df, id_col, [text_col], make, one, "array<struct<pos:int,piece:string,prob:double>>")
+    rows = _mapped(df, id_col, [text_col], make, _each(one), "array<struct<pos:int,piece:string,prob:double>>")
     return rows.select("id", F.explode("out").alias("x")).select("id", "x.*")
 
 
+def pruned(df: DataFrame, id_col: str, text_col: str, make: Callable, budget: int, tail: int, keep: int = 1, min_keep: float = 0.05) -> DataFrame:
+    """``(id, compressed)``: texts of over ``budget`` words keep the tokens most worth it (CMP3).
+
+    Texts within the budget stay; the others' tokens are scored, selected by :func:`memlayer.operators.condense.keep_pieces` and
+    joined again, pieces that continue a word without a space. Where nothing is kept the text stays.
+    """
+    from memlayer.operators.condense import keep_pieces
+
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.size(words(text_col)), F.lit(0)).alias("words"))
+    over = rows.where(F.col("words") > budget)
+    kept = keep_pieces(token_probabilities(over, "id", "text", make, keep), over.select("id", F.lit(budget).alias("target_words"), "words"), tail, min_keep)
+    joined = kept.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("p"))
+    joined = joined.select("id", F.replace(F.array_join(F.transform("p", lambda x: x["piece"]), " "), F.lit(" ##"), F.lit("")).alias("out"))
+    return rows.join(joined, "id", "left").select("id", F.coalesce(F.when(F.col("out") != "", F.col("out")), "text").alias("compressed"))
+
+
 def greedy_decode(step: Callable[[list[int]], np.ndarray], start: int, end: int, longest: int = 142, shortest: int = 56) -> list[int]:
     """Greedy tokens from a step function giving the next logits (SUM4).
 
@@ -150,4 +207,4 @@ def abstractive(df: DataFrame, id_col: str, text_col: str, make: Callable, start
         ids = tokenizer.encode(text).ids[:longest_input]
         return tokenizer.decode(greedy_decode(begin(ids), start, end, longest, shortest)).strip()
 
-    return _mapped(df, id_col, [text_col], make, one, "string").withColumnRenamed("out", "summary")
+    return _mapped(df, id_col, [text_col], make, _each(one), "string").withColumnRenamed("out", "summary")

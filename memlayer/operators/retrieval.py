@@ -9,37 +9,68 @@ from pyspark.sql import functions as F
 
 from memlayer.functions.text import Tokenizer, whitespace_tokens
 from memlayer.functions.vectors import cosine
+from memlayer.sources.steps import materialize
 
 K1, B = 1.2, 0.75
 
 
+#: Distinct query terms that are broadcast to filter postings, at most; more are joined.
+LISTED_TERMS = 200_000
+
+
 @dataclass(frozen=True)
 class Index:
-    """Postings (term, id, tf, dl), document frequencies (term, df) and the corpus row (n, avgdl)."""
+    """Documents as ``(id, dl, tokens)``, or their saved postings ``(term, id, tf, dl)``, and the corpus row ``(n, avgdl)``.
+
+    Only the postings of asked terms are ever formed from documents: their tokens are filtered before they are counted.
+    """
 
-    postings: DataFrame
-    frequencies: DataFrame
+    documents: DataFrame | None
     corpus: DataFrame
+    saved: DataFrame | None = None
     tokenizer: Tokenizer = whitespace_tokens
 
+    @property
+    def postings(self) -> DataFrame:
+        """All postings (AGG1)."""
+        if self.saved is not None:
+            return self.saved
+        return _counted(self.documents.select("id", "dl", F.explode("tokens").alias("term")))
+
+    def postings_of(self, terms: DataFrame) -> DataFrame:
+        """``terms(term)``, each once -> ``(term, id, tf, dl, df)``."""
+        few = terms.limit(LISTED_TERMS + 1).count() <= LISTED_TERMS
+        asked = F.broadcast(terms) if few else terms
+        if self.saved is not None:
+            found = self.saved.join(asked, "term")
+        else:
+            found = _counted(self.documents.select("id", "dl", F.explode("tokens").alias("term")).join(asked, "term"))
+        # document frequencies of asked terms only: one row each
+        found = materialize(found, "postings")
+        frequencies = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        return found.join(F.broadcast(frequencies) if few else frequencies, "term")
+
     def save(self, path: str) -> None:
         """Write the tables; postings are sorted by term so that scans for a few terms skip row groups."""
         self.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        self.frequencies.write.mode("overwrite").parquet(f"{path}/frequencies")
         self.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
 
     @staticmethod
     def load(spark: SparkSession, path: str, tokenizer: Tokenizer = whitespace_tokens) -> Index:
-        return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "frequencies", "corpus")), tokenizer)
+        return Index(None, spark.read.parquet(f"{path}/corpus"), spark.read.parquet(f"{path}/postings"), tokenizer)
+
+
+def _counted(tokens: DataFrame) -> DataFrame:
+    return tokens.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
 def build_index(docs: DataFrame, id_col: str, text_col: str, tokenizer: Tokenizer = whitespace_tokens) -> Index:
-    """RET1, AGG1-3: documents without tokens count in the number and mean length."""
+    """RET1, AGG1-3: each text is tokenised once, into a table of the shared folder; documents without tokens count in the number
+    and mean length."""
     tokens = docs.select(F.col(id_col).alias("id"), tokenizer(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
-    postings = tokens.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    frequencies = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    corpus = tokens.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.size("tokens")), F.lit(0.0)).alias("avgdl"))
-    return Index(postings, frequencies, corpus, tokenizer)
+    tokens = materialize(tokens.select("id", F.size("tokens").alias("dl"), "tokens"), "tokens")
+    corpus = tokens.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+    return Index(tokens, corpus, None, tokenizer)
 
 
 def bm25_weight(tf: Column, dl: Column, df: Column, n: Column, avgdl: Column) -> Column:
@@ -50,8 +81,8 @@ def bm25_weight(tf: Column, dl: Column, df: Column, n: Column, avgdl: Column) ->
 def bm25_scores(index: Index, queries: DataFrame, query_id: str, query_text: str) -> DataFrame:
     """``(query_id, id, score)`` of every document that shares a token (RET2, JN2, FLT4); repeated query tokens count each time."""
     terms = queries.select(F.col(query_id).alias("query_id"), F.explode(index.tokenizer(F.coalesce(F.col(query_text), F.lit("")))).alias("term"))
-    terms = terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf")).join(index.frequencies, "term")
-    hits = terms.join(index.postings, "term").crossJoin(F.broadcast(index.corpus))  # the corpus is one row
+    terms = materialize(terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf")), "asked")
+    hits = terms.join(index.postings_of(terms.select("term").distinct()), "term").crossJoin(F.broadcast(index.corpus))  # the corpus is one row
     weight = F.col("qf") * bm25_weight(F.col("tf"), F.col("dl"), F.col("df"), F.col("n"), F.col("avgdl"))
     return hits.groupBy("query_id", "id").agg(F.sum(weight).alias("score")).where("score > 0")
 
@@ -72,11 +103,21 @@ def bm25_one(index: Index, spark: SparkSession, query: str, k: int) -> DataFrame
     return bm25_scores(index, one, "query_id", "q").orderBy(F.desc("score"), F.asc("id")).limit(k).select("id", "score")
 
 
+#: Query vectors that one scan of the stored vectors carries.
+QUERY_BLOCK = 256
+
+
 def cosine_scores(vectors: DataFrame, id_col: str, vector_col: str, queries: DataFrame, query_id: str, query_vector: str) -> DataFrame:
-    """``(query_id, id, score)`` of every stored vector against a stated set of query vectors (RET5, JN4)."""
+    """``(query_id, id, score)`` of every stored vector against a stated set of query vectors (RET5, JN4).
+
+    Queries travel in blocks of ``QUERY_BLOCK``, one row each, so a stored vector meets rows of bounded size.
+    """
     left = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
     right = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("q"))
-    scored = left.crossJoin(right).select("query_id", "id", cosine("v", "q").alias("score"))
+    count = max(1, -(-right.count() // QUERY_BLOCK))
+    blocks = right.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(count)).alias("block")).agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
+    met = left.crossJoin(blocks).select("id", "v", F.explode("qs").alias("x"))
+    scored = met.select("x.query_id", "id", cosine("v", "x.q").alias("score"))
     return scored.where(~F.isnan("score") & (F.abs("score") != float("inf")) & (F.col("score") > 0))
 
 

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlayer.functions.scoring import no_decay
 from memlayer.operators.graph import chain
 from memlayer.operators.retrieval import bm25_one, build_index, drop_current
+from memlayer.plans.protocols import PromptCompressor, QueryClassifier, RelevanceScorer, Retriever
 from memlayer.sources.store import Store, active_facts
 
 POOL, KEEP = 32, 8
-Scorer = Callable[[dict], Column]
 
 
 def dynamic_layer(hits: DataFrame, chunks: DataFrame, score: Column, current: Column | None = None, keep: int = KEEP) -> DataFrame:
@@ -26,7 +24,7 @@ def dynamic_layer(hits: DataFrame, chunks: DataFrame, score: Column, current: Co
     return rows.orderBy(F.desc("score"), F.desc("hit_score"), "id").limit(keep)
 
 
-def compile_context(store: Store, query: str, current: str | None = None, scorer: Column | None = None, retriever=None, classifier: Callable[[Column], Column] | None = None, pool: int = POOL, keep: int = KEEP) -> DataFrame:
+def compile_context(store: Store, query: str, current: str | None = None, scorer: RelevanceScorer | Column | None = None, retriever: Retriever | None = None, classifier: QueryClassifier | None = None, pool: int = POOL, keep: int = KEEP) -> DataFrame:
     """``(layer, pos, id, key, text, score, query_class)`` (CTX1): query, resident, fact and dynamic rows.
 
     ``retriever(query, k)`` gives ``(id, score)``; by default BM25 over the stored chunks. The class is recorded and
@@ -43,7 +41,8 @@ def compile_context(store: Store, query: str, current: str | None = None, scorer
         out = out.union(way.join(chunks, "id").select(*columns("resident", F.col("depth"), F.col("id"), none, F.col("text"), F.lit(None))))
     facts = active_facts(store.read("fact"))
     out = out.union(facts.select(*columns("fact", F.lit(0), F.col("id"), F.col("key"), F.col("value"), F.lit(None))))
-    best = dynamic_layer(hits, chunks, no_decay("hit_score") if scorer is None else scorer, F.lit(current) if current is not None else None, keep)
+    score = no_decay("hit_score") if scorer is None else scorer if isinstance(scorer, Column) else scorer(F.col("hit_score"))
+    best = dynamic_layer(hits, chunks, score, F.lit(current) if current is not None else None, keep)
     ranked = best.agg(F.collect_list(F.struct("id", "text", "score")).alias("rows")).select(F.posexplode("rows").alias("pos", "r"))
     out = out.union(ranked.select(*columns("dynamic", F.col("pos"), F.col("r.id"), none, F.col("r.text"), F.col("r.score"))))
     return out.withColumn("query_class", F.when(F.col("layer") == "query", kind))
@@ -62,8 +61,11 @@ def rendered(resident: Column, facts: Column, related: Column, query: Column) ->
     )
 
 
-def render(context: DataFrame, compressor: Callable[[Column], Column] | None = None) -> DataFrame:
-    """One row ``(prompt)`` from :func:`compile_context`'s table."""
+def render(context: DataFrame, compressor: PromptCompressor | None = None) -> DataFrame:
+    """One row ``(prompt)`` from :func:`compile_context`'s table.
+
+    A prompt is one string, so what it holds has to fit a row: filter the facts of a large store before.
+    """
     of = lambda layer, value, order: F.transform(F.array_sort(F.collect_list(F.when(F.col("layer") == layer, F.struct(order.alias("o"), value.alias("v"))))), lambda x: x["v"])
     rows = context.agg(
         of("resident", F.col("text"), -F.col("pos")).alias("r"),

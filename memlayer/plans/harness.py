@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlayer.functions.text import chunk_documents
+from memlayer.functions.text import chunk_documents, words
 from memlayer.functions.vectors import hash_embedding
 from memlayer.operators import condense, evaluate, retrieval
 from memlayer.functions.vectors import cosine
+from memlayer.plans.protocols import PromptCompressor
+from memlayer.sources.steps import materialize
 
 #: Chunk bytes, hits and compression budgets of the three benchmarks. Fixed values.
 NIAH_CHUNK, QUESTION_CHUNK, HITS = 2048, 4096, 10
@@ -43,20 +45,47 @@ def retrieve_within(chunks: DataFrame, cases: DataFrame, k: int = HITS, hybrid:
     return hits.withColumnRenamed("query_id", "case_id").select("case_id", "id", "rank").join(chunks, ["case_id", "id"]).select("case_id", "rank", "text")
 
 
-def run_cases(chunks: DataFrame, cases: DataFrame, ablation: str, budget: int = BUDGET, tail: int = TAIL, compressor: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Judge ``cases(case_id, question, accepted)`` under one configuration (CMP4, EVL4)."""
-    contexts = evaluate.judge_text(retrieve_within(chunks, cases, hybrid=ablation != "tier-0"))
-    sizes = contexts.withColumn("retrieval_chars", F.length("context").cast("long"))
-    if ablation == "tier-0-1-2":
-        sizes = sizes.withColumn("context", compressor(F.col("context")) if compressor else condense.truncate("context", budget, tail))
-    out = evaluate.judged(sizes.withColumn("compressed_chars", F.length("context").cast("long")), cases)
-    return out.select("case_id", F.lit(ablation).alias("ablation"), "correct", F.lit(0).cast("long").alias("latency_ms"), "retrieval_chars", "compressed_chars")
+#: Settings of the three configurations: whether retrieval is hybrid and whether the context is compressed (CMP4). Fixed values.
+CONFIGURATIONS = {"tier-0": (False, False), "tier-0-1": (True, False), "tier-0-1-2": (True, True)}
 
 
-def run_all(chunks: DataFrame, cases: DataFrame, ablations: tuple[str, ...] = evaluate.ABLATIONS) -> DataFrame:
-    out = None
-    for a in ablations:
-        part = run_cases(chunks, cases, a)
+def compressor_for(spark: SparkSession, given: PromptCompressor | None = None, budget: int = BUDGET, tail: int = TAIL) -> PromptCompressor:
+    """The compressor that the session's key ``memlayer.compressor`` names (CMP4): ``truncate`` (the default) or ``given``."""
+    name = spark.conf.get("memlayer.compressor", "truncate" if given is None else "given")
+    if name == "given" and given is not None:
+        return given
+    if name != "truncate":
+        raise ValueError(f"no compressor {name}")
+    return lambda text: condense.truncate(text, budget, tail)
+
+
+def run_all(chunks: DataFrame, cases: DataFrame, ablations: tuple[str, ...] = evaluate.ABLATIONS, compressor: PromptCompressor | None = None) -> DataFrame:
+    """Judge ``cases(case_id, question, accepted)`` under each configuration (EVL4): a row of case metrics each.
+
+    Chunks are written once and each retrieval leg runs once, whatever the number of configurations. Cases run together, so
+    ``retrieval_latency_ms`` and ``latency_ms`` are the measured time of the leg, and of leg, compression and judging, over the
+    number of cases. Tokens are words; nothing is generated, so ``completion_tokens`` is null.
+    """
+    spark = cases.sparkSession
+    chunks, cases = materialize(chunks, "chunks"), materialize(cases, "cases")
+    total, legs, out = max(cases.count(), 1), {}, None
+    each = lambda since: int(round((time.monotonic() - since) * 1000 / total))
+    for ablation in ablations:
+        hybrid, compressed = CONFIGURATIONS[ablation]
+        if hybrid not in legs:
+            since = time.monotonic()
+            hits = materialize(retrieve_within(chunks, cases, hybrid=hybrid), "hits")
+            legs[hybrid] = hits, each(since)
+        hits, spent = legs[hybrid]
+        since = time.monotonic()
+        sizes = evaluate.judge_text(hits).join(hits.groupBy("case_id").agg(F.count(F.lit(1)).alias("retrieved_chunks")), "case_id")
+        sizes = sizes.withColumn("retrieval_chars", F.length("context").cast("long"))
+        if compressed:
+            sizes = sizes.withColumn("context", compressor_for(spark, compressor)(F.col("context")))
+        done = evaluate.judged(sizes.withColumn("compressed_chars", F.length("context").cast("long")), cases)
+        counted = done.select("case_id", F.lit(ablation).alias("ablation"), "correct", F.coalesce(F.size(words("context")), F.lit(0)).alias("prompt_tokens"), F.lit(None).cast("int").alias("completion_tokens"), F.coalesce("retrieved_chunks", F.lit(0)).cast("long").alias("retrieved_chunks"), "retrieval_chars", "compressed_chars")
+        counted = materialize(counted, "judged")
+        part = counted.withColumn("retrieval_latency_ms", F.lit(spent).cast("long")).withColumn("latency_ms", F.lit(spent + each(since)).cast("long"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -70,7 +99,7 @@ def run_haystacks(cases: DataFrame, ablations: tuple[str, ...] = evaluate.ABLATI
 
 def run_questions(entries: DataFrame, per_row: int, ablations: tuple[str, ...] = evaluate.ABLATIONS) -> DataFrame:
     """EVL3: ``entries(context, questions, answers)``."""
-    rows = entries.withColumn("row", F.monotonically_increasing_id())
+    rows = materialize(entries.withColumn("row", F.monotonically_increasing_id()), "entries")
     asked = evaluate.first_questions(rows, per_row).select(F.concat_ws("-", "row", "pos").alias("case_id"), "row", "question", "accepted")
     cut = chunk_documents(rows, QUESTION_CHUNK, "row", "context").select(F.col("id").alias("row"), F.col("position").alias("id"), "text")
     chunks = asked.select("case_id", "row").join(cut, "row").select("case_id", "id", "text")

@@ -1,17 +1,24 @@
-"""The eight extension points, as the shapes that the engine's functions take and give."""
+"""The eight extension points, as the shapes that the engine's functions take and give.
+
+:class:`memlayer.sources.store.Table` is a storage provider; :func:`memlayer.plans.context.compile_context` takes a retriever, a
+scorer and a classifier, :func:`memlayer.plans.harness.run_all` a compressor, :func:`memlayer.operators.detect.cascade_lazily` event
+detectors, :func:`memlayer.operators.condense.summarize` summarisers, :func:`memlayer.operators.detect.classify_texts` an
+embedding provider.
+"""
 
 from __future__ import annotations
 
-from typing import Protocol
+from typing import Protocol, runtime_checkable
 
 from pyspark.sql import Column, DataFrame
 
 
+@runtime_checkable
 class StorageProvider(Protocol):
     """A table of one entity: :class:`memlayer.sources.store.Table`."""
 
     def read(self) -> DataFrame: ...
-    def save(self, rows: DataFrame) -> None: ...
+    def save(self, rows: DataFrame, order: str | None = None) -> None: ...
     def load(self, id_: str) -> dict: ...
     def delete(self, id_: str) -> None: ...
     def list(self) -> DataFrame: ...

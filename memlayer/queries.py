@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +13,7 @@ from memlayer.functions import hashing, scoring, text, vectors
 from memlayer.operators import checks, condense, detect, evaluate, graph, retrieval
 from memlayer.plans import context
 from memlayer.sources import datasets, store
+from memlayer.sources.steps import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,12 +58,18 @@ sc as (select item_id, doc_id, sum(qf * ln((n - df + 0.5e0) / (df + 0.5e0) + 1)
        from qt join freq using (term) join post using (term), corp group by 1, 2)"""
 
 
-@query(f"with {fit(BM25, '(select * from benchmark where item_id = 0)')} select doc_id, round(score, 6) score from sc order by sc.score desc, doc_id limit 8")
+#: The rows a search takes as queries.
+ASKED = "{0} % 50 = 0"
+
+
+@query(f"with {fit(BM25, '(select * from benchmark where item_id % 50 = 0)')}, r as (select *, row_number() over (partition by item_id order by round(score, 9) desc, doc_id) r from sc) select item_id, doc_id, round(score, 6) score from r where r <= 8")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    one = table(spark, d, "benchmark").where("item_id = 0")
-    index = retrieval.build_index(table(spark, d, "documents"), "doc_id", "text")
-    best = retrieval.bm25_scores(index, one, "item_id", "text").orderBy(F.desc("score"), "id").limit(8)
-    return best.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+    """From a saved index, read back (RET1-3)."""
+    path = f"{shared_dir(spark)}/memlayer/index-{uuid.uuid4().hex}"
+    retrieval.build_index(table(spark, d, "documents"), "doc_id", "text").save(path)
+    asked = table(spark, d, "benchmark").where(fit(ASKED, "item_id"))
+    scored = retrieval.bm25_scores(retrieval.Index.load(spark, path), asked, "item_id", "text").withColumn("key", F.round("score", 9))
+    return retrieval.top_k(scored, 8, score="key").select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query(f"with {fit(BM25, 'benchmark')}, r as (select *, row_number() over (partition by item_id order by round(score, 9) desc, doc_id) rank from sc) select item_id, doc_id, rank, round(score, 6) score from r where rank <= 10")
@@ -90,10 +98,10 @@ def df_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     v = table(spark, d, "embeddings")
-    return v, v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return v, v.where(fit(ASKED, "vec_id")).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
-COS = "with s as (select q.vec_id query_id, v.vec_id, list_cosine_similarity({0}, {1}) score from embeddings v, embeddings q where q.vec_id < 5) select query_id, vec_id, round(score, 5) score from (select *, row_number() over (partition by query_id order by round(score, 5) desc, vec_id) r from s where score > 0) where r <= 5"
+COS = "with s as (select q.vec_id query_id, v.vec_id, list_cosine_similarity({0}, {1}) score from embeddings v, embeddings q where q.vec_id % 50 = 0) select query_id, vec_id, round(score, 5) score from (select *, row_number() over (partition by query_id order by round(score, 5) desc, vec_id) r from s where score > 0) where r <= 5"
 
 
 @query(fit(COS, "cast(v.embedding as double[])", "cast(q.embedding as double[])"))
@@ -120,7 +128,7 @@ def hash_embedding(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"with {fit(BM25, '(select * from benchmark where item_id < 5)')}, {fit(HASHED, 'documents', 'doc_id')}, {fit(HASHED.replace('tk', 'qk').replace('tb as', 'qb as').replace('join tb', 'join qb').replace('bc', 'qc').replace('nm', 'qn').replace('w as', 'qw as'), '(select * from benchmark where item_id < 5)', 'item_id')}, "
+    f"with {fit(BM25, 'benchmark')}, {fit(HASHED, 'documents', 'doc_id')}, {fit(HASHED.replace('tk', 'qk').replace('tb as', 'qb as').replace('join tb', 'join qb').replace('bc', 'qc').replace('nm', 'qn').replace('w as', 'qw as'), 'benchmark', 'item_id')}, "
     "cs as (select qw.id item_id, w.id doc_id, sum(w.weight * qw.weight) score from w join qw using (bucket) group by 1, 2), "
     "k as (select * from (select *, row_number() over (partition by item_id order by round(score, 9) desc, doc_id) r from (select item_id, doc_id, score from sc)) where r <= 40), "
     "c as (select * from (select *, row_number() over (partition by item_id order by round(score, 9) desc, doc_id) r from cs) where r <= 40), "
@@ -129,7 +137,7 @@ def hash_embedding(spark: SparkSession, d: str) -> DataFrame:
     "select item_id, doc_id, round(score, 6) score from (select *, row_number() over (partition by item_id order by round(score, 6) desc, doc_id) r from f) where r <= 10"
 )
 def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
-    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark").where("item_id < 5")
+    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
     keyword = retrieval.bm25_scores(retrieval.build_index(docs, "doc_id", "text"), items, "item_id", "text")
     # both sides have norm 1, so the cosine is a sum over shared buckets
     a = vectors.hash_weights(docs, "doc_id", "text")
@@ -284,7 +292,14 @@ def compress_truncate(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", condense.truncate("text", 12, 4).alias("compressed"))
 
 
-@query()
+@query(
+    f"with {SCORED}, b as (select *, cost > 0 and sum(cost) over (partition by doc_id order by pos desc) <= 20 forced from sx), "
+    "g as (select doc_id, sum(cost) total, greatest(60 - coalesce(sum(cost) filter (forced), 0), 0) room, list({'cost': cast(cost as bigint), 'used': cast(0 as bigint), 'done': false, 'kept': cast([] as bigint[]), 'pos': pos} order by round(score, 9) desc, pos) filter (not forced) l from b group by 1), "
+    "h as (select doc_id, total, list_reduce(list_prepend({'cost': cast(0 as bigint), 'used': cast(0 as bigint), 'done': false, 'kept': cast([] as bigint[]), 'pos': cast(-1 as bigint)}, coalesce(l, [])), "
+    "lambda s, x: case when not s.done and s.used + x.cost <= room then {'cost': x.cost, 'used': cast(s.used + x.cost as bigint), 'done': s.used + x.cost >= room, 'kept': list_append(s.kept, x.pos), 'pos': x.pos} else s end).kept kept from g), "
+    "j as (select b.doc_id, string_agg(sentence, ' ' order by pos) out from b join h using (doc_id) where forced or list_contains(kept, pos) group by 1) "
+    "select d.doc_id, case when h.doc_id is null then '' when total <= 60 then text else coalesce(out, '…') end compressed from documents d left join h using (doc_id) left join j using (doc_id)"
+)
 def compress_selective(spark: SparkSession, d: str) -> DataFrame:
     return condense.selective_context(table(spark, d, "documents"), "doc_id", "text", 60, 20).withColumnRenamed("id", "doc_id")
 
@@ -317,12 +332,12 @@ def detect_keyword(spark: SparkSession, d: str) -> DataFrame:
     return detect.detect_keywords(table(spark, d, "events"), "event_id", F.col("event_type"), F.col("props"), KEYWORDS).withColumnRenamed("id", "event_id")
 
 
-SIMILAR = "select v.vec_id, r.label, list_cosine_similarity(cast(v.embedding as double[]), cast(r.embedding as double[])) s from embeddings v, (select 'ref' || vec_id as label, embedding from embeddings where vec_id < 3) r"
+SIMILAR = "select v.vec_id, r.label, list_cosine_similarity(cast(v.embedding as double[]), cast(r.embedding as double[])) s from embeddings v, (select 'ref' || vec_id as label, embedding from embeddings where vec_id % 50 = 0) r"
 
 
 def _similar(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings")
-    references = v.where("vec_id < 3").select(F.concat(F.lit("ref"), F.col("vec_id")).alias("label"), "embedding")
+    references = v.where(fit(ASKED, "vec_id")).select(F.concat(F.lit("ref"), F.col("vec_id")).alias("label"), "embedding")
     return detect.detect_similar(v, "vec_id", "embedding", references, 0.25)
 
 
@@ -409,9 +424,9 @@ def list_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id")
 
 
-@query("select vec_id, round(1 / list_sum(list_transform(embedding[1:8], lambda x: exp(cast(x as double) - list_max(cast(embedding[1:8] as double[]))))), 6) top from embeddings")
+@query("select vec_id, round(1 / list_sum(list_transform(embedding, lambda x: exp(cast(x as double) - list_max(cast(embedding as double[]))))), 6) top from embeddings")
 def softmax_probs(spark: SparkSession, d: str) -> DataFrame:
-    head = F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double"))
+    head = F.transform("embedding", lambda x: x.cast("double"))
     return table(spark, d, "embeddings").select("vec_id", F.round(F.array_max(vectors.softmax(head)), 6).alias("top"))
 
 
@@ -419,7 +434,7 @@ def softmax_probs(spark: SparkSession, d: str) -> DataFrame:
 def judge_substring(spark: SparkSession, d: str) -> DataFrame:
     """Which documents hold which benchmark passage: a stated set of passages against all documents."""
     items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
-    return table(spark, d, "documents").crossJoin(items).where(text.contains_folded("text", "passage")).select("item_id", "doc_id")
+    return detect.contains_join(table(spark, d, "documents"), "doc_id", "text", items, "item_id", "passage").select("item_id", "doc_id")
 
 
 @query("select conv_id, turn, abs(turn - 2) distance, row_number() over (partition by conv_id order by abs(turn - 2), turn) rank from conversations")
@@ -442,18 +457,28 @@ def payload_fields(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def niah_recall(spark: SparkSession, d: str) -> DataFrame:
-    """The generated haystacks under every configuration: chunk, retrieve by the key, judge by the value (EVL1, EVL4)."""
+    """A needle set into every fiftieth document under every configuration: chunk, retrieve by the key, judge by the value (EVL1, EVL4)."""
     from memlayer.plans.harness import run_haystacks
 
-    return evaluate.metrics(run_haystacks(datasets.haystacks(spark)), "ablation").select("ablation", "total", "correct", "accuracy")
+    docs = table(spark, d, "documents").where(fit(ASKED, "doc_id")).where("text is not null")
+    key, value = hashing.fnv1a_hex(F.concat(F.lit("key"), "doc_id")), hashing.fnv1a_hex(F.concat(F.lit("value"), "doc_id"))
+    needle = text.fill(datasets.NEEDLE, key=key, value=value)
+    half = (F.length("text") / 2).cast("int")
+    hay = F.concat(F.substring("text", F.lit(1), half), F.lit(" "), needle, F.lit(" "), F.substring("text", half + 1, F.length("text")))
+    cases = docs.select(F.col("doc_id").cast("string").alias("case_id"), hay.alias("haystack"), key.alias("needle_key"), value.alias("needle_value"))
+    return evaluate.metrics(run_haystacks(cases), "ablation").select("ablation", "total", "correct", "accuracy")
 
 
-@query()
+@query(
+    f"with ct as (select conv_id, string_agg(role || ': ' || text, chr(10) order by turn) text from conversations group by 1), {fit(BM25, 'qs').replace('documents', 'dx').replace('tok as', 'qs as (select conv_id * 1000 + turn item_id, text from conversations where conv_id % 50 = 0), dx as (select conv_id doc_id, text from ct), tok as')}, "
+    "r as (select *, row_number() over (partition by item_id order by round(score, 9) desc, doc_id) r from sc) "
+    "select q.item_id case_id, coalesce(bool_or(contains(lower(ct.text), lower(q.text))), false) correct from qs q left join r on r.item_id = q.item_id and r.r <= 10 left join ct on ct.conv_id = r.doc_id group by 1"
+)
 def session_recall(spark: SparkSession, d: str) -> DataFrame:
-    """Conversations as session questions: does retrieval by a turn's first words find the turn (EVL2)."""
+    """Does retrieval by a whole turn find its conversation: every turn of each fiftieth one against all (EVL2, FLT8)."""
     from memlayer.plans.harness import run_sessions
 
-    turns = table(spark, d, "conversations").where("turn = 0").select(F.col("conv_id").cast("string").alias("case_id"), F.array_join(F.slice(text.words("text"), 1, 6), " ").alias("question"), F.array("text").alias("accepted"))
+    turns = table(spark, d, "conversations").where(fit(ASKED, "conv_id")).select((F.col("conv_id") * 1000 + F.col("turn")).alias("case_id"), F.col("text").alias("question"), F.array("text").alias("accepted"))
     chunks = session_text(spark, d).select(F.col("conv_id").alias("id"), "text")
     return run_sessions(turns, chunks).select("case_id", "correct")
 

@@ -77,21 +77,53 @@ def write_cases(cases: DataFrame, path: str) -> None:
     cases.write.mode("overwrite").partitionBy("bench", "ablation").json(path)
 
 
-def append_cases(cases: DataFrame, path: str) -> None:
-    """Add finished cases to what is there (SNK3); each call's files appear whole or not at all."""
-    cases.write.mode("append").partitionBy("bench", "ablation").json(path)
+class CaseWriter:
+    """Cases of one bench and configuration, added as they finish (SNK3).
 
+    ``create`` empties what an earlier run left; each ``write`` adds files that appear whole or not at all; ``finish`` gives the
+    section's metrics over all that was written.
+    """
 
-def summary(cases: DataFrame, suite: str) -> DataFrame:
-    """One JSON document: suite, sections with aggregates and cases (SNK2)."""
+    def __init__(self, spark: SparkSession, path: str, bench: str, ablation: str) -> None:
+        self.spark, self.path, self.schema = spark, f"{path}/{bench}/{ablation}", schema.CASE
+
+    @classmethod
+    def create(cls, spark: SparkSession, path: str, bench: str, ablation: str) -> CaseWriter:
+        writer = cls(spark, path, bench, ablation)
+        spark.createDataFrame([], writer.schema).write.mode("overwrite").json(writer.path)
+        return writer
+
+    def write(self, cases: DataFrame) -> None:
+        cases.write.mode("append").json(self.path)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).json(self.path)
+
+    def finish(self) -> DataFrame:
+        from memlayer.operators.evaluate import metrics
+
+        return metrics(self.read())
+
+
+def sections(cases: DataFrame) -> DataFrame:
+    """``(bench, ablation, aggregate, cases)``: a row for each section of a report (SNK2)."""
     from memlayer.operators.evaluate import metrics
 
     fields = [c for c in cases.columns if c not in ("bench", "ablation")]
     each = cases.groupBy("bench", "ablation").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("cases"))
     totals = metrics(cases, "bench", "ablation").select("bench", "ablation", F.struct("total", "correct", "mean_latency_ms", "accuracy").alias("aggregate"))
-    sections = each.join(totals, ["bench", "ablation"]).agg(F.array_sort(F.collect_list(F.struct("bench", "ablation", "aggregate", "cases"))).alias("sections"))
-    return sections.select(F.to_json(F.struct(F.lit(suite).alias("suite"), "sections")).alias("value"))
+    return totals.join(each, ["bench", "ablation"])
+
+
+def summary(cases: DataFrame, suite: str) -> DataFrame:
+    """One JSON document of the whole suite (SNK2), for suites of a size that one document may have.
+
+    The report's form is one value; :func:`write_summary` writes a document for each section instead, in parallel.
+    """
+    rows = sections(cases).agg(F.array_sort(F.collect_list(F.struct("bench", "ablation", "aggregate", "cases"))).alias("sections"))
+    return rows.select(F.to_json(F.struct(F.lit(suite).alias("suite"), "sections")).alias("value"))
 
 
 def write_summary(cases: DataFrame, suite: str, path: str) -> None:
-    summary(cases, suite).coalesce(1).write.mode("overwrite").text(path)
+    """A line of JSON for each section, with the suite's name; sections are written where they were aggregated."""
+    sections(cases).select(F.to_json(F.struct(F.lit(suite).alias("suite"), "bench", "ablation", "aggregate", "cases")).alias("value")).write.mode("overwrite").text(path)

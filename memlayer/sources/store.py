@@ -10,15 +10,23 @@ from pyspark.sql.types import StructType
 
 from memlayer.functions.text import is_uuid
 from memlayer.sources.schema import ENTITIES
+from memlayer.sources.steps import discard, materialize
 
 
 class NotFoundError(KeyError):
     """No row has the id."""
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """Rows of ``new`` replace those of ``old`` with their id (SRC3); of several new rows of an id any one stays."""
-    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new.dropDuplicates([key]))
+def upsert(old: DataFrame, new: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
+    """Rows of ``new`` replace those of ``old`` with their id (SRC3).
+
+    Of several new rows of an id the one with the greatest ``order`` stays (ties, and without an order: the greatest row by its
+    columns); ``order`` may be a column of ``new`` that ``old`` does not have.
+    """
+    columns = old.columns
+    rank = F.struct(*([F.col(order)] if order else []), F.to_json(F.struct(*columns)))
+    last = new.groupBy(key).agg(F.max_by(F.struct(*columns), rank).alias("r")).select("r.*")
+    return old.join(last.select(key), key, "left_anti").select(*columns).unionByName(last.select(*columns))
 
 
 def upsert_latest(old: DataFrame, new: DataFrame, version: str, key: str = "id") -> DataFrame:
@@ -70,8 +78,8 @@ class Table:
         for old in found[: 1 - keep or None]:
             self._fs.delete(self._path(f"v{old}"), True)
 
-    def save(self, rows: DataFrame) -> None:
-        self._write(upsert(self.read(), rows.select(*self.schema.names)))
+    def save(self, rows: DataFrame, order: str | None = None) -> None:
+        self._write(upsert(self.read(), rows.select(*self.schema.names, *([order] if order and order not in self.schema.names else [])), order=order))
 
     def load(self, id_: str) -> dict:
         row = self.read().where(F.col("id") == id_).first()
@@ -89,7 +97,7 @@ class Table:
 
 
 class MemoryTable(Table):
-    """The same in memory (SRC1)."""
+    """The same for one session (SRC1): each change is a table in the shared folder, so neither lineage nor cache grows."""
 
     def __init__(self, spark: SparkSession, schema: str) -> None:
         self.spark, self.schema, self._df = spark, StructType.fromDDL(schema), spark.createDataFrame([], schema)
@@ -98,7 +106,8 @@ class MemoryTable(Table):
         return self._df
 
     def _write(self, df: DataFrame, keep: int = 2) -> None:
-        self._df = df.select(*self.schema.names).cache()
+        before, self._df = self._df, materialize(df.select(*self.schema.names), "memory")
+        discard(before)
 
 
 class Store:

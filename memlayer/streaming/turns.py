@@ -36,11 +36,11 @@ def session_counts(turns: DataFrame, gap: str = "30 minutes", late: str = "10 mi
     return turns.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "user_id", "n")
 
 
-def upsert_stream(rows: DataFrame, table: Table, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Upsert each micro-batch into an entity table; a batch that is repeated changes nothing."""
+def upsert_stream(rows: DataFrame, table: Table, checkpoint: str, order: str | None = None, once: bool = True) -> StreamingQuery:
+    """Upsert each micro-batch into an entity table, an id's last row by ``order``; a batch that is repeated changes nothing."""
 
     def write(batch: DataFrame, _: int) -> None:
-        table.save(batch)
+        table.save(batch, order)
 
     writer = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -19,6 +19,20 @@ def test_tokenisers(spark):
     assert value(spark, text.sentences(F.lit("One. Two!  三。rest 3.14 ..."))) == ["One.", "Two!", "三。", "rest 3.", "14 .", ".", "."]
 
 
+def plain_chunks(t, target):
+    out = [""]
+    for c in t:
+        if out[-1] and len(out[-1].encode()) >= target and out[-1][-1] not in ".!?\n":
+            out.append("")
+        out[-1] += c
+    return out if out != [""] else []
+
+
+def test_byte_tails(spark):
+    for s, n, want in (("aé東", 3, "東"), ("aé東", 4, "東"), ("aé東", 5, "é東"), ("ab", 9, "ab"), ("", 3, "")):
+        assert value(spark, text.byte_tail(F.lit(s), n)) == want
+
+
 def test_chunks():
     assert text.cut_chunks("aaaa. bbbb. cccc", 5) == ["aaaa. ", "bbbb. ", "cccc"]
     assert text.cut_chunks("abcdefghij", 3) == ["abc", "def", "ghi", "j"]
@@ -26,7 +40,7 @@ def test_chunks():
     for _ in range(50):
         t = "".join(r.choices("ab é東.!\n", k=r.randrange(60)))
         assert "".join(text.cut_chunks(t, 7)) == t
-    assert text.tail_of("aé東", 3) == "東" and text.tail_of("aé東", 4) == "東" and text.tail_of("ab", 9) == "ab"
+        assert text.cut_chunks(t, 7) == plain_chunks(t, 7) and text.cut_chunks(t, 0) == plain_chunks(t, 0)
 
 
 def test_hashes(spark):
