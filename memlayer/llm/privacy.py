@@ -215,8 +215,11 @@ def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mos
 
     From at most ``LOOKED_AT`` documents, chosen by a hash; part 0 grows trees, part 1 calibrates.
     """
-    rows = docs.select(F.col(f"`{id_col}`").alias("_i"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_t")).where("length(_t) > 0")
-    rows = rows.withColumn("_h", F.xxhash64("_i", F.lit(23))).orderBy("_h", "_t").limit(LOOKED_AT)
+    hashed = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.lit(23)), F.lit(1 << 30))
+    # a share of the ids that holds enough documents is cut out first, so no more than that is ever sorted
+    share = min(1.0, 2 * LOOKED_AT / max(docs.count(), 1))
+    rows = docs.where(hashed < int(share * (1 << 30)) + 1).select(hashed.alias("_h"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_t"))
+    rows = rows.where("length(_t) > 0").orderBy("_h", "_t").limit(LOOKED_AT)
     place = F.struct(F.lit(None).cast("int").alias("kind"), F.lit(CONTEXT).alias("start"), F.lit(CONTEXT).alias("end"))
     found = F.transform("_base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     each = _base(rows).select("_h", "_t", F.explode(F.when(F.size("_base") > 0, F.slice(found, 1, 8)).otherwise(F.array(place))).alias("s"))
@@ -360,11 +363,16 @@ def learn(spark: SparkSession, docs: DataFrame | None = None, **columns: str) ->
 
 
 def fit(spark: SparkSession, docs: DataFrame | None = None, precision: float = 0.98, **columns: str) -> dict[int, tuple[list, float]]:
-    """Trees and threshold of each kind; a kind that cannot reach ``precision`` gets no additions.
+    """Trees and threshold of each kind, learned from windows of ``docs``."""
+    return grown(learn(spark, docs, **columns), precision)
 
-    The threshold is the lowest score from which on the precision holds in the calibrating half.
+
+def grown(rows: list[tuple[int, int, int, list[int]]], precision: float = 0.98) -> dict[int, tuple[list, float]]:
+    """Trees of each kind from part 0 of the rows, and the lowest score from which on the precision holds in part 1.
+
+    A kind that cannot reach ``precision`` gets no additions.
     """
-    rows, out = learn(spark, docs, **columns), {}
+    out = {}
     for n in range(len(KINDS)):
         x, y, part = (np.array([v[k] for v in rows if v[0] == n], float) for k in (3, 1, 2))
         grow, check = part == 0, part == 1

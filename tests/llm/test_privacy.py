@@ -91,7 +91,7 @@ def test_the_trees_fit_their_examples_and_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     for given in (None, docs):
         rows = privacy.learn(spark, given)
-        model = privacy.fit(spark, given)
+        model = privacy.grown(rows)
         assert all(m[1] < float("inf") for m in model.values())
         for n in range(4):
             mine = [(y, sum(privacy._walk(t, x) for t in model[n][0]) >= model[n][1]) for k, y, part, x in rows if k == n and part == 1]
