@@ -2,61 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memlayer.sources.steps import discard, materialize
+
+__all__ = ["discard", "materialize", "paired_blocks", "table", "training_row"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read lazily through Spark's own reader."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.
-
-    Where the session leaves it unset a temporary folder is set on a local master (tests, one machine); on a cluster that is
-    an error, as no executor would see the others' files.
-    """
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc._conf.get("spark.checkpoint.dir")
-    if found:
-        return found
-    known = sc._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get()
-    if not sc.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="memlayer-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again.
-
-    This cuts the lineage (a lost executor costs nothing that was written) and keeps costly
-    columns from being computed twice.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/memlayer/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a table made by :func:`materialize`."""
-    spark = df.sparkSession
-    files = df.inputFiles()
-    if not files:
-        return
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-    if "/memlayer/" in path.toString():
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def training_row(doc_id: Column | str) -> Column:
     """True for rows a model may learn from: crc32(id as text) mod 4 is not 2."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -149,7 +149,9 @@ def sample(docs: DataFrame, per_language: int = SAMPLE, id_col: str = "doc_id",
     rows = rows.select(of[0].alias("id"), of[1].alias("lang"), of[2].alias("text"), F.xxhash64(of[2]).alias("h"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit(5)), "id", "h")
     # keys and languages only are ranked; the texts of the chosen follow
-    chosen = rows.select("id", "lang", "h").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("id", "lang", "h").distinct()
+    chosen = rows.select("id", "lang", "h").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
+    again = (F.lag("id").over(order) == F.col("id")) & (F.lag("h").over(order) == F.col("h"))
+    chosen = chosen.withColumn("again", F.coalesce(again, F.lit(False))).where("not again").select("id", "lang", "h")
     return rows.join(F.broadcast(chosen), ["id", "lang", "h"]).dropDuplicates(["id", "lang", "h"]).select("lang", "text")
 
 

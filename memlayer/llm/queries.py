@@ -95,8 +95,8 @@ spans as (
 u as (select distinct url, fetched, host, parts, string_split(host, '.') labels from p where host is not null),
 asked as (
   select url, fetched, 'host' kind, host pattern, 100 rank from u
-  union all select url, fetched, 'domain', array_to_string(labels[-k:], '.'), k from u, (select unnest(range(2, 13)) k) where k <= len(labels)
-  union all select url, fetched, 'prefix', host || '/' || array_to_string(parts[1:k], '/'), 200 + k from u, (select unnest(range(1, 9)) k) where k <= len(parts)),
+  union all select url, fetched, 'domain', array_to_string(labels[-k:], '.'), k from (select *, unnest(range(1, len(labels) + 1)) k from u)
+  union all select url, fetched, 'prefix', host || '/' || array_to_string(parts[1:k], '/'), 200 + k from (select *, unnest(range(1, len(parts) + 1)) k from u)),
 active as (select asked.*, list, a from asked join spans using (kind, pattern) where fetched >= a and (b is null or fetched < b)),
 best as (select *, count(*) over (partition by url, fetched) n, row_number() over (partition by url, fetched order by rank desc, a desc, list, pattern) r from active)
 select page_id, p.url, p.fetched, coalesce(list, 'allow') verdict, kind, pattern, a active_from, coalesce(n, 0) n_active
