@@ -3,8 +3,9 @@
 Each page is read once into element subtrees. Subtrees of block elements are hashed with their host in two ways: by their
 bytes, and by their shape (path of tags and classes from the root, tags and classes below, share of link text), which stays the same
 where a menu, advert or footer changes its words from page to page. Spark counts both by the number of different articles they
-come with, so copies of one page count once. Subtrees whose bytes recur on several pages of a host, or whose shape recurs on
-half of them, are its template and are deleted.
+come with, so copies of one page count once. Subtrees whose bytes recur on several pages of a host are its template and are
+deleted; so are those whose shape recurs on half of them, if a page has little text of that shape or mostly links. All blocks of
+one shape count together: an article cut into like blocks is no template.
 
 What templates cannot know is settled after that: on hosts of few pages by tag, role and class, and where a page marks its article
 the text is the article's.
@@ -27,6 +28,8 @@ from memlayer.llm.common import discard, materialize
 #: Different articles of a host that a subtree must come with to be template, at least; for a shape also as a share of its articles.
 LEAST_PAGES = 5
 SHARE = 0.5
+#: Characters outside links that a page has of a template's shape, at most, on the average and over all its blocks of that shape.
+POOR = 160
 #: Template hashes that are broadcast (8 bytes each); above it they are joined.
 BROADCAST = 1_000_000
 
@@ -115,7 +118,8 @@ class Page:
 
     def __init__(self, source: str, host: str, templates=None, rules: bool = True, bound: bool = True) -> None:
         self.hashes: list[int] = []
-        self.shapes: list[int] = []
+        #: by key the characters and those in links, over all blocks of that shape
+        self.shapes: dict[int, list[int]] = {}
         self.templates, self.source, self.prefix, self.rules, self.bound = templates, source, host.encode() + b"\0", rules, bound
         self.stack = [Frame("", 0, False, False, False, "", _mix(host, 4))]
         at = 0
@@ -213,11 +217,13 @@ class Page:
             # an article's own paragraphs and containers may look alike on all pages: within it only links tell a template
             if tag in HASHED_WITHIN and not main and (not inner or 2 * frame.linked >= frame.text > 0):
                 key = _mix(f"{frame.path} {shape}", 6)
-                self.shapes.append(key)
+                joint = self.shapes.setdefault(key, [0, 0])
+                joint[0] += frame.text
+                joint[1] += frame.linked
                 if self.templates is not None and key in self.templates:
                     if inner:
                         return
-                    loose = Loose(frame)
+                    loose = Loose(frame, key)
         top.text += frame.text
         top.linked += frame.linked
         if frame.boiler:
@@ -230,7 +236,7 @@ class Page:
     def _join(self, root: Frame) -> str:
         """The parts in page order; only the articles' where there are any at the outer level.
 
-        A subtree of template shape that holds over half of the page's text is its content and stays.
+        Subtrees of one template shape that together hold over half of the page's text are its content and stay.
         """
         out, articles = [], []
         queue: list[tuple] = [(root.parts, False)]
@@ -242,7 +248,7 @@ class Page:
                 queue.append((part[0], True))
                 articles.append(" ")
             elif isinstance(part, Loose):
-                if 2 * part.text > root.text:
+                if 2 * self.shapes[part.key][0] > root.text:
                     queue.append((part.parts, inside))
             else:
                 queue.extend((p, inside) for p in reversed(part))
@@ -252,10 +258,10 @@ class Page:
 class Loose:
     """A subtree of a template's shape, to be deleted unless it is the page's main text."""
 
-    __slots__ = ("parts", "text")
+    __slots__ = ("parts", "key")
 
-    def __init__(self, frame: Frame) -> None:
-        self.parts, self.text = frame.parts, frame.text
+    def __init__(self, frame: Frame, key: int) -> None:
+        self.parts, self.key = frame.parts, key
 
 
 def _host(url: str | None) -> str:
@@ -264,33 +270,36 @@ def _host(url: str | None) -> str:
 
 
 def subtrees(pages: DataFrame, url_col: str = "url", html_col: str = "html", **how: bool) -> DataFrame:
-    """``(page, host, article, key, shape)``: a row for each block subtree and each of their shapes, and one with a null key for each page."""
+    """``(page, host, article, key, shape, text, linked)``: a row for each block subtree and each of their shapes, and one with a null
+    key for each page. ``text`` and ``linked``: the characters that the page has of a shape, and those of them in links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            page, host, article, key, shape = [], [], [], [], []
+            page, host, article, key, shape, text = [], [], [], [], [], []
             for url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 name = _host(url)
                 parsed = Page(source or "", name, **how)
-                keys = [(None, False), *((k, False) for k in dict.fromkeys(parsed.hashes)), *((k, True) for k in dict.fromkeys(parsed.shapes))]
+                keys = [(None, False), *((k, False) for k in dict.fromkeys(parsed.hashes)), *((k, True) for k in parsed.shapes)]
                 page += [xxhash.xxh64_intdigest(name.encode() + b"\0" + (source or "").encode("utf-8", "surrogatepass"), 3)] * len(keys)
                 host += [xxhash.xxh64_intdigest(name.encode())] * len(keys)
                 article += [xxhash.xxh64_intdigest(parsed.text.encode("utf-8", "surrogatepass"))] * len(keys)
                 key += [k for k, _ in keys]
                 shape += [x for _, x in keys]
+                text += [parsed.shapes[k] if x else (0, 0) for k, x in keys]
             columns = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in (page, host, article)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([None if k is None else k - (1 << 64) if k >> 63 else k for k in key], pa.int64()), pa.array(shape, pa.bool_())], names=["page", "host", "article", "key", "shape"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([None if k is None else k - (1 << 64) if k >> 63 else k for k in key], pa.int64()), pa.array(shape, pa.bool_()), *(pa.array([x[i] for x in text], pa.int64()) for i in (0, 1))], names=["page", "host", "article", "key", "shape", "text", "linked"])
 
-    return pages.select(F.col(f"`{url_col}`"), F.col(f"`{html_col}`")).mapInArrow(run, "page long, host long, article long, key long, shape boolean")
+    return pages.select(F.col(f"`{url_col}`"), F.col(f"`{html_col}`")).mapInArrow(run, "page long, host long, article long, key long, shape boolean, text long, linked long")
 
 
 def templates(found: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
-    """``(key, n)``: subtrees that come with enough different articles of their host, shapes also with a share of them."""
-    each = found.groupBy("host", "key", "shape", "article").agg(F.first("page").alias("page"))
-    counted = each.groupBy("host", "key", "shape").agg(F.count(F.lit(1)).alias("n"))
+    """``(key, n)``: subtrees that come with enough different articles of their host, shapes also with a share of them and poor in text."""
+    each = found.groupBy("host", "key", "shape", "article").agg(F.max("text").alias("text"), F.max("linked").alias("linked"))
+    counted = each.groupBy("host", "key", "shape").agg(F.count(F.lit(1)).alias("n"), F.sum("text").alias("text"), F.sum("linked").alias("linked"))
     whole = counted.where("key is null").select("host", F.col("n").alias("pages"))
     frequent = counted.where(F.col("key").isNotNull() & (F.col("n") >= least_pages)).join(whole, "host")
-    return frequent.where(~F.col("shape") | (F.col("n") >= share * F.col("pages"))).select("key", "n")
+    poor = (2 * F.col("linked") >= F.col("text")) | (F.col("text") - F.col("linked") <= POOR * F.col("n"))
+    return frequent.where(~F.col("shape") | ((F.col("n") >= share * F.col("pages")) & poor)).select("key", "n")
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, share: float = SHARE, rules: bool = True, bound: bool = True) -> DataFrame:
@@ -299,7 +308,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     Null and empty pages have an empty text; null urls share one host without a name. Character references are
     decoded, each run of white space in the text becomes one space, blocks are joined by one space. Rows that repeat an
     id are read each for itself. A recurring subtree within an article is deleted whatever its length, its headings, paragraphs and
-    list items never for themselves. ``rules`` and ``bound`` switch off what follows the templates: deletion by tag, role and
+    list items never for themselves. Like blocks that hold the text of an article are no template. ``rules`` and ``bound`` switch off what follows the templates: deletion by tag, role and
     class, and the article's bound. An empty table gives an empty result.
     """
     how = {"rules": rules, "bound": bound}

@@ -80,14 +80,17 @@ def test_counts_equal_brute_force(spark):
 
     rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html").collect()
     rows += [(10**6 + i, "https://v.example/p", varied(i)[0]) for i in range(8)] + [(10**6 + 50 + i, "https://v.example/p", varied(1)[0]) for i in range(9)]
-    come, whole, shapes = defaultdict(set), defaultdict(set), set()
+    come, whole, shapes = defaultdict(set), defaultdict(set), defaultdict(dict)
     for _, url, source in rows:
         page = h.Page(source or "", h._host(url), rules=False, bound=False)
         whole[h._host(url)].add(page.text)
-        shapes |= set(page.shapes)
-        for key in page.hashes + page.shapes:
+        for key in page.hashes + list(page.shapes):
             come[h._host(url), key].add(page.text)
-    known = {key for (host, key), texts in come.items() if len(texts) >= 5 and (key not in shapes or 2 * len(texts) >= len(whole[host]))}
+        for key, (n, linked) in page.shapes.items():
+            old = shapes[key].get(page.text, (0, 0))
+            shapes[key][page.text] = (max(n, old[0]), max(linked, old[1]))
+    poor = {k: 2 * sum(x[1] for x in v.values()) >= sum(x[0] for x in v.values()) or sum(x[0] - x[1] for x in v.values()) <= h.POOR * len(v) for k, v in shapes.items()}
+    known = {key for (host, key), texts in come.items() if len(texts) >= 5 and (key not in shapes or 2 * len(texts) >= len(whole[host]) and poor[key])}
     df = spark.createDataFrame([tuple(x) for x in rows], "page_id long, url string, html string").repartition(4)
     found = h.templates(h.subtrees(df, rules=False, bound=False))
     assert {x.key % (1 << 64) for x in found.collect()} == known
@@ -100,3 +103,33 @@ def test_the_main_text_of_a_like_page_stays(spark):
     rows = [(i, "https://w.example/p", f"<body><div class='m'><a href='/'>home {i}</a></div><div class='c'><p>some text {i} of this page that is long</p></div></body>") for i in range(20)]
     out = h.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string"), rules=False).collect()
     assert all(x.text == f"some text {x.page_id} of this page that is long" for x in out)
+
+
+def blocks(i, count, kind, wrapped):
+    """A page without any helpful mark: a heading and an article in ``count`` like blocks, under a menu and over a changing footer."""
+    import random
+
+    r = random.Random(100 * i + count)
+    words = [" ".join(f"{r.choice('abcdefgh')}{r.randrange(10**4)}" for _ in range(r.randrange(12, 40))) for _ in range(count)]
+    body = {
+        "div": "".join(f"<div class='sec'><p>{w}</p></div>" for w in words),
+        "section": "".join(f"<section class='card'><h3>{w.split()[0]}</h3><p>{w}</p></section>" for w in words),
+        "table": "".join(f"<table class='t'><tr><td>{w}</td></tr></table>" for w in words),
+        "list": "".join(f"<ul class='l'><li>{w}</li></ul>" for w in words),
+    }[kind]
+    want = f"Head {i} " + " ".join(f"{w.split()[0]} {w}" if kind == "section" else w for w in words)
+    body = f"<div class='wrap'>{body}</div>" if wrapped else body
+    menu = "".join(f"<a href='/{k}'>m{r.randrange(99)}</a>" for k in range(5))
+    return f"<html><body><div class='m'>{menu}</div><h1>Head {i}</h1>{body}<div class='e'>(c) {r.randrange(10**6)} all rights</div></body></html>", want
+
+
+def test_like_blocks_of_an_article_stay(spark):
+    pages, want = [], {}
+    for n, (count, kind, wrapped) in enumerate((c, k, w) for c in range(1, 11) for k in ("div", "section", "table", "list") for w in (False, True)):
+        for i in range(20):
+            source, want[1000 * n + i] = blocks(i, count, kind, wrapped)
+            pages.append((1000 * n + i, f"https://h{n}.example/p", source))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    for how in ({}, {"rules": False, "bound": False}):
+        wrong = [x.page_id for x in h.extract_text(df, **how).collect() if x.text != want[x.page_id]]
+        assert not wrong, wrong[:9]
