@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from memlayer.functions.hashing import fnv1a_bucket
+from memlayer.functions.hashing import fnv1a_bucket, fnv1a_int
 from memlayer.functions.text import column, raw_tokens
 
 
@@ -58,22 +63,30 @@ def hash_buckets(text: Column | str, dim: int = 64) -> Column:
 
 
 def hash_weights(df: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:
-    """``(id, bucket, weight)``: the non-zero components of each text's hashing embedding (EMB1).
-
-    Counted by token and bucket before vectors are built, so long texts never form wide intermediate arrays.
-    """
-    tokens = df.select(F.col(id_col).alias("id"), F.explode(raw_tokens(text_col)).alias("token")).groupBy("id", "token").count()
-    # the hash of a token is taken once for each text that holds it
-    counts = tokens.groupBy("id", fnv1a_bucket("token", dim).alias("bucket")).agg(F.sum("count").alias("n"))
-    norms = counts.groupBy("id").agg(F.sqrt(F.sum((F.col("n") * F.col("n")).cast("double"))).alias("norm"))
-    return counts.join(norms, "id").select("id", "bucket", (F.col("n") / F.col("norm")).alias("weight"))
+    """``(id, bucket, weight)``: the non-zero components of each text's hashing embedding (EMB1)."""
+    return hash_embedding(df, id_col, text_col, dim).select("id", F.posexplode("embedding").alias("bucket", "weight")).where("weight <> 0")
 
 
 def hash_embedding(df: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:
-    """``(id, embedding)``, dense and of norm 1; a text without tokens has the zero vector (EMB1)."""
-    weights = hash_weights(df, id_col, text_col, dim).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("w"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.col("w")[i], F.lit(0.0)))
-    return df.select(F.col(id_col).alias("id")).join(weights, "id", "left").select("id", F.when(F.col("w").isNull(), F.array_repeat(F.lit(0.0), dim)).otherwise(dense).alias("embedding"))
+    """``(id, embedding)``, dense and of norm 1; a text without tokens has the zero vector (EMB1).
+
+    No shuffle: Spark splits the text, and one Arrow batch at a time its tokens are hashed, each kind once, and counted.
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(raw_tokens(text_col), F.array().cast("array<string>")).alias("t"))
+    schema = StructType([StructField("id", rows.schema["id"].dataType)]).add("embedding", ArrayType(DoubleType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = batch.column(1).combine_chunks() if isinstance(batch.column(1), pa.ChunkedArray) else batch.column(1)
+            coded = tokens.flatten().dictionary_encode()
+            bucket = np.array([fnv1a_int(t.encode("utf-8", "surrogatepass")) % dim for t in coded.dictionary.to_pylist()], np.int64)
+            place = np.repeat(np.arange(len(batch)), tokens.value_lengths().to_numpy())
+            counts = np.bincount(place * dim + bucket[coded.indices.to_numpy()] if len(place) else place, minlength=len(batch) * dim).reshape(-1, dim).astype(float)
+            length = np.sqrt(np.square(counts).sum(axis=1, keepdims=True))
+            cells = (counts / np.where(length > 0, length, 1)).ravel()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(np.arange(len(batch) + 1, dtype=np.int32) * dim, cells)], names=["id", "embedding"])
+
+    return rows.mapInArrow(run, schema)
 
 
 def head_argmax(vector: Column | str, weights: list[list[float]], bias: list[float]) -> Column:

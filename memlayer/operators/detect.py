@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memlayer.functions.text import SPACE, column, label_class, payload_text, similarity_note, words
-from memlayer.functions.vectors import cosine, hash_embedding, head_argmax
+from memlayer.functions.vectors import hash_embedding, head_argmax
+from memlayer.operators.nearest import within
+from memlayer.operators.nearest import within
 from memlayer.sources.steps import materialize
 
 
@@ -44,12 +46,14 @@ def train_head(rows: DataFrame, vector_col: str, label_col: str, labels: list[st
     """Multinomial logistic regression over all rows by full-batch gradient steps (CLS3); export it with :func:`write_head`.
 
     A step is one scan: each partition sums its part of the gradient in numpy, and only these sums, a number for each weight,
-    meet. Rows with a null vector or another label, or of another dimension than the first, teach nothing.
+    meet. Rows with a null vector or another label, or of another dimension than the
+    commonest, teach nothing.
     """
     import numpy as np
     import pandas as pd
 
-    first = rows.where(F.col(vector_col).isNotNull()).select(F.size(vector_col)).first()
+    sizes = rows.where(F.col(vector_col).isNotNull()).groupBy(F.size(vector_col).alias("n")).count()
+    first = sizes.orderBy(F.desc("count"), F.desc("n")).first()
     dim, k = first[0] if first else 0, len(labels)
     place = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(label_col)) - 1
     data = rows.where((F.size(vector_col) == dim) & F.col(label_col).isin(*labels)).select(F.col(vector_col).alias("v"), place.cast("int").alias("y"))
@@ -112,9 +116,8 @@ def detect_keywords(df: DataFrame, id_col: str, text: Column, payload: Column, r
 
 def detect_similar(vectors: DataFrame, id_col: str, vector_col: str, references: DataFrame, threshold: float) -> DataFrame:
     """``(id, label, score, matched)`` of each reference ``(label, embedding)`` at least the threshold near (DET2, JN5)."""
-    pairs = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).crossJoin(references.select("label", F.col("embedding").alias("r")))
-    scored = pairs.select("id", "label", cosine("v", "r").alias("score")).where(F.col("score") >= threshold)
-    return scored.withColumn("matched", similarity_note("similarity", F.col("score")))
+    found = within(vectors, id_col, vector_col, references, "label", "embedding", threshold)
+    return found.withColumn("matched", similarity_note("similarity", F.col("score")))
 
 
 #: Passages of one row that a text meets where no word can stand for them.

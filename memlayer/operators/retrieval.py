@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memlayer.functions.text import Tokenizer, whitespace_tokens
-from memlayer.functions.vectors import cosine
 from memlayer.sources.steps import materialize
 
 K1, B = 1.2, 0.75
@@ -103,24 +102,6 @@ def bm25_one(index: Index, spark: SparkSession, query: str, k: int) -> DataFrame
     return bm25_scores(index, one, "query_id", "q").orderBy(F.desc("score"), F.asc("id")).limit(k).select("id", "score")
 
 
-#: Query vectors that one scan of the stored vectors carries.
-QUERY_BLOCK = 256
-
-
-def cosine_scores(vectors: DataFrame, id_col: str, vector_col: str, queries: DataFrame, query_id: str, query_vector: str) -> DataFrame:
-    """``(query_id, id, score)`` of every stored vector against a stated set of query vectors (RET5, JN4).
-
-    Queries travel in blocks of ``QUERY_BLOCK``, one row each, so a stored vector meets rows of bounded size.
-    """
-    left = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
-    right = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("q"))
-    count = max(1, -(-right.count() // QUERY_BLOCK))
-    blocks = right.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(count)).alias("block")).agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
-    met = left.crossJoin(blocks).select("id", "v", F.explode("qs").alias("x"))
-    scored = met.select("x.query_id", "id", cosine("v", "x.q").alias("score"))
-    return scored.where(~F.isnan("score") & (F.abs("score") != float("inf")) & (F.col("score") > 0))
-
-
 def fuse(keyword: DataFrame, vector: DataFrame, k: int, weights: tuple[float, float] = (0.5, 0.5)) -> DataFrame:
     """Weighted sum of two legs, each over its best score and cut to 4k (RET6, JN3, AGG4-5, SET1); ties by id."""
     legs = []

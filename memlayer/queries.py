@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memlayer.functions import hashing, scoring, text, vectors
-from memlayer.operators import checks, condense, detect, evaluate, graph, retrieval
+from memlayer.operators import checks, condense, detect, evaluate, graph, nearest, postings, retrieval
 from memlayer.plans import context
 from memlayer.sources import datasets, store
 from memlayer.sources.steps import shared_dir
@@ -64,19 +64,40 @@ ASKED = "{0} % 50 = 0"
 
 @query(f"with {fit(BM25, '(select * from benchmark where item_id % 50 = 0)')}, r as (select *, row_number() over (partition by item_id order by round(score, 9) desc, doc_id) r from sc) select item_id, doc_id, round(score, 6) score from r where r <= 8")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    """From a saved index, read back (RET1-3)."""
-    path = f"{shared_dir(spark)}/memlayer/index-{uuid.uuid4().hex}"
-    retrieval.build_index(table(spark, d, "documents"), "doc_id", "text").save(path)
+    """From an index in a folder that was built, reopened and merged (RET1-3)."""
+    index = _index(table(spark, d, "documents"))
+    index.merge()
     asked = table(spark, d, "benchmark").where(fit(ASKED, "item_id"))
-    scored = retrieval.bm25_scores(retrieval.Index.load(spark, path), asked, "item_id", "text").withColumn("key", F.round("score", 9))
-    return retrieval.top_k(scored, 8, score="key").select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+    return _ranked(postings.PostingIndex(spark, index.path).search(asked, "item_id", "text", 8)).drop("rank")
+
+
+def _index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> postings.PostingIndex:
+    path = f"{shared_dir(docs.sparkSession)}/memlayer/index-{uuid.uuid4().hex}"
+    return postings.PostingIndex.build(docs, id_col, text_col, path)
+
+
+def _ranked(hits: DataFrame) -> DataFrame:
+    return hits.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
 @query(f"with {fit(BM25, 'benchmark')}, r as (select *, row_number() over (partition by item_id order by round(score, 9) desc, doc_id) rank from sc) select item_id, doc_id, rank, round(score, 6) score from r where rank <= 10")
 def bm25_batch(spark: SparkSession, d: str) -> DataFrame:
-    index = retrieval.build_index(table(spark, d, "documents"), "doc_id", "text")
-    scored = retrieval.bm25_scores(index, table(spark, d, "benchmark"), "item_id", "text").withColumn("key", F.round("score", 9))
-    return retrieval.top_k(scored, 10, score="key").select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+    return _ranked(_index(table(spark, d, "documents")).search(table(spark, d, "benchmark"), "item_id", "text", 10))
+
+
+CHANGED = "documents as (select doc_id, case when doc_id % 5 = 1 then text || ' ' || lang || ' zebra' else text end as text from main.documents where doc_id % 7 <> 3)"
+
+
+@query(f"with {CHANGED}, {fit(BM25, 'benchmark')}, r as (select *, row_number() over (partition by item_id order by round(score, 9) desc, doc_id) rank from sc) select item_id, doc_id, rank, round(score, 6) score from r where rank <= 10")
+def bm25_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """The index after additions, replacements and deletions in later commits: as one built anew from what is left (RET1-3)."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    index = _index(docs.where("doc_id % 3 <> 0"))
+    index.apply(docs.where("doc_id % 3 = 0"), "doc_id", "text")
+    new = docs.where("doc_id % 5 = 1").withColumn("text", F.concat("text", F.lit(" "), "lang", F.lit(" zebra")))
+    gone = docs.where("doc_id % 7 = 3").withColumn("text", F.lit(None).cast("string"))
+    index.apply(new.withColumn("n", F.lit(1)).union(gone.withColumn("n", F.lit(2))), "doc_id", "text", order="n")
+    return _ranked(index.search(table(spark, d, "benchmark"), "item_id", "text", 10))
 
 
 @query(f"select doc_id, cast(len(t) as bigint) n, cast(len(list_distinct(t)) as bigint) kinds from (select doc_id, {fit(TOK, 'text')} t from documents)")
@@ -107,15 +128,14 @@ COS = "with s as (select q.vec_id query_id, v.vec_id, list_cosine_similarity({0}
 @query(fit(COS, "cast(v.embedding as double[])", "cast(q.embedding as double[])"))
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     v, q = _vectors(spark, d)
-    scored = retrieval.cosine_scores(v, "vec_id", "embedding", q, "query_id", "q").withColumn("score", F.round("score", 5))
-    return retrieval.top_k(scored, 5).select("query_id", F.col("id").alias("vec_id"), "score")
+    return nearest.nearest(v, "vec_id", "embedding", q, "query_id", "q", 5, digits=5).select("query_id", F.col("id").alias("vec_id"), "score")
 
 
 @query(fit(COS, "list_transform(v.embedding, lambda x: cast(sign(x) as double))", "list_transform(q.embedding, lambda x: cast(sign(x) as double))"))
 def cosine_binarized(spark: SparkSession, d: str) -> DataFrame:
     v, q = _vectors(spark, d)
-    scored = retrieval.cosine_scores(v.withColumn("embedding", vectors.binarized("embedding")), "vec_id", "embedding", q.withColumn("q", vectors.binarized("q")), "query_id", "q").withColumn("score", F.round("score", 5))
-    return retrieval.top_k(scored, 5).select("query_id", F.col("id").alias("vec_id"), "score")
+    v, q = v.withColumn("embedding", vectors.binarized("embedding")), q.withColumn("q", vectors.binarized("q"))
+    return nearest.nearest(v, "vec_id", "embedding", q, "query_id", "q", 5, digits=5).select("query_id", F.col("id").alias("vec_id"), "score")
 
 
 HASHED = f"""tk as (select {{1}} id, unnest({fit(RAW, "text")}) token from {{0}}), tb as (select token, {fit(BUCKET, "token")} bucket from (select distinct token from tk)),
@@ -138,13 +158,10 @@ def hash_embedding(spark: SparkSession, d: str) -> DataFrame:
 )
 def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
     docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
-    keyword = retrieval.bm25_scores(retrieval.build_index(docs, "doc_id", "text"), items, "item_id", "text")
-    # both sides have norm 1, so the cosine is a sum over shared buckets
-    a = vectors.hash_weights(docs, "doc_id", "text")
-    b = vectors.hash_weights(items, "item_id", "text").select(F.col("id").alias("query_id"), "bucket", F.col("weight").alias("qw"))
-    cosine = a.join(b, "bucket").groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("qw")).alias("score"))
-    legs = [leg.withColumn("score", F.round("score", 9)) for leg in (keyword, cosine)]
-    return retrieval.fuse(*legs, k=10).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+    keyword = _index(docs).search(items, "item_id", "text", 40)
+    a, b = vectors.hash_embedding(docs, "doc_id", "text"), vectors.hash_embedding(items, "item_id", "text")
+    cosine = nearest.nearest(a, "id", "embedding", b, "id", "embedding", 40, digits=9)
+    return retrieval.fuse(keyword, cosine, k=10).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 NOW = "timestamp '2030-01-01 00:00:00'"

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from memlayer.functions.text import is_uuid
+from memlayer.sources.commits import Commits
 from memlayer.sources.schema import ENTITIES
 from memlayer.sources.steps import discard, materialize
 
@@ -47,56 +48,99 @@ def checked_ids(df: DataFrame, key: str = "id") -> DataFrame:
     return df.select(F.when(is_uuid(F.coalesce(F.col(key), F.lit(""))), F.col(key)).otherwise(bad).alias(key))
 
 
+#: Buckets of a table by the hash of the id, and changes after which a table is compacted.
+BUCKETS, CHANGES = 16, 16
+
+
 class Table:
-    """One entity's rows in a directory, rewritten as a new version on each change (SRC2-6).
+    """One entity's rows in a directory, merged when read (SRC2-6).
 
-    The newest version directory that was written whole is the table, so a failed write changes nothing and readers of
-    an older version are not disturbed.
+    A change writes only its own rows, deletions as marks, in folders by bucket of the id with Bloom filters; a commit adds them to
+    the table's state. Reading takes the last change of each id; a look-up reads one bucket. Commits are atomic, and
+    of two writers at once the second commits on top of the first, so neither loses rows. After ``CHANGES`` changes the
+    table is written anew; readers of older states are not disturbed.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
         self.spark, self.path, self.schema = spark, path, StructType.fromDDL(schema)
-        self._fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _path(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-
-    def _versions(self) -> list[int]:
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not self._fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(root)]
-        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and self._fs.exists(self._path(f"{n}/_SUCCESS")))
+        self.commits = Commits(spark, path)
+
+    def _stored(self) -> StructType:
+        return StructType([*self.schema.fields, StructField("_gone", BooleanType()), StructField("bucket", IntegerType())])
+
+    @staticmethod
+    def _bucket(id_: Column) -> Column:
+        return F.pmod(F.xxhash64(id_), F.lit(BUCKETS)).cast("int")
+
+    def _write(self, rows: DataFrame) -> str:
+        name = f"part-{uuid.uuid4().hex}"
+        dealt = rows.select(*self.schema.names, "_gone", self._bucket(F.col("id")).alias("bucket")).repartition("bucket")
+        dealt.write.option("parquet.bloom.filter.enabled#id", "true").partitionBy("bucket").parquet(f"{self.path}/{name}")
+        return name
+
+    def _merged(self, parts: list[str], of: Column | None = None) -> DataFrame:
+        """The living rows of a state, or those that ``of`` selects by id and bucket."""
+        out = None
+        for n, name in enumerate(parts):
+            rows = self.spark.read.schema(self._stored()).parquet(f"{self.path}/{name}").withColumn("_n", F.lit(n))
+            out = rows if out is None else out.unionByName(rows)
+        if out is None:
+            return self.spark.createDataFrame([], self.schema)
+        out = out if of is None else out.where(of)
+        if len(parts) > 1:
+            out = out.groupBy("id").agg(F.max_by(F.struct(*[c for c in out.columns if c not in ("_n", "bucket")]), "_n").alias("r")).select("r.*")
+        return out.where("not _gone").select(*self.schema.names)
+
+    def _change(self, rows: DataFrame, check: Column | None = None, missing: str = "") -> None:
+        written = []
+
+        def add(state: dict) -> dict:
+            parts = state.get("parts", [])
+            if check is not None and self._merged(parts, check).isEmpty():
+                raise NotFoundError(missing)
+            if not written:
+                written.append(self._write(rows))
+            return {"parts": [*parts, written[0]]}
+
+        self.commits.update(add)
+        if len(self.commits.latest()[1]["parts"]) > CHANGES:
+            self.compact()
+
+    def compact(self) -> None:
+        """Write the living rows as one part; a change that is committed meanwhile stays on top of it."""
+        before = self.commits.latest()[1].get("parts", [])
+        if len(before) < 2:
+            return
+        whole = self._write(self._merged(before).withColumn("_gone", F.lit(False)))
+        self.commits.update(lambda state: {"parts": [whole, *state["parts"][len(before) :]]} if state.get("parts", [])[: len(before)] == before else None)
 
     def read(self) -> DataFrame:
-        found = self._versions()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{found[-1]}") if found else self.spark.createDataFrame([], self.schema)
-
-    def _write(self, df: DataFrame, keep: int = 2) -> None:
-        found = self._versions()
-        df.select(*self.schema.names).write.parquet(f"{self.path}/v{(found[-1] if found else 0) + 1}")
-        for old in found[: 1 - keep or None]:
-            self._fs.delete(self._path(f"v{old}"), True)
+        return self._merged(self.commits.latest()[1].get("parts", []))
 
     def save(self, rows: DataFrame, order: str | None = None) -> None:
-        self._write(upsert(self.read(), rows.select(*self.schema.names, *([order] if order and order not in self.schema.names else [])), order=order))
+        """Insert or replace; of several rows of an id the one with the greatest ``order`` stays, as :func:`upsert` says."""
+        rank = F.struct(*([F.col(order)] if order else []), F.to_json(F.struct(*self.schema.names)))
+        last = rows.groupBy("id").agg(F.max_by(F.struct(*self.schema.names), rank).alias("r")).select("r.*")
+        self._change(last.withColumn("_gone", F.lit(False)))
+
+    def _only(self, id_: str) -> Column:
+        return (F.col("bucket") == self._bucket(F.lit(id_))) & (F.col("id") == id_)
 
     def load(self, id_: str) -> dict:
-        row = self.read().where(F.col("id") == id_).first()
+        row = self._merged(self.commits.latest()[1].get("parts", []), self._only(id_)).first()
         if row is None:
             raise NotFoundError(id_)
         return row.asDict(recursive=True)
 
     def delete(self, id_: str) -> None:
-        if self.read().where(F.col("id") == id_).isEmpty():
-            raise NotFoundError(id_)
-        self._write(self.read().where(F.col("id") != id_))
+        empty = [F.lit(id_).cast(f.dataType).alias(f.name) if f.name == "id" else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.fields]
+        self._change(self.spark.range(1).select(*empty, F.lit(True).alias("_gone")), self._only(id_), id_)
 
     def list(self) -> DataFrame:
         return self.read().select("id")
 
 
-class MemoryTable(Table):
+class MemoryTable:
     """The same for one session (SRC1): each change is a table in the shared folder, so neither lineage nor cache grows."""
 
     def __init__(self, spark: SparkSession, schema: str) -> None:
@@ -105,10 +149,27 @@ class MemoryTable(Table):
     def read(self) -> DataFrame:
         return self._df
 
-    def _write(self, df: DataFrame, keep: int = 2) -> None:
+    def _write(self, df: DataFrame) -> None:
         before, self._df = self._df, materialize(df.select(*self.schema.names), "memory")
         discard(before)
 
+    def save(self, rows: DataFrame, order: str | None = None) -> None:
+        self._write(upsert(self.read(), rows.select(*self.schema.names, *([order] if order and order not in self.schema.names else [])), order=order))
+
+    def load(self, id_: str) -> dict:
+        row = self.read().where(F.col("id") == id_).first()
+        if row is None:
+            raise NotFoundError(id_)
+        return row.asDict(recursive=True)
+
+    def delete(self, id_: str) -> None:
+        if self.read().where(F.col("id") == id_).isEmpty():
+            raise NotFoundError(id_)
+        self._write(self.read().where(F.col("id") != id_))
+
+    def list(self) -> DataFrame:
+        return self.read().select("id")
+
 
 class Store:
     """Chunks, facts and pending items."""

@@ -316,6 +316,16 @@ def stream_facts(spark: SparkSession, d: str) -> DataFrame:
     return _drained(turns.latest_facts(turns.read_turns(spark, f"{d}/events*.parquet")), "append")
 
 
+@query("select user_id as key, event_type as value, event_id, lag(event_id) over (partition by user_id order by ts, event_id) superseded from (select *, lag(event_type) over (partition by user_id order by ts, event_id) before from events) where before is null or before <> event_type")
+def stream_late_facts(spark: SparkSession, d: str) -> DataFrame:
+    """The same from turns that come in no order, in four micro-batches: each corrects what those before have said."""
+    turns.stateful(spark)
+    path = _path(spark, "dealt")
+    table(spark, d, "events").withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(4))).repartition("part").write.partitionBy("part").parquet(path)
+    stream = turns.read_turns(spark, f"{path}/part=*")
+    return turns.current_facts(_drained(turns.late_facts(stream, "4000 days"), "append"))
+
+
 @query("with e as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 12 hour then 0 else 1 end fresh from events), s as (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) k from e) select user_id, min(ts) as start, count(*) n from s group by user_id, k")
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Turns as a stream: the turns of each user's sessions."""
@@ -366,7 +376,10 @@ def conflict_recall(spark: SparkSession, d: str) -> DataFrame:
 def trained_head(spark: SparkSession, d: str) -> DataFrame:
     """A head trained on the vectors' labels, written, read and applied to all of them (CLS3)."""
     v = table(spark, d, "embeddings").withColumn("label", F.col("label").cast("string"))
-    names = [str(x.label) for x in v.select("label").distinct().orderBy("label").limit(64).collect()]
+    kinds = v.where("label is not null").select("label").distinct()
+    if kinds.limit(1001).count() > 1000:
+        raise ValueError("more than 1000 labels")
+    names = sorted(x.label for x in kinds.collect())
     path = _path(spark, "head")
     detect.write_head(spark, detect.train_head(v, "embedding", "label", names, steps=10), path)
     head = detect.read_head_file(spark, path)

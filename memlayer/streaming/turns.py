@@ -1,4 +1,4 @@
-"""Turns as a stream: stateless detection, windowed counts, upserts by micro-batch and facts with supersession."""
+"""Turns as a stream: stateless detection, windowed counts, upserts and index changes by micro-batch, and facts with supersession."""
 
 from __future__ import annotations
 
@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from memlayer.operators.detect import detect_keywords
+from memlayer.operators.postings import PostingIndex
 from memlayer.sources.store import Table
 
 TURN = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
@@ -60,3 +62,104 @@ def latest_facts(turns: DataFrame) -> DataFrame:
         yield pd.DataFrame(out, columns=["key", "value", "event_id", "superseded"]).astype({"superseded": "Int64"})
 
     return turns.groupBy("user_id").applyInPandasWithState(update, "key long, value string, event_id long, superseded long", "value string, event long", "append", GroupStateTimeout.NoTimeout)
+
+
+def index_stream(rows: DataFrame, index: PostingIndex, name: str, id_col: str, text_col: str, checkpoint: str, order: str | None = None, merge_every: int = 16, once: bool = True) -> StreamingQuery:
+    """Add, replace or (null text) delete documents of an index by micro-batch, one commit each.
+
+    A batch that is repeated after a failure changes nothing: the index remembers the last one of the stream ``name``. After
+    ``merge_every`` batches the generations are merged.
+    """
+
+    def write(batch: DataFrame, n: int) -> None:
+        index.apply(batch, id_col, text_col, order, (name, n))
+        if n % merge_every == merge_every - 1:
+            index.merge()
+
+    writer = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def facts_of(last: tuple, events: list[tuple]) -> dict[int, tuple]:
+    """``{event: (micros, value, superseded)}`` of ordered events ``(micros, event, value)`` that follow the fact ``last``."""
+    value, event = last
+    out = {}
+    for micros, id_, new in events:
+        if new != value:
+            out[id_] = (micros, new, event)
+            value, event = new, id_
+    return out
+
+
+class LateFacts(StatefulProcessor):
+    """Keeps a key's events that can still be preceded, in order, and the last fact before them.
+
+    Each input says at once which facts it adds, changes or takes back. Once the watermark has passed an event no other can
+    come before it: a timer then drops it, and only the last fact stays.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", "micros long, event long, value string")
+        self.settled = handle.getValueState("settled", "value string, event long, changes long")
+
+    def _last(self) -> tuple:
+        return tuple(self.settled.get()) if self.settled.exists() else (None, None, 0)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        value, event, changes = self._last()
+        old = [tuple(x) for x in self.open.get()]
+        came = [x for frame in rows for x in zip(frame["micros"].tolist(), frame["event_id"].tolist(), frame["event_type"].tolist(), strict=True)]
+        now = sorted({*old, *(x for x in came if x[0] > 1000 * mark)})
+        before, after = facts_of((value, event), old), facts_of((value, event), now)
+        out = [(key[0], e, *x, True) for e, x in after.items() if before.get(e) != x] + [(key[0], e, *x, False) for e, x in before.items() if e not in after]
+        if now != old:
+            self.open.put(now)
+            self.settled.update((value, event, changes + 1))
+            self.handle.registerTimer(now[0][0] // 1000 + 1)
+        yield _changes(out, changes + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        value, event, changes = self._last()
+        events = [tuple(x) for x in self.open.get()]
+        past, rest = [x for x in events if x[0] <= 1000 * mark], [x for x in events if x[0] > 1000 * mark]
+        for id_, (_, new, _) in facts_of((value, event), past).items():
+            value, event = new, id_
+        self.settled.update((value, event, changes))
+        if rest:
+            self.open.put(rest)
+            self.handle.registerTimer(rest[0][0] // 1000 + 1)
+        else:
+            self.open.clear()
+        yield _changes([], 0)
+
+
+FACT = "key long, event_id long, micros long, value string, superseded long, active boolean, change long"
+
+
+def _changes(rows: list[tuple], change: int) -> pd.DataFrame:
+    out = pd.DataFrame([(*r, change) for r in rows], columns=["key", "event_id", "micros", "value", "superseded", "active", "change"])
+    return out.astype({"key": "int64", "event_id": "int64", "micros": "int64", "superseded": "Int64", "active": "bool", "change": "int64"})
+
+
+def late_facts(turns: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """As :func:`latest_facts` for turns in any order within the watermark: a stream of changes ``FACT`` that ends as the batch result.
+
+    Changes of a fact are numbered; :func:`current_facts` takes the last of each. The session needs a state store with column
+    families (:func:`stateful`).
+    """
+    keyed = turns.withWatermark("ts", late).select("user_id", "ts", "event_id", "event_type", F.unix_micros("ts").alias("micros"))
+    return keyed.groupBy("user_id").transformWithStateInPandas(statefulProcessor=LateFacts(), outputStructType=FACT, outputMode="Append", timeMode="EventTime")
+
+
+def stateful(spark: SparkSession) -> None:
+    """Choose the RocksDB state store for the streams that start from now on."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def current_facts(changes: DataFrame) -> DataFrame:
+    """``(key, value, event_id, superseded)`` after all changes."""
+    last = changes.groupBy("key", "event_id").agg(F.max_by(F.struct("value", "superseded", "active"), "change").alias("f"))
+    return last.where("f.active").select("key", "f.value", "event_id", "f.superseded")

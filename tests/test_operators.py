@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from memlayer.operators import checks, condense, detect, evaluate, graph, models, retrieval
+from memlayer.operators import checks, condense, detect, evaluate, graph, models, nearest, retrieval
 from memlayer.plans import context, harness
 from memlayer.sources import datasets, store
 
@@ -22,7 +22,7 @@ def test_bm25_and_fusion(spark):
     assert abs(twice[0].score - 2 * once[0].score) < 1e-9
     vecs = spark.createDataFrame([("a", [1.0, 0.0, 0.0]), ("b", [0.0, 1.0, 0.0])], "id string, v array<double>")
     q = spark.createDataFrame([(0, [1.0, 0.0, 0.0], "quick fox")], "query_id int, q array<double>, text string")
-    cos = retrieval.cosine_scores(vecs, "id", "v", q, "query_id", "q")
+    cos = nearest.nearest(vecs, "id", "v", q, "query_id", "q", 8)
     fused = retrieval.fuse(retrieval.bm25_scores(index, q, "query_id", "text"), cos, 2).collect()
     assert [f.id for f in sorted(fused, key=lambda f: f.rank)] == ["a", "c"]
 
