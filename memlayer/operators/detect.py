@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
+from memlayer.functions.arrow import record_batch
 from memlayer.functions.text import SPACE, column, label_class, payload_text, similarity_note, words
 from memlayer.functions.vectors import hash_embedding, head_argmax
 from memlayer.operators.nearest import within
@@ -114,6 +117,57 @@ def detect_keywords(df: DataFrame, id_col: str, text: Column, payload: Column, r
     return df.select(F.col(id_col).alias("id"), whole.alias("_whole")).select("id", F.explode(hits).alias("h")).select("id", "h.*")
 
 
+#: Bytes of keywords of one automaton; more rules take more automata, a scan of the texts each.
+RULE_BYTES = 16 << 20
+
+
+def detect_rules(df: DataFrame, id_col: str, text: Column, payload: Column, rules: DataFrame, rule_bytes: int = RULE_BYTES) -> DataFrame:
+    """As :func:`detect_keywords` for a table ``rules(ordinal, label, keyword)`` of any size (DET1, JN6).
+
+    One Aho-Corasick automaton finds all keywords in one pass over a text, however many there are. It is built once on the
+    driver, from ``rule_bytes`` of keywords at most, and broadcast. Empty keywords are contained in every text; null ones
+    match nothing.
+    """
+    import ahocorasick
+
+    schema = StructType([StructField("id", df.schema[id_col].dataType)]).add("ordinal", "long").add("label", "string").add("matched", "string")
+    rows = df.select(F.col(id_col).alias("id"), payload_text(text, payload).alias("whole")).where("whole is not null")
+    out = None
+
+    def scan(held: dict[str, list[tuple[int, str]]]) -> DataFrame:
+        always = held.pop("", [])
+        automaton = ahocorasick.Automaton()
+        for word in held:
+            automaton.add_word(word, word)
+        if held:
+            automaton.make_automaton()
+        shared = df.sparkSession.sparkContext.broadcast((automaton if held else None, held, always))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton, held, always = shared.value
+            for batch in batches:
+                found = []
+                for id_, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    words = {w for _, w in automaton.iter(whole)} if automaton is not None else ()
+                    found += [(id_, *rule, w) for w in words for rule in held[w]] + [(id_, *rule, "") for rule in always]
+                if found:
+                    yield record_batch(found, schema)
+
+        return rows.mapInArrow(run, schema)
+
+    held, size = {}, 0
+    for rule in rules.select("ordinal", "label", "keyword").where("keyword is not null").toLocalIterator(prefetchPartitions=True):
+        held.setdefault(rule.keyword, []).append((rule.ordinal, rule.label))
+        size += len(rule.keyword) + 16
+        if size >= rule_bytes:
+            part = scan(held)
+            out, held, size = part if out is None else out.union(part), {}, 0
+    if held:
+        part = scan(held)
+        out = part if out is None else out.union(part)
+    return df.sparkSession.createDataFrame([], schema) if out is None else out
+
+
 def detect_similar(vectors: DataFrame, id_col: str, vector_col: str, references: DataFrame, threshold: float) -> DataFrame:
     """``(id, label, score, matched)`` of each reference ``(label, embedding)`` at least the threshold near (DET2, JN5)."""
     found = within(vectors, id_col, vector_col, references, "label", "embedding", threshold)

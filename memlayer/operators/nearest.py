@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from memlayer.functions.arrow import record_batch
 from memlayer.operators.retrieval import top_k
 from memlayer.sources.steps import materialize
 
@@ -126,7 +127,7 @@ def nearest(vectors: DataFrame, id_col: str, vector_col: str, queries: DataFrame
                             best.add([ids[i] for i in places], unit)
             for best in held:
                 if found := best.rows():
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found, strict=True)], names=["query_id", "id", "score"])
+                    yield record_batch(found, schema)
 
         found = rows.mapInArrow(run, schema)
         out = found if out is None else out.union(found)
@@ -190,7 +191,7 @@ def within(vectors: DataFrame, id_col: str, vector_col: str, references: DataFra
                                 compared.add(scores.size)
                             found += [(b.ids[first + q], ids[places[rows[i]]], float(scores[i, q])) for i, q in zip(*np.nonzero(scores >= threshold), strict=True)]
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found, strict=True)], names=["label", "id", "score"])
+                    yield record_batch(found, schema)
 
         here = rows.mapInArrow(run, schema)
         out = here if out is None else out.union(here)

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, IntegerType, LongType, StringType, StructField, StructType
 
+from memlayer.functions.arrow import record_batch
 from memlayer.functions.text import Tokenizer, whitespace_tokens
 from memlayer.operators.retrieval import B, K1, top_k
 from memlayer.sources.commits import Commits
@@ -57,16 +58,14 @@ def _rows(shard: str, ids: list, lengths: list, found: dict) -> Iterator[tuple]:
 
 
 def _batches(rows: Iterator[tuple], schema: StructType, size: int = 20_000) -> Iterator[pa.RecordBatch]:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow, held = to_arrow_schema(schema), []
+    held = []
     for row in rows:
         held.append(row)
         if len(held) >= size:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), arrow, strict=True)], schema=arrow)
+            yield record_batch(held, schema)
             held = []
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), arrow, strict=True)], schema=arrow)
+        yield record_batch(held, schema)
 
 
 def sharded(docs: DataFrame, name: str, tokenizer: Tokenizer = whitespace_tokens, size: int = SHARD_DOCS) -> DataFrame:
@@ -299,7 +298,7 @@ class PostingIndex:
             for shard in _shards(batches):
                 found = list(_best(shard, shared.value, avgdl, k, digits, counts))
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found, strict=True)], names=["query_id", "id", "score"])
+                    yield record_batch(found, schema)
 
         return parts.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(run, schema)
 

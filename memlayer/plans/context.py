@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlayer.functions.scoring import no_decay
 from memlayer.operators.graph import chain
+from memlayer.operators.postings import PostingIndex
 from memlayer.operators.retrieval import bm25_one, build_index, drop_current
 from memlayer.plans.protocols import PromptCompressor, QueryClassifier, RelevanceScorer, Retriever
 from memlayer.sources.store import Store, active_facts
@@ -48,6 +51,36 @@ def compile_context(store: Store, query: str, current: str | None = None, scorer
     return out.withColumn("query_class", F.when(F.col("layer") == "query", kind))
 
 
+def compile_contexts(store: Store, queries: DataFrame, index: PostingIndex, scorer: Callable[[Column], Column] | None = None, classifier: QueryClassifier | None = None, pool: int = POOL, keep: int = KEEP) -> DataFrame:
+    """The contexts of many queries in one plan: ``(query_id, layer, pos, id, key, text, score, query_class)`` (CTX1-3, CTX5).
+
+    ``queries(query_id, query, current)`` may have more columns, such as a location; ``scorer`` sees them with ``q_`` before their
+    names, beside the chunk's columns and the hit's score. Related chunks come from a kept index, the resident ones of all
+    queries from one walk up. Active facts hold for every query and are listed once, without a query's id.
+    """
+    asked = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns])
+    chunks = store.read("chunk")
+    none = F.lit(None).cast("string")
+    kind = classifier(F.col("q_query")) if classifier else none
+
+    def layer(rows: DataFrame, name: str, pos: Column, id_: Column, key: Column, text: Column, score: Column, query: Column, of: Column = none) -> DataFrame:
+        return rows.select(query.alias("query_id"), F.lit(name).alias("layer"), pos.cast("int").alias("pos"), id_.alias("id"), key.alias("key"), text.alias("text"), score.cast("double").alias("score"), of.alias("query_class"))
+
+    id_, text, own, no_score = F.col("id"), F.col("text"), F.col("q_query_id"), F.lit(None)
+    out = layer(asked, "query", F.lit(0), none, none, F.col("q_query"), no_score, own, kind)
+    starts = asked.where("q_current is not null").select(F.col("q_current").alias("start")).distinct()
+    way = chain(chunks, "id", "parent", starts).join(asked, F.col("start") == F.col("q_current")).select("q_query_id", "id", "depth")
+    out = out.union(layer(way.join(chunks, "id"), "resident", F.col("depth"), id_, none, text, no_score, own))
+    facts = active_facts(store.read("fact"))
+    out = out.union(layer(facts, "fact", F.lit(0), id_, F.col("key"), F.col("value"), no_score, F.lit(None).cast(asked.schema["q_query_id"].dataType)))
+    hits = index.search(queries, "query_id", "query", pool).select(F.col("query_id").alias("q_query_id"), "id", F.col("score").alias("hit_score"))
+    rows = chunks.join(hits.join(asked, "q_query_id").where("q_current is null or id <> q_current"), "id")
+    rows = rows.withColumn("score", no_decay("hit_score") if scorer is None else scorer(F.col("hit_score")))
+    best = Window.partitionBy("q_query_id").orderBy(F.desc("score"), F.desc("hit_score"), "id")
+    rows = rows.withColumn("pos", F.row_number().over(best) - 1).where(F.col("pos") < keep)
+    return out.union(layer(rows, "dynamic", F.col("pos"), id_, none, text, F.col("score"), own))
+
+
 def rendered(resident: Column, facts: Column, related: Column, query: Column) -> Column:
     """The prompt (CTX4) from arrays: resident texts root first, ``(key, value)`` facts, related texts; empty parts are left out."""
     lines = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat(x, F.lit("\n\n"))), "")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from memlayer.functions.hashing import fnv1a_int
 from memlayer.sources import schema
+from memlayer.sources.steps import materialize
 
 #: Generated haystack: words, needle sentence, sizes and seed. Fixed values.
 FILLER = (
@@ -24,9 +29,50 @@ def read_sessions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema.SESSIONS).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, line, value)``: every line with its number in its file, from 1, blank ones too.
+
+    Files are read in splits by byte ranges. Each task counts the lines of its splits; the counts of a file's earlier splits,
+    a row each, are added to the number within the split.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    kind = "value string, file string, start long, n long"
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n = None, 0
+        for batch in batches:
+            numbers = []
+            for split in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                n = n + 1 if split == now else 1
+                now = split
+                numbers.append(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], names=["value", "file", "start", "n"])
+
+    lines = materialize(lines.mapInArrow(count, kind), "lines")
+    earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = lines.groupBy("file", "start").agg(F.max("n").alias("lines"))
+    before = splits.select("file", "start", F.coalesce(F.sum("lines").over(earlier), F.lit(0)).alias("before"))
+    return lines.join(before, ["file", "start"]).select("file", (F.col("n") + F.col("before")).alias("line"), "value")
+
+
+def read_json_lines(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """JSON lines of a schema; blank lines are skipped, and the error for a malformed line names its file and number.
+
+    The number is sought only when there is such a line: a first pass looks for one and stops at it.
+    """
+    fields = StructType.fromDDL(kind)
+    read = lambda lines: lines.withColumn("r", F.from_json("value", StructType([*fields.fields, StructField("_bad", StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    filled = F.trim(F.regexp_replace("value", "\\s", " ")) != ""
+    lines = spark.read.text(path).where(filled)
+    if not read(lines).where("r._bad is not null").limit(1).isEmpty():
+        bad = read(numbered_lines(spark, path).where(filled)).where("r._bad is not null").orderBy("file", "line").first()
+        raise ValueError(f"malformed line {bad.line} of {bad.file}: {bad.value[:200]}")
+    return read(lines).select(*[F.col("r")[f.name].alias(f.name) for f in fields])
+
+
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON-lines file of contexts with questions (SRC9); blank lines are skipped, a malformed line is an error."""
-    return spark.read.schema(schema.QUESTIONS).option("mode", "FAILFAST").json(path)
+    """A JSON-lines file of contexts with questions (SRC9); blank lines are skipped, a malformed line is an error with its number."""
+    return read_json_lines(spark, path, schema.QUESTIONS)
 
 
 def read_labelled(spark: SparkSession, path: str) -> DataFrame:

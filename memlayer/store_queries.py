@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlayer.functions import scoring, text, vectors
-from memlayer.operators import checks, condense, detect, evaluate, models, retrieval
+from memlayer.operators import checks, condense, detect, evaluate, models, postings, retrieval
 from memlayer.plans import context
 from memlayer.queries import BM25, CASES, FACTS, FLAT, HASHED, KEYWORDS, SCORED, WORDS, _cases, _facts, fit, query, table
 from memlayer.sources import datasets, schema, store
@@ -285,6 +285,10 @@ def kept_pieces(spark: SparkSession, d: str) -> DataFrame:
     return condense.keep_pieces(rows, budgets, 3).select(F.col("id").alias("item_id"), F.col("pos").cast("long").alias("pos"), "piece")
 
 
+def _stated(spark: SparkSession, d: str) -> DataFrame:
+    return _facts(spark, d).select(F.col("o_orderkey").cast("string").alias("id"), F.lit("total").alias("key"), F.col("o_totalprice").cast("string").alias("value"), F.lit(None).cast("struct<kind:string,chunk:string>").alias("scope"), F.lit("User").alias("origin"), F.col("superseded_by").cast("string").alias("superseded_by"), F.lit(None).cast("timestamp").alias("created_at"))
+
+
 @query(
     f"with {fit(BM25, '(select * from benchmark where item_id = 0)')}, pool as (select doc_id, score from sc order by round(score, 9) desc, cast(doc_id as varchar) limit 32), best as (select doc_id, row_number() over (order by score desc, cast(doc_id as varchar)) - 1 pos from pool where doc_id <> 1 order by 2 limit 8) "
     "select 'query' layer, 0 pos, cast(null as varchar) id, (select text from benchmark where item_id = 0) as text, 'Unknown' query_class "
@@ -296,13 +300,50 @@ def compile_context(spark: SparkSession, d: str) -> DataFrame:
     """A whole context: query with its class, resident chunks, active facts, related chunks (CTX1-3, CTX5)."""
     held = store.Store(spark, _path(spark, "store"))
     held.tables["chunk"].save(_chunks(spark, d))
-    facts = _facts(spark, d).select(F.col("o_orderkey").cast("string").alias("id"), F.lit("total").alias("key"), F.col("o_totalprice").cast("string").alias("value"), F.lit(None).cast("struct<kind:string,chunk:string>").alias("scope"), F.lit("User").alias("origin"), F.col("superseded_by").cast("string").alias("superseded_by"), F.lit(None).cast("timestamp").alias("created_at"))
-    held.tables["fact"].save(facts)
+    held.tables["fact"].save(_stated(spark, d))
     asked = table(spark, d, "benchmark").where("item_id = 0").first().text
     out = context.compile_context(held, asked, "1", classifier=lambda q: detect.classify_regex(q, [("^zzz", "Literal")]))
     return out.select("layer", F.col("pos").cast("long").alias("pos"), "id", "text", "query_class")
 
 
+@query(
+    f"with {fit(BM25, '(select * from benchmark where item_id % 50 = 0)')}, pool as (select * from (select item_id, doc_id, score, row_number() over (partition by item_id order by round(score, 9) desc, cast(doc_id as varchar)) r from sc) where r <= 32), "
+    "best as (select * from (select item_id, doc_id, row_number() over (partition by item_id order by round(score, 9) desc, cast(doc_id as varchar)) - 1 pos from pool where doc_id <> 1) where pos < 8) "
+    "select item_id query_id, 'query' layer, 0 pos, cast(null as varchar) id, text, 'Unknown' query_class from benchmark where item_id % 50 = 0 "
+    "union all select item_id, 'resident', 1 - doc_id, cast(doc_id as varchar), d.text, null from documents d, benchmark where doc_id in (0, 1) and item_id % 50 = 0 "
+    f"union all select null, 'fact', 0, cast(o_orderkey as varchar), cast(o_totalprice as varchar), null from ({FACTS}) where successor is null "
+    "union all select item_id, 'dynamic', pos, cast(doc_id as varchar), text, null from best join documents using (doc_id)"
+)
+def compile_contexts(spark: SparkSession, d: str) -> DataFrame:
+    """Whole contexts of every fiftieth item from a kept index, all in one plan (CTX1-3, CTX5)."""
+    held = store.Store(spark, _path(spark, "store"))
+    held.tables["chunk"].save(_chunks(spark, d))
+    held.tables["fact"].save(_stated(spark, d))
+    index = postings.PostingIndex.build(held.read("chunk"), "id", "text", _path(spark, "index"))
+    asked = table(spark, d, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit("1").alias("current"))
+    out = context.compile_contexts(held, asked, index, classifier=lambda q: detect.classify_regex(q, [("^zzz", "Literal")]))
+    return out.select("query_id", "layer", F.col("pos").cast("long").alias("pos"), "id", "text", "query_class")
+
+
+@query("select doc_id, ordinal, label, matched from documents, (select item_id * 10 + k ordinal, 'item' || item_id as label, substr(text, 1 + 30 * k, 12) matched from benchmark, range(10) r(k) where length(text) >= 30 * k + 12) where contains(text, matched)")
+def detect_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Rules from a table, ten of each benchmark item, found by one automaton in every document (DET1, JN6)."""
+    items = table(spark, d, "benchmark").select("item_id", "text", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k")).where("length(text) >= 30 * k + 12")
+    rules = items.select((F.col("item_id") * 10 + F.col("k")).alias("ordinal"), F.concat(F.lit("item"), "item_id").alias("label"), F.substring("text", 1 + 30 * F.col("k"), F.lit(12)).alias("keyword"))
+    found = detect.detect_rules(table(spark, d, "documents"), "doc_id", F.col("text"), F.lit(None).cast("string"), rules)
+    return found.withColumnRenamed("id", "doc_id")
+
+
+@query("select doc_id, row_number() over (partition by doc_id // 300 order by doc_id) line, lang from documents where text is not null")
+def numbered_file(spark: SparkSession, d: str) -> DataFrame:
+    """Documents written as files of JSON lines, 300 ids each, read with each line's number in its file (SRC9)."""
+    path = _path(spark, "numbered")
+    rows = table(spark, d, "documents").where("text is not null").select("doc_id", "lang", F.floor(F.col("doc_id") / 300).alias("part"))
+    rows.repartition("part").sortWithinPartitions("part", "doc_id").write.partitionBy("part").json(path)
+    lines = datasets.numbered_lines(spark, f"{path}/part=*")
+    return lines.select(F.get_json_object("value", "$.doc_id").cast("long").alias("doc_id"), "line", F.get_json_object("value", "$.lang").alias("lang"))
+
+
 @query(f"with e as (select event_id, ts, label from events, (values {FLAT}) r(ordinal, label, matched) where contains(concat_ws(' ', event_type, props), matched)) select date_trunc('hour', ts) as start, label, count(*) n from e group by 1, 2")
 def stream_label_counts(spark: SparkSession, d: str) -> DataFrame:
     """Turns as a stream: keyword events counted by hour and label."""

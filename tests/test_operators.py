@@ -333,3 +333,34 @@ def test_providers_have_their_shape(spark):
     assert condense.method_for(2, {2: "Upper"}, "None") == "Upper" and condense.method_for(3, {2: "Upper"}, "None") == "None"
     held = detect.classify_texts(chunks, "id", "text", {"labels": ["Literal", "Narrative"], "embedding_dim": 64, "weights": [[1.0] * 64, [0.0] * 64], "bias": [0.0, 0.0]}).collect()
     assert {x["class"] for x in held} == {"Literal"}
+
+
+def test_rules_from_a_table_equal_containment(spark):
+    r = random.Random(5)
+    texts = [(i, "".join(r.choices("abcd ", k=400))) for i in range(60)] + [(90, None), (91, "")]
+    rules = [(n, f"l{n % 7}", "".join(r.choices("abcd ", k=r.randrange(4, 7)))) for n in range(5000)] + [(5001, "any", ""), (5002, "none", None), (5003, "twice", "ab"), (5004, "again", "ab")]
+    df, table = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(rules, "ordinal long, label string, keyword string")
+    want = {(i, n, label, k) for i, t in texts for n, label, k in rules if t is not None and k is not None and k in t}
+    want |= {(90, 5001, "any", "")}  # a text and a payload that are both null join to an empty one
+    for size in (detect.RULE_BYTES, 9000):
+        got = [tuple(x) for x in detect.detect_rules(df, "id", F.col("text"), F.lit(None).cast("string"), table, size).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert detect.detect_rules(df, "id", F.col("text"), F.lit(None).cast("string"), table.limit(0)).count() == 0
+
+
+def test_a_malformed_line_is_named_whatever_the_splits(spark, tmp_path):
+    good = '{"context": "c", "questions": ["q"], "answers": [["a"]], "metadata": "m"}'
+    lines = [good, "", good, "  ", good, good, '{"context": ', good, good]
+    (tmp_path / "q.jsonl").write_text("\n".join(lines) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(sum(map(len, lines)) // 4 + 3))
+    try:
+        numbered = datasets.numbered_lines(spark, str(tmp_path / "q.jsonl"))
+        assert numbered.select("value", "line").orderBy("line").collect() == [(v, n + 1) for n, v in enumerate(lines)]
+        assert spark.read.text(str(tmp_path / "q.jsonl")).rdd.getNumPartitions() >= 4
+        with pytest.raises(ValueError, match="malformed line 7 of"):
+            datasets.read_questions(spark, str(tmp_path / "q.jsonl"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    (tmp_path / "ok.jsonl").write_text("\n".join(x for x in lines if x.strip() and x.endswith("}")) + "\n")
+    assert datasets.read_questions(spark, str(tmp_path / "ok.jsonl")).count() == 6
