@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlayer.sources.steps import discard, materialize
@@ -66,3 +66,80 @@ def chain_fixed(nodes: DataFrame, id_col: str, parent_col: str, start: DataFrame
         level = level.select("start", F.col("parent").alias("id")).where("id is not null").join(known, "id").select("start", "id", "parent")
         out = out.union(level.select("start", "id", F.lit(depth).alias("depth")))
     return out
+
+
+def forest_labels(nodes: DataFrame, id_col: str, parent_col: str) -> DataFrame:
+    """``(id, root, first, last, size)`` for every node of a forest: ``a`` is ``b`` or above it if their roots are equal and
+    ``a.first <= b.first <= a.last`` (JN7-9).
+
+    The numbers are places in a walk around each tree that enters and leaves each node once. Its steps are a linked list, and each
+    step learns its distance to the end by pointer jumping: a round doubles how far all steps see, so a chain of n nodes
+    takes log2(2n) joins of 2n rows, and no pair of nodes is ever written. A parent that is missing makes a root. Nodes on a
+    cycle, or below one, have no root: their labels are null. Of rows that repeat an id the least parent
+    counts. ``size`` is the number of nodes from it downwards.
+    """
+    one = nodes.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(parent_col).alias("parent"))
+    one = materialize(one, "nodes")
+    known = one.select(F.col("id").alias("parent"), F.lit(True).alias("there"))
+    one = materialize(one.join(known, "parent", "left").select("id", F.when(F.col("there"), F.col("parent")).alias("parent")), "nodes")
+    siblings = Window.partitionBy("parent").orderBy("id")
+    below = one.where("parent is not null").select("id", "parent", F.lead("id").over(siblings).alias("next"), F.row_number().over(siblings).alias("n"))
+    first_child = below.where("n = 1").select(F.col("parent").alias("id"), F.col("id").alias("child"))
+    step = lambda id_, leaves: F.struct(id_.alias("id"), F.lit(leaves).alias("leaves"))
+    entered = one.join(first_child, "id", "left").select(step(F.col("id"), False).alias("at"), F.when(F.col("child").isNull(), step(F.col("id"), True)).otherwise(step(F.col("child"), False)).alias("to"))
+    left = one.join(below.select("id", "next"), "id", "left").select(step(F.col("id"), True).alias("at"), F.when(F.col("next").isNotNull(), step(F.col("next"), False)).when(F.col("parent").isNotNull(), step(F.col("parent"), True)).alias("to"))
+    # the last step of a tree points nowhere and knows its root
+    walk = entered.union(left).select("at", "to", F.when(F.col("to").isNull(), 0).otherwise(1).cast("long").alias("far"), F.when(F.col("to").isNull(), F.col("at.id")).alias("root"))
+    walk = materialize(walk, "walk")
+    rounds = max(1, (2 * one.count()).bit_length())
+    for _ in range(rounds):
+        ahead = walk.select(F.col("at").alias("to"), F.col("to").alias("then"), F.col("far").alias("more"), F.col("root").alias("end"))
+        following = materialize(walk.join(ahead, "to", "left").select("at", F.col("then").alias("to"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"), F.coalesce("root", "end").alias("root")), "walk")
+        discard(walk)
+        walk = following
+        if walk.where("to is not null").limit(1).isEmpty():
+            break
+    ends = walk.where("root is not null").groupBy("at.id").agg(F.first("root").alias("root"), F.max("far").alias("enter"), F.min("far").alias("leave"))
+    length = ends.where("id = root").select("root", F.col("enter").alias("length"))
+    placed = ends.join(length, "root").select("id", "root", (F.col("length") - F.col("enter")).alias("first"), (F.col("length") - F.col("leave")).alias("last"))
+    size = (F.col("last") - F.col("first") + 1) / 2
+    return one.select("id").join(placed, "id", "left").select("id", "root", "first", "last", size.cast("long").alias("size"))
+
+
+class Reach:
+    """Answers "does ``a`` lead to ``b``" along edges from labels, without a closure (JN8, JN9).
+
+    Each node's least edge is its place in a forest; the other edges are exceptions, kept apart. A pair is settled by the
+    labels, or by a way over exceptions: those lead to one another if labels say so, and their closure alone is written. Nodes on
+    a cycle of least edges are not supported: that is an error.
+    """
+
+    def __init__(self, edges: DataFrame, src: str, dst: str) -> None:
+        rows = materialize(edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.col(src).alias("s"), F.col(dst).alias("d")).distinct(), "edges")
+        tree = rows.groupBy("s").agg(F.min("d").alias("d"))
+        nodes = tree.union(rows.select(F.col("d").alias("s"), F.lit(None).cast(rows.schema["d"].dataType).alias("d")))
+        self.labels = materialize(forest_labels(nodes, "s", "d"), "labels")
+        if not self.labels.where("root is null").limit(1).isEmpty():
+            raise ValueError("the least edges form a cycle")
+        rest = materialize(rows.join(tree, ["s", "d"], "left_anti"), "exceptions")
+        at = lambda c, p: self.labels.select(F.col("id").alias(c), F.col("root").alias(f"{p}_root"), F.col("first").alias(f"{p}_first"), F.col("last").alias(f"{p}_last"))
+        ways = materialize(rest.join(at("s", "s"), "s").join(at("d", "d"), "d"), "exceptions")
+        self.few = ways.count()
+        if self.few:
+            first, then = ways.select("s", "d", "d_root", "d_first"), ways.select(F.col("s").alias("s2"), F.col("d").alias("d2"), "s_root", "s_first", "s_last")
+            joined = first.join(then, F.col("d_root") == F.col("s_root")).where("d_first between s_first and s_last")
+            links = joined.select(F.struct("s", "d").alias("a"), F.struct(F.col("s2").alias("s"), F.col("d2").alias("d")).alias("b"))
+            steps = closure(links, "a", "b").select(F.col("id").alias("a"), F.col("ancestor").alias("b"))
+            own = ways.select(F.struct("s", "d").alias("a"), F.struct("s", "d").alias("b"))
+            both = materialize(own.union(steps).distinct().select("a.s", "b.d").distinct(), "ways")
+            self.ways = materialize(both.join(at("s", "s"), "s").join(at("d", "d"), "d"), "ways")
+
+    def pairs(self, asked: DataFrame, a: str, b: str) -> DataFrame:
+        """The rows of ``asked`` with ``reached``: whether ``a`` leads to ``b`` by one edge or more; unknown nodes lead nowhere."""
+        at = lambda c, p: self.labels.select(F.col("id").alias(c), F.col("root").alias(f"{p}_r"), F.col("first").alias(f"{p}_f"), F.col("last").alias(f"{p}_l"))
+        known = asked.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct().join(at("a", "a"), "a").join(at("b", "b"), "b")
+        found = known.where("a <> b and a_r = b_r and a_f between b_f and b_l").select("a", "b")
+        if self.few:
+            way = known.join(self.ways, F.col("a_r") == F.col("s_root")).where("a_f between s_first and s_last and d_root = b_r and d_first between b_f and b_l")
+            found = found.union(way.select("a", "b")).distinct()
+        return asked.join(found.select(F.col("a").alias(a), F.col("b").alias(b), F.lit(True).alias("reached")), [a, b], "left").withColumn("reached", F.coalesce("reached", F.lit(False)))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlayer.functions import scoring, text, vectors
-from memlayer.operators import checks, condense, detect, evaluate, models, postings, retrieval
+from memlayer.operators import checks, condense, detect, evaluate, graph, models, postings, retrieval
 from memlayer.plans import context
 from memlayer.queries import BM25, CASES, FACTS, FLAT, HASHED, KEYWORDS, SCORED, WORDS, _cases, _facts, fit, query, table
 from memlayer.sources import datasets, schema, store
@@ -325,6 +325,19 @@ def compile_contexts(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", "layer", F.col("pos").cast("long").alias("pos"), "id", "text", "query_class")
 
 
+@query(f"with f as ({FACTS}), r as (select o_orderkey, o_custkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) r from orders) select a.o_orderkey id, b.o_orderkey other, a.o_custkey = b.o_custkey and a.r < b.r reached from r a join r b on b.o_orderkey = a.o_orderkey + 1 union all select a.o_orderkey, b.o_orderkey, a.r < b.r from r a join r b on a.o_custkey = b.o_custkey where a.o_orderkey % 50 = 0 and a.o_orderkey <> b.o_orderkey + 1 and b.o_orderkey <> a.o_orderkey + 1 and a.o_orderkey <> b.o_orderkey")
+def superseded_by(spark: SparkSession, d: str) -> DataFrame:
+    """Whether an order's fact was superseded, at once or later, by another's: for neighbours by key, and for every fiftieth with all of
+    its customer's, from labels of the chains and without their closure (JN8)."""
+    facts = _facts(spark, d)
+    reach = graph.Reach(facts, "o_orderkey", "superseded_by")
+    keys = facts.select(F.col("o_orderkey").alias("id"), "o_custkey")
+    others = keys.select(F.col("id").alias("other"), "o_custkey")
+    near = keys.select("id", (F.col("id") + 1).alias("other")).join(others.select("other"), "other").select("id", "other")
+    own = keys.where("id % 50 = 0").join(others, "o_custkey").where("abs(id - other) > 1").select("id", "other")
+    return reach.pairs(near.union(own), "id", "other").select("id", "other", "reached")
+
+
 @query("select doc_id, ordinal, label, matched from documents, (select item_id * 10 + k ordinal, 'item' || item_id as label, substr(text, 1 + 30 * k, 12) matched from benchmark, range(10) r(k) where length(text) >= 30 * k + 12) where contains(text, matched)")
 def detect_rules(spark: SparkSession, d: str) -> DataFrame:
     """Rules from a table, ten of each benchmark item, found by one automaton in every document (DET1, JN6)."""

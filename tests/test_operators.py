@@ -364,3 +364,37 @@ def test_a_malformed_line_is_named_whatever_the_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     (tmp_path / "ok.jsonl").write_text("\n".join(x for x in lines if x.strip() and x.endswith("}")) + "\n")
     assert datasets.read_questions(spark, str(tmp_path / "ok.jsonl")).count() == 6
+
+
+def test_labels_answer_for_forests_and_their_exceptions(spark):
+    r = random.Random(6)
+    edges = {(i, r.randrange(i + 1, 200)) for i in range(199)} | {(i, r.randrange(i + 1, 200)) for i in r.sample(range(199), 25)} | {(1000 + i, 1000 + i // 2) for i in range(1, 40)}
+    above = {}
+    for s, d in edges:
+        above.setdefault(s, set()).add(d)
+
+    def all_above(i):
+        out, queue = set(), [i]
+        while queue:
+            for j in above.get(queue.pop(), ()):
+                if j not in out:
+                    out.add(j)
+                    queue.append(j)
+        return out
+
+    ids = list(range(200)) + list(range(1000, 1040)) + [-1]
+    pairs = [(r.choice(ids), r.choice(ids)) for _ in range(3000)]
+    reach = graph.Reach(spark.createDataFrame(sorted(edges), "s long, d long"), "s", "d")
+    got = reach.pairs(spark.createDataFrame(pairs, "a long, b long"), "a", "b").collect()
+    assert len(got) == len(pairs) and all(x.reached == (x.b in all_above(x.a)) for x in got)
+    with pytest.raises(ValueError):
+        graph.Reach(spark.createDataFrame([(1, 2), (2, 1)], "s long, d long"), "s", "d")
+    assert graph.forest_labels(spark.createDataFrame([], "s long, d long"), "s", "d").count() == 0
+
+
+def test_labels_of_a_long_chain(spark):
+    n = 100_000
+    rows = spark.range(n).select("id", F.when(F.col("id") < n - 1, F.col("id") + 1).alias("parent"))
+    labels = graph.forest_labels(rows, "id", "parent")
+    wrong = labels.where((F.col("root") != n - 1) | (F.col("size") != F.col("id") + 1) | (F.col("first") != n - 1 - F.col("id")))
+    assert labels.count() == n and wrong.count() == 0
