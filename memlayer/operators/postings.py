@@ -44,17 +44,25 @@ def _schema(id_type: DataType) -> StructType:
     return StructType([StructField(n, t) for n, t in head] + [StructField(n, ints) for n in ("docs", "tfs", "tops", "lows")])
 
 
-def _posting(shard: str, term: str, docs: list, tfs: list, lengths: list) -> tuple:
-    starts = range(0, len(docs), BLOCK)
-    tops = [max(tfs[i : i + BLOCK]) for i in starts]
-    lows = [min(lengths[d] for d in docs[i : i + BLOCK]) for i in starts]
-    return shard, POSTING, term, len(docs), None, None, docs, tfs, tops, lows
-
-
-def _rows(shard: str, ids: list, lengths: list, found: dict) -> Iterator[tuple]:
-    yield shard, HEADER, None, len(ids), sum(lengths), ids, lengths, None, None, None
-    for term in sorted(found):
-        yield _posting(shard, term, *found[term], lengths)
+def _posting(shard: str, term: str, docs: np.ndarray, tfs: np.ndarray, lengths: np.ndarray) -> tuple:
+    starts = np.arange(0, len(docs), BLOCK)
+    return shard, POSTING, term, len(docs), None, None, docs, tfs, np.maximum.reduceat(tfs, starts), np.minimum.reduceat(lengths[docs], starts)
+
+
+def _rows(shard: str, ids: list, tokens: pa.Array, lengths: np.ndarray) -> Iterator[tuple]:
+    """A shard's header and its postings by term, from the tokens of its documents one after the other."""
+    n, coded = len(ids), tokens.dictionary_encode()
+    yield shard, HEADER, None, n, int(lengths.sum()), ids, lengths, None, None, None
+    if not len(tokens):
+        return
+    place = np.repeat(np.arange(n), lengths)
+    cells, tfs = np.unique(coded.indices.to_numpy().astype(np.int64) * n + place, return_counts=True)
+    terms = coded.dictionary.to_pylist()
+    edges = np.searchsorted(cells, np.arange(len(terms) + 1, dtype=np.int64) * n)
+    docs, tfs = (cells % n).astype(np.int32), tfs.astype(np.int32)
+    for code in sorted(range(len(terms)), key=terms.__getitem__):
+        of = slice(edges[code], edges[code + 1])
+        yield _posting(shard, terms[code], docs[of], tfs[of], lengths)
 
 
 def _batches(rows: Iterator[tuple], schema: StructType, size: int = 20_000) -> Iterator[pa.RecordBatch]:
@@ -74,25 +82,34 @@ def sharded(docs: DataFrame, name: str, tokenizer: Tokenizer = whitespace_tokens
     schema = _schema(docs.schema["id"].dataType)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        task, count, tokens = TaskContext.get().partitionId(), 0, 0
+        task, count = TaskContext.get().partitionId(), 0
         ids: list = []
-        lengths: list[int] = []
-        found: dict[str, tuple[list, list]] = {}
+        tokens: list[pa.Array] = []
+        lengths: list[np.ndarray] = []
+        held = 0
+
+        def shard() -> Iterator[tuple]:
+            return _rows(f"{name}.{task}.{count}", ids, pa.concat_arrays(tokens), np.concatenate(lengths).astype(np.int32))
+
         for batch in batches:
-            for id_, terms in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                terms = terms.as_py()
-                for term, tf in Counter(terms).items():
-                    at = found.setdefault(term, ([], []))
-                    at[0].append(len(ids))
-                    at[1].append(tf)
-                ids.append(id_)
-                lengths.append(len(terms))
-                tokens += len(terms)
-                if len(ids) >= size or tokens >= SHARD_TOKENS:
-                    yield from _rows(f"{name}.{task}.{count}", ids, lengths, found)
-                    count, tokens, ids, lengths, found = count + 1, 0, [], [], {}
+            at = 0
+            sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes)
+            while at < len(batch):
+                # as many documents as the shard still takes, one at least
+                base = ends[at - 1] if at else 0
+                room = int(np.searchsorted(ends, base + SHARD_TOKENS - held, "right")) - at
+                take = max(1, min(size - len(ids), room, len(batch) - at))
+                ids += batch.column(0).slice(at, take).to_pylist()
+                tokens.append(batch.column(1).slice(at, take).flatten())
+                lengths.append(sizes[at : at + take])
+                held += int(ends[at + take - 1] - base)
+                at += take
+                if len(ids) >= size or held >= SHARD_TOKENS or at < len(batch):
+                    yield from shard()
+                    count, held, ids, tokens, lengths = count + 1, 0, [], [], []
         if ids:
-            yield from _rows(f"{name}.{task}.{count}", ids, lengths, found)
+            yield from shard()
 
     return rows.mapInArrow(lambda batches: _batches(shards(batches), schema), schema)
 
@@ -362,8 +379,8 @@ def _merged(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple]:
 
     def posting() -> Iterator[tuple]:
         if docs:
-            order = sorted(range(len(docs)), key=docs.__getitem__)
-            yield _posting(f"{name}.{group}", term, [docs[i] for i in order], [tfs[i] for i in order], lengths)
+            order = np.argsort(docs)
+            yield _posting(f"{name}.{group}", term, np.array(docs, np.int32)[order], np.array(tfs, np.int32)[order], np.array(lengths, np.int32))
 
     for batch in batches:
         for row in batch.to_pylist():
