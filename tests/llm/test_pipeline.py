@@ -77,3 +77,10 @@ def test_empty(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, D).count() > 100
+
+
+def test_rows_without_an_id_are_judged_each_for_itself(spark):
+    leak = spark.read.parquet(f"{D}/benchmark.parquet").where("length(text) > 100").first().text
+    rows = [(None, leak), (None, "two clean words"), (None, "some other clean words"), (None, None), (5, leak), (5, "an id that leaks goes whole"), (6, "stays")]
+    out = corpus_pipeline.drop_contaminated(spark, spark.createDataFrame(rows, "doc_id long, text string"), D).collect()
+    assert sorted(map(str, [(x.doc_id, x.text) for x in out])) == sorted(map(str, [rows[1], rows[2], rows[3], rows[6]]))
