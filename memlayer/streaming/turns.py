@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -100,50 +100,51 @@ class LateFacts(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", "micros long, event long, value string")
-        self.settled = handle.getValueState("settled", "value string, event long, changes long")
+        # one value a key: each call of the state server costs about as much as the rest of a key's work
+        self.state = handle.getValueState("state", "value string, event long, changes long, micros array<long>, events array<long>, kinds array<string>")
 
-    def _last(self) -> tuple:
-        return tuple(self.settled.get()) if self.settled.exists() else (None, None, 0)
+    def _held(self) -> tuple[tuple, int, list[tuple]]:
+        """The last settled fact, the number of changes, and the open events in order."""
+        held = self.state.get()
+        if held is None:
+            return (None, None), 0, []
+        value, event, changes, *columns = held
+        return (value, event), changes, list(zip(*columns, strict=True))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def _hold(self, last: tuple, changes: int, events: list[tuple]) -> None:
+        self.state.update((*last, changes, *([e[i] for e in events] for i in range(3))))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs()
-        value, event, changes = self._last()
-        old = [tuple(x) for x in self.open.get()]
-        came = [x for frame in rows for x in zip(frame["micros"].tolist(), frame["event_id"].tolist(), frame["event_type"].tolist(), strict=True)]
-        now = sorted({*old, *(x for x in came if x[0] > 1000 * mark)})
-        before, after = facts_of((value, event), old), facts_of((value, event), now)
-        out = [(key[0], e, *x, True) for e, x in after.items() if before.get(e) != x] + [(key[0], e, *x, False) for e, x in before.items() if e not in after]
+        last, changes, old = self._held()
+        now = sorted({*old, *((x.micros, x.event_id, x.event_type) for x in rows if x.micros > 1000 * mark)})
+        before, after = facts_of(last, old), facts_of(last, now)
         if now != old:
-            self.open.put(now)
-            self.settled.update((value, event, changes + 1))
-            self.handle.registerTimer(now[0][0] // 1000 + 1)
-        yield _changes(out, changes + 1)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            self._hold(last, changes + 1, now)
+            if not old or now[0][0] != old[0][0]:
+                self.handle.registerTimer(now[0][0] // 1000 + 1)
+        for e, x in after.items():
+            if before.get(e) != x:
+                yield Row(key=key[0], event_id=e, micros=x[0], value=x[1], superseded=x[2], active=True, change=changes + 1)
+        for e, x in before.items():
+            if e not in after:
+                yield Row(key=key[0], event_id=e, micros=x[0], value=x[1], superseded=x[2], active=False, change=changes + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs()
-        value, event, changes = self._last()
-        events = [tuple(x) for x in self.open.get()]
+        (value, event), changes, events = self._held()
         past, rest = [x for x in events if x[0] <= 1000 * mark], [x for x in events if x[0] > 1000 * mark]
         for id_, (_, new, _) in facts_of((value, event), past).items():
             value, event = new, id_
-        self.settled.update((value, event, changes))
+        self._hold((value, event), changes, rest)
         if rest:
-            self.open.put(rest)
             self.handle.registerTimer(rest[0][0] // 1000 + 1)
-        else:
-            self.open.clear()
-        yield _changes([], 0)
+        yield from ()
 
 
 FACT = "key long, event_id long, micros long, value string, superseded long, active boolean, change long"
 
 
-def _changes(rows: list[tuple], change: int) -> pd.DataFrame:
-    out = pd.DataFrame([(*r, change) for r in rows], columns=["key", "event_id", "micros", "value", "superseded", "active", "change"])
-    return out.astype({"key": "int64", "event_id": "int64", "micros": "int64", "superseded": "Int64", "active": "bool", "change": "int64"})
-
-
 def late_facts(turns: DataFrame, late: str = "10 minutes") -> DataFrame:
     """As :func:`latest_facts` for turns in any order within the watermark: a stream of changes ``FACT`` that ends as the batch result.
 
@@ -151,7 +152,7 @@ def late_facts(turns: DataFrame, late: str = "10 minutes") -> DataFrame:
     families (:func:`stateful`).
     """
     keyed = turns.withWatermark("ts", late).select("user_id", "ts", "event_id", "event_type", F.unix_micros("ts").alias("micros"))
-    return keyed.groupBy("user_id").transformWithStateInPandas(statefulProcessor=LateFacts(), outputStructType=FACT, outputMode="Append", timeMode="EventTime")
+    return keyed.groupBy("user_id").transformWithState(statefulProcessor=LateFacts(), outputStructType=FACT, outputMode="Append", timeMode="EventTime")
 
 
 def stateful(spark: SparkSession) -> None:
