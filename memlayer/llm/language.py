@@ -6,9 +6,10 @@ context has probability kinds / (total + kinds); a context never seen is skipped
 256 bytes are equally likely. Counts are frozen after training, so the code length of a text is a sum
 over its bytes and the language with the shortest code wins.
 
-Training counts, in numpy on the driver, a bounded sample: at most ``SAMPLE`` whole documents a language, chosen
-by a hash of their id. Scoring covers every whole text. A worker remembers the cost of each (order + 1)-gram it
-has met, so one byte costs a table look-up a language.
+Training counts the (order + 1)-grams of every learnable text where Spark holds them: each task sums up its own, Spark adds
+them by language and gram, and the driver gets one row for each gram of a language, whatever the number of documents. The
+counts of shorter contexts are sums of these. Scoring covers every whole text. A worker remembers the cost of each
+(order + 1)-gram it has met, so one byte costs a table look-up a language.
 """
 
 from __future__ import annotations
@@ -17,16 +18,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlayer.llm.common import training_row
 
 ORDER = 3
-#: Documents of each language that a model is trained on, at most.
+#: Documents of each language that :func:`sample` takes, at most.
 SAMPLE = 300
-#: Bytes of the longest text that a model is trained on; with SAMPLE it bounds what passes the driver.
+#: Bytes of the longest text that :func:`sample` takes; with SAMPLE it bounds what passes the driver.
 LONGEST = 1 << 20
+#: Bytes that a task counts at once, and grams whose counts it holds before it hands them on.
+PIECE, HELD = 1 << 22, 1_000_000
+#: Cells of a bit in which code lengths a byte are counted for the limits.
+CELLS = 1024
 #: Grams that a worker remembers, at most; beyond it starts anew.
 MEMO = 4_000_000
 UNDETERMINED = "und"
@@ -37,25 +43,53 @@ SLACK = 128.0
 _LETTER = r"\p{L}"
 
 
+def grams_of(texts: list[bytes], order: int) -> np.ndarray:
+    """The (order + 1)-gram that ends in each byte, but for the first ``order`` bytes of each text, which are context only."""
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    if len(data) <= order:
+        return np.zeros(0, np.uint64)
+    gram = data[order:].astype(np.uint32 if order <= 3 else np.uint64)
+    for j in range(1, order + 1):
+        gram |= data[order - j : len(data) - j].astype(gram.dtype) << gram.dtype.type(8 * j)
+    # drop the grams that end in another text's context
+    starts = np.cumsum([len(t) for t in texts])[:-1] - order
+    keep = np.ones(len(gram), bool)
+    for j in range(order):
+        keep[starts + j] = False
+    return gram[keep]
+
+
+def added(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams, sorted, with the sums of their counts."""
+    if not len(grams):
+        return grams, counts
+    order = np.argsort(grams, kind="stable")
+    kinds, first = np.unique(grams[order], return_index=True)
+    return kinds, np.add.reduceat(counts[order], first)
+
+
 class ContextTree:
     """Frozen counts of one language: per order, sorted grams with counts and contexts with totals."""
 
     def __init__(self, texts: list[bytes], order: int = ORDER) -> None:
         # a document starts after `order` zero bytes, as it does when scored
-        data = np.frombuffer(b"".join(b"\0" * order + t for t in texts), np.uint8).astype(np.uint64)
-        inside = np.concatenate([np.arange(len(t)) for t in texts] or [np.zeros(0, np.int64)])
-        base = np.cumsum([order, *(len(t) + order for t in texts[:-1])]) if texts else np.zeros(0, np.int64)
-        at = np.repeat(base, [len(t) for t in texts]) + inside
+        self._count(*np.unique(grams_of([b"\0" * order + t for t in texts], order), return_counts=True), order)
+
+    @classmethod
+    def of_counts(cls, grams: np.ndarray, counts: np.ndarray, order: int = ORDER) -> ContextTree:
+        """The tree of texts whose distinct (order + 1)-grams are known with their counts."""
+        tree = cls.__new__(cls)
+        tree._count(grams, counts, order)
+        return tree
+
+    def _count(self, top: np.ndarray, times: np.ndarray, order: int) -> None:
         self.order, self.levels = order, []
         for k in range(order + 1):
-            gram = np.zeros(len(at), np.uint64)
-            for j in range(k, -1, -1):
-                gram = gram << np.uint64(8) | data[at - j]
-            grams, counts = np.unique(gram, return_counts=True)
+            grams, counts = added(top.astype(np.uint64) & np.uint64((1 << 8 * (k + 1)) - 1), times.astype(np.int64))
             contexts, first = np.unique(grams >> np.uint64(8), return_index=True)
             totals = np.add.reduceat(counts, first) if len(first) else counts
             kinds = np.diff(np.r_[first, len(grams)])
-            self.levels.append((grams, counts.astype(np.int64), contexts, totals.astype(np.int64), kinds.astype(np.int64)))
+            self.levels.append((grams, counts, contexts, totals, kinds.astype(np.int64)))
 
     def bits(self, grams: np.ndarray) -> np.ndarray:
         """Exact code length of the last byte of each (order + 1)-gram after the bytes before it."""
@@ -155,28 +189,106 @@ def sample(docs: DataFrame, per_language: int = SAMPLE, id_col: str = "doc_id",
     return rows.join(F.broadcast(chosen), ["id", "lang", "h"]).dropDuplicates(["id", "lang", "h"]).select("lang", "text")
 
 
-def train(docs: DataFrame, per_language: int = SAMPLE, order: int = ORDER, **columns: str) -> dict[str, ContextTree]:
-    """Fit the trees; empty where no row is labelled."""
-    texts: dict[str, list[bytes]] = {}
-    for row in sample(docs, per_language, **columns).toLocalIterator():
-        texts.setdefault(row.lang, []).append(row.text.encode("utf-8", "surrogatepass"))
-    return {lang: ContextTree(t, order) for lang, t in texts.items()}
+def _labelled(docs: DataFrame, held_out: bool, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``(lang, text)``, the text as bytes, of all labelled rows that are learned from, or of those held out."""
+    learnable, lang, text = training_row(F.col(f"`{id_col}`")), F.col(f"`{lang_col}`"), F.col(f"`{text_col}`")
+    return docs.where((~learnable if held_out else learnable) & lang.isNotNull() & text.isNotNull()).select(lang.alias("lang"), text.cast("binary").alias("text"))
+
 
+def gram_counts(rows: DataFrame, order: int = ORDER) -> DataFrame:
+    """``rows(lang, text)`` -> ``(lang, gram, n)``: how often each (order + 1)-gram of a language ends in a byte of its texts."""
 
-def limits(docs: DataFrame, model: dict[str, ContextTree], per_language: int = SAMPLE, **columns: str) -> dict[str, float]:
-    """The most bits a byte of each language: MARGIN times the 0.99 quantile over its held-out labelled texts.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        waiting: dict[str, list[bytes]] = {}
+        size = 0
+
+        def count() -> None:
+            nonlocal size
+            for lang, texts in waiting.items():
+                kinds, n = np.unique(grams_of(texts, order), return_counts=True)
+                known = held.get(lang)
+                held[lang] = (kinds, n) if known is None else added(np.concatenate([known[0], kinds]), np.concatenate([known[1], n]))
+            waiting.clear()
+            size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, (kinds, n) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(kinds), pa.string()), pa.array(kinds.astype(np.uint64).view(np.int64)), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
+            held.clear()
 
-    A language without such texts takes the largest limit of the others; without any there is no limit.
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = b"\0" * order + text.as_py()
+                for at in range(0, max(1, len(text) - order), PIECE):  # a long text goes on after its last bytes
+                    waiting.setdefault(lang, []).append(text[at : at + PIECE + order])
+                    size += len(waiting[lang][-1])
+                    if size >= PIECE:
+                        count()
+                if sum(len(k) for k, _ in held.values()) > HELD:
+                    yield from flush()
+        count()
+        yield from flush()
+
+    return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def train(docs: DataFrame, per_language: int | None = None, order: int = ORDER, **columns: str) -> dict[str, ContextTree]:
+    """Fit the trees to all learnable labelled texts, or to :func:`sample`'s ``per_language``; empty where no row is labelled."""
+    if per_language is None:
+        rows = _labelled(docs, False, **columns)
+    else:
+        rows = sample(docs, per_language, **columns).select("lang", F.col("text").cast("binary").alias("text"))
+    found = gram_counts(rows, order).toArrow()
+    names = np.array(found.column("lang").to_pylist(), object)
+    grams, counts = (found.column(c).to_numpy() for c in ("gram", "n"))
+    return {lang: ContextTree.of_counts(grams[names == lang].view(np.uint64), counts[names == lang], order) for lang in sorted(set(names))}
+
+
+def limits(docs: DataFrame, model: dict[str, ContextTree], **columns: str) -> dict[str, float]:
+    """The most bits a byte of each language: MARGIN times the 0.99 quantile over all its held-out labelled texts.
+
+    Rates are counted in cells of 1 / ``CELLS`` bit, each at its upper end, so the driver gets their counts whatever the number of
+    texts. A language without such texts takes the largest limit of the others; without any there is no limit.
     """
-    scorer, rates = Scorer(model), {}
-    for row in sample(docs, per_language, held_out=True, **columns).toLocalIterator():
-        text = row.text.encode("utf-8", "surrogatepass")
-        if text and row.lang in model:
-            rates.setdefault(row.lang, []).append(scorer([text])[0].min() / len(text))
-    known = {lang: MARGIN * float(np.quantile(r, 0.99)) for lang, r in rates.items()}
+    if not model:
+        return {}
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            low = coded(scorer, batch.column(1)).min(axis=1)
+            cell = np.ceil(low / pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False) * CELLS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell.astype(np.int64))], names=["lang", "cell"])
+
+    rows = _labelled(docs, True, **columns).where(F.col("lang").isin(sorted(model)) & (F.octet_length("text") > 0))
+    cells: dict[str, list[tuple[int, int]]] = {}
+    for row in rows.mapInArrow(run, "lang string, cell long").groupBy("lang", "cell").agg(F.count(F.lit(1)).alias("n")).toLocalIterator():
+        cells.setdefault(row.lang, []).append((row.cell, row.n))
+    known = {lang: MARGIN * quantile(sorted(found), 0.99) / CELLS for lang, found in cells.items()}
     return {lang: known.get(lang, max(known.values(), default=float("inf"))) for lang in model}
 
 
+def quantile(counted: list[tuple[int, int]], q: float) -> float:
+    """The quantile of sorted values with their counts, interpolated as numpy does."""
+    values, ends = np.array([v for v, _ in counted], float), np.cumsum([n for _, n in counted])
+    place = q * (ends[-1] - 1)
+    low, high = (values[np.searchsorted(ends, at, side="right")] for at in (int(np.floor(place)), int(np.ceil(place))))
+    return float(low + (high - low) * (place - np.floor(place)))
+
+
+def coded(scorer: Scorer, texts: pa.Array, chunk: int = 1 << 21) -> np.ndarray:
+    """Bits of each text of a column under each language, about ``chunk`` bytes at a time; one text is never cut."""
+    sizes = np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+    ends, bits, at = np.cumsum(sizes), [np.zeros((0, len(scorer.names)))], 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + chunk, side="right")))
+        bits.append(scorer([t or b"" for t in texts.slice(at, to - at).to_pylist()]))
+        at = to
+    return np.concatenate(bits)
+
+
 def fits(limit: dict[str, float], text_col: str = "text") -> Column:
     """Whether the predicted language's model explains the text: ``_bits`` within its limit, or over it by SLACK bits at most.
 
@@ -197,34 +309,28 @@ def identify(docs: DataFrame, model: dict[str, ContextTree], id_col: str = "doc_
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    place = docs.columns.index(text_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            texts = [t or b"" for t in batch.column(0).to_pylist()]
-            bits, at = [], 0
-            while at < len(texts):  # bounded work at a time; one text is never cut
-                to, size = at, 0
-                while to < len(texts) and (to == at or size + len(texts[to]) <= chunk):
-                    size += len(texts[to])
-                    to += 1
-                bits.append(scorer(texts[at:to]))
-                at = to
-            bits = np.concatenate(bits) if bits else np.zeros((0, len(scorer.names)))
+            texts = pc.struct_field(batch.column(0), [0, place]).cast(pa.binary())
+            bits = coded(scorer, texts, chunk)
             names, score, rate = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
             if scorer.names:
                 best = bits.argmin(axis=1)
                 low = bits[np.arange(len(bits)), best]
                 score = 1.0 / np.exp2(np.maximum(low[:, None] - bits, -1000)).sum(axis=1)
                 names = [scorer.names[b] for b in best]
-                rate = low / np.maximum([len(t) for t in texts], 1)
+                rate = low / np.maximum(np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(float)), 1)
             extra = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score), pa.array(rate)], names=["l", "s", "b"])
-            yield pa.RecordBatch.from_arrays([batch.column(1), extra], names=["row", "p"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), extra], names=["row", "p"])
 
-    # the columns ride along as one struct, whatever their names
+    # the columns ride along as one struct, whatever their names; the text is read there
     row = F.struct(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns)])
     letter = F.coalesce(F.col(f"`{text_col}`").rlike(_LETTER), F.lit(False))
     held = ~training_row(F.col(f"`{id_col}`"))
-    rows = docs.select(F.col(f"`{text_col}`").cast("binary").alias("t"), F.struct(row.alias("d"), letter.alias("letter"), held.alias("held")).alias("row"))
+    rows = docs.select(F.struct(row.alias("d"), letter.alias("letter"), held.alias("held")).alias("row"))
     from pyspark.sql.types import StructField, StructType
 
     schema = StructType([rows.schema["row"], StructField("p", StructType.fromDDL("l string, s double, b double"))])
