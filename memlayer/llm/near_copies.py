@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -269,12 +268,16 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty texts are copies of each other. The columns of ``docs`` may have any names. An empty table gives an empty result.
     """
 
-    @F.pandas_udf("array<long>")
-    def sketches(texts: pd.Series) -> pd.Series:
-        return pd.Series([sketch(t, words) for t in texts])
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a text at a time: neither a list of texts nor rows that wait for their sketch are held
+        for batch in batches:
+            flat = np.concatenate([np.zeros(0, np.int64), *[sketch(t.as_py(), words) for t in batch.column(2)]])
+            ends = np.arange(len(batch) + 1, dtype=np.int32) * (2 + BANDS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, flat)], names=["i", "t", "s"])
 
     id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
-    keys = docs.where(id_.isNotNull()).select(id_.alias("i"), F.xxhash64(text).alias("t"), sketches(text).alias("s"))
+    rows = docs.where(id_.isNotNull()).select(id_.alias("i"), F.xxhash64(text).alias("t"), text.alias("text"))
+    keys = rows.mapInArrow(sketches, f"i {docs.schema[id_col].dataType.simpleString()}, t long, s array<long>")
     keys = materialize(keys.select("*", F.col("s")[0].alias("node")), "sketches")
     of = F.struct("i", "t", "node")
     each = materialize(keys.groupBy("node").agg(F.min(of).alias("best"), F.min("s").alias("s")), "sketches-by-node")
