@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memlayer.llm.common import discard, materialize, paired_blocks
-from memlayer.llm.components import components
+from memlayer.llm.components import components, stars
 from memlayer.llm.simhash import bits_of, near_links
 
 WORDS = 5
@@ -93,7 +93,7 @@ def covered(fingerprints: DataFrame) -> DataFrame:
     One pair a node, however large a group is; what lies far from its group's least node is left to MinHash.
     """
     alike = fingerprints.groupBy("fp").agg(F.min("node").alias("first"))
-    groups = components(near_links(alike.select(F.col("first").alias("node"), "fp")).distinct())
+    groups = stars(near_links(alike.select(F.col("first").alias("node"), "fp")))
     least = alike.join(groups, alike["first"] == groups.id, "left").select("fp", F.coalesce("component", "first").alias("a"))
     return materialize(fingerprints.join(least, "fp").where("node <> a").select("a", F.col("node").alias("b")), "pairs")
 
@@ -163,24 +163,31 @@ def links(met: DataFrame, texts: DataFrame, known: DataFrame | None = None, leas
     are connected to it, directly or not, need no comparison, but stay until they were compared with the others or are
     connected to all of them. The first round treats all buckets, the others those of over ``BLOCK`` members.
     """
-    found = known
+    found, grouped = known, None
 
     def star(met: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
         """The buckets without their centres, with their sizes, and the links to these."""
-        stars = materialize(met.join(_unlike(met, turn), "key").where("node <> a"), "stars")
-        return stars, materialize(_linked(stars.where("component <> of").select("a", F.col("node").alias("b")).distinct(), texts, least, words), "links")
+        around = materialize(met.join(_unlike(met, turn), "key").where("node <> a"), "stars")
+        return around, materialize(_linked(around.where("component <> of").select("a", F.col("node").alias("b")).distinct(), texts, least, words), "links")
 
     def add(good: DataFrame) -> None:
-        nonlocal found
+        nonlocal found, grouped
         if not good.isEmpty():
-            found = good if found is None else found.union(good)
-
-    first = materialize(_labelled(met, None if known is None else components(known)), "labelled")
-    stars, good = star(first, 0)
+            found, grouped = good if found is None else found.union(good), None
+
+    def groups() -> DataFrame | None:
+        """The components of all links so far, whose stars then stand for these links."""
+        nonlocal found, grouped
+        if grouped is None and found is not None:
+            grouped = stars(found)
+            found = grouped.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        return grouped
+
+    first = materialize(_labelled(met, groups()), "labelled")
+    around, good = star(first, 0)
     discard(first)
     add(good)
-    groups = None if found is None else components(found.distinct())
-    big = materialize(_labelled(stars.where(F.col("n") > BLOCK), groups), "labelled")
+    big = materialize(_labelled(around.where(F.col("n") > BLOCK), groups()), "labelled")
     for turn in range(1, rounds):
         if big.isEmpty():
             break
@@ -192,19 +199,19 @@ def links(met: DataFrame, texts: DataFrame, known: DataFrame | None = None, leas
         add(good)
         # what is new joins components, of which there are few
         label = lambda c, of: left.select(F.col("node").alias(c), F.col("component").alias(of)).union(left.select("a", "of")).distinct()
-        merged = components(good.join(label("a", "ca"), "a").join(label("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        merged = stars(good.join(label("a", "ca"), "a").join(label("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         big = materialize(left.join(merged, left.component == merged.id, "left").select("key", "node", F.coalesce(merged.component, left.component).alias("component")), "labelled")
         discard(left)
     if not big.isEmpty():
-        groups = components(found.distinct()) if found is not None else None
-        many = materialize(_labelled(big, groups), "labelled")
-        add(straggler_links(many, texts, least, words))
-        groups = components(found.distinct()) if found is not None else None
-        rest = many.join(_few(many).where(F.col("rest") > FEW).select("key"), "key")
-        add(block_links(_labelled(rest, groups), texts, least, words))
-        discard(many)
-    groups = None if found is None else components(found.distinct())
-    small = materialize(_labelled(stars.where(F.col("n") <= BLOCK), groups), "labelled")
+        few = materialize(_few(big), "few")
+        if not few.where(F.col("rest") <= FEW).isEmpty():
+            add(straggler_links(big, few.where(F.col("rest") <= FEW), texts, least, words))
+        if not (many := few.where(F.col("rest") > FEW)).isEmpty():
+            add(block_links(_labelled(big.join(many.select("key"), "key"), groups()), texts, least, words))
+        discard(few)
+    discard(big)
+    small = materialize(_labelled(around.where(F.col("n") <= BLOCK), groups()), "labelled")
+    discard(around)
     add(block_links(small, texts, least, words))
     discard(small)
     return good if found is None else found
@@ -221,14 +228,15 @@ def _few(met: DataFrame) -> DataFrame:
     return most.select("key", F.col("m.component").alias("most"), (F.col("n") - F.col("m.n")).alias("rest")).where("rest > 0")
 
 
-def straggler_links(met: DataFrame, texts: DataFrame, least: float, words: int) -> DataFrame:
-    """Links of the buckets ``met(key, node, component)`` that are connected but for ``FEW`` members: those meet all others.
+def straggler_links(met: DataFrame, few: DataFrame, texts: DataFrame, least: float, words: int) -> DataFrame:
+    """Links of those buckets of ``met(key, node, component)`` that ``few`` names, connected but for ``FEW`` members: those meet
+    all others.
 
     The members of a bucket's largest component are dealt out once, whatever the number of buckets that hold them, in blocks
     to which each straggler comes; it is compared with those that share a bucket with it. In the first block the stragglers
     meet one another as well.
     """
-    named = materialize(met.join(_few(met).where(F.col("rest") <= FEW), "key"), "stragglers")
+    named = materialize(met.join(few, "key"), "stragglers")
     single = named.where("component <> most")
     lone = single.groupBy("most", "node").agg(F.first("component").alias("component"), F.collect_set("key").alias("keys"))
     whole = named.where("component = most").groupBy("most", "node").agg(F.first("component").alias("component"), F.collect_set("key").alias("keys"))
@@ -293,7 +301,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = materialize(texts, "bucket-texts")
     close = materialize(_linked(near, texts, least, words), "links")
     found = links(met, texts, None if close.isEmpty() else close, least, words)
-    groups = components(found.distinct())
+    groups = stars(found)
     best = nodes.join(groups, nodes.node == groups.id, "left").groupBy(F.coalesce("component", "node").alias("g")).agg(F.min("best").alias("best")).select("best.i", "best.t")
     best = materialize(best, "kept")
     for done in (texts, needed, nodes, met, near):

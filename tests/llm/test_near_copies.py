@@ -1,4 +1,7 @@
 import random
+import time
+
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from memlayer.llm import near_copies
@@ -109,3 +112,56 @@ def test_large_buckets_of_few_and_many_stragglers(spark, monkeypatch):
         monkeypatch.setattr(near_copies, "FEW", few)
         got = {x.id: x.component for x in near_copies.components(near_copies.links(met, named, rounds=rounds).distinct()).collect()}
         assert [got.get(i, i) for i in range(50)] == group
+
+
+def test_stars_need_no_step_and_a_step_leaves_no_shuffle_files(spark, monkeypatch):
+    """Links that are stars already are recognised, and a written step's shuffle files do not wait for the driver's garbage."""
+    from memlayer.llm import components
+    from memlayer.sources import steps
+
+    written = []
+    monkeypatch.setattr(components, "materialize", lambda df, name: written.append(name) or steps.materialize(df, name))
+    star = spark.createDataFrame([(n, n % 3) for n in range(3, 60)], "a long, b long")
+    assert {x.id: x.component for x in components.components(star).collect()} == {n: n % 3 for n in range(60)}
+    assert written == ["edges"]
+    r = random.Random(6)
+    edges = [(n, n + 1) for n in range(100, 130)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(40)]
+    group = {n: n for e in edges for n in e if e[0] != e[1]}
+    for a, b in edges:
+        group = {n: min(group[a], group[b]) if g in (group[a], group[b]) else g for n, g in group.items()} if a != b else group
+    assert {x.id: x.component for x in components.components(spark.createDataFrame(edges, "a long, b long")).collect()} == group
+
+    def files():
+        return {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+
+    before = files()
+    out = steps.materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    for _ in range(50):  # they are removed in the background
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left and out.count() == 7
+
+
+def test_many_stragglers_and_later_small_buckets_join_one_group(spark, monkeypatch):
+    """Large buckets of both kinds beside small ones: the links of each step count in the next."""
+    monkeypatch.setattr(near_copies, "BLOCK", 6)
+    monkeypatch.setattr(near_copies, "FEW", 8)
+    texts, met, group = [], [], []
+    for key, size, families in ((1, 30, 1), (2, 30, 2), (3, 30, 15), (4, 4, 2)):
+        for k in range(size):
+            base = [f"k{key}f{k % families}w{i}" for i in range(120)]
+            base[k // families % 16 * 5] = f"x{k}"
+            met.append((len(texts), key))
+            group.append(len(texts) - k + k % families)
+            texts.append(" ".join(base))
+    met += [(0, 5), (len(texts), 5), (len(texts) - 1, 6), (len(texts) + 1, 6)]
+    group += [0, group[-1]]
+    texts += [texts[0] + " more", texts[-1] + " more"]
+    named = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    sets = [near_copies.shingles(t) for t in texts]
+    assert all((near_copies.similarity(sets[a], sets[b]) >= 0.8) == (group[a] == group[b]) for a in range(len(texts)) for b in range(a))
+    for rounds in (1, 3):
+        found = near_copies.links(spark.createDataFrame(met, "node long, key long"), named, rounds=rounds)
+        got = {x.id: x.component for x in near_copies.components(found).collect()}
+        assert [got.get(i, i) for i in range(len(texts))] == group
