@@ -78,17 +78,22 @@ def hash_embedding(df: DataFrame, id_col: str, text_col: str, dim: int = 64) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens = batch.column(1).combine_chunks() if isinstance(batch.column(1), pa.ChunkedArray) else batch.column(1)
-            coded = tokens.flatten().dictionary_encode()
-            bucket = np.array([fnv1a_int(t.encode("utf-8", "surrogatepass")) % dim for t in coded.dictionary.to_pylist()], np.int64)
-            place = np.repeat(np.arange(len(batch)), tokens.value_lengths().to_numpy())
-            counts = np.bincount(place * dim + bucket[coded.indices.to_numpy()] if len(place) else place, minlength=len(batch) * dim).reshape(-1, dim).astype(float)
-            length = np.sqrt(np.square(counts).sum(axis=1, keepdims=True))
-            cells = (counts / np.where(length > 0, length, 1)).ravel()
+            cells = hashed_rows(tokens, dim).ravel()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(np.arange(len(batch) + 1, dtype=np.int32) * dim, cells)], names=["id", "embedding"])
 
     return rows.mapInArrow(run, schema)
 
 
+def hashed_rows(tokens: pa.Array, dim: int = 64) -> np.ndarray:
+    """The hashing embeddings of some token lists, a row each."""
+    coded = tokens.flatten().dictionary_encode()
+    bucket = np.array([fnv1a_int(t.encode("utf-8", "surrogatepass")) % dim for t in coded.dictionary.to_pylist()], np.int64)
+    place = np.repeat(np.arange(len(tokens)), tokens.value_lengths().to_numpy())
+    counts = np.bincount(place * dim + bucket[coded.indices.to_numpy()] if len(place) else place, minlength=len(tokens) * dim).reshape(-1, dim).astype(float)
+    length = np.sqrt(np.square(counts).sum(axis=1, keepdims=True))
+    return counts / np.where(length > 0, length, 1)
+
+
 def head_argmax(vector: Column | str, weights: list[list[float]], bias: list[float]) -> Column:
     """The row of a linear head with the greatest score; of equal rows the first (AGG10)."""
     scores = F.array(*[dot(vector, F.array(*[F.lit(float(x)) for x in row])) + F.lit(float(b)) for row, b in zip(weights, bias, strict=True)])
